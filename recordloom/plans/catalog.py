@@ -12,7 +12,7 @@ import threading
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from recordloom import errors
 from recordloom.functions.ids import UUID_SHAPE
@@ -24,10 +24,13 @@ LOGS = {
     "status": "dataset_id string, seq long, status int",
     "aliases": "dataset_id string, seq long, aliases array<string>",
     "loads": "dataset_id string, seq long, mode string, path string, labels array<string>, "
-    "n_rows long, next_rownr long, max_lengths array<int>",
+    "n_rows long, next_rownr long, max_lengths array<int>, source string",
 }
 
 
+_LOAD_FIELDS = ("mode", "path", "labels", "n_rows", "next_rownr", "max_lengths", "source")
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -54,8 +57,14 @@ class Catalog:
             return self._last
 
     def _append(self, log: str, rows: list[tuple]) -> None:
-        entry = self.spark.createDataFrame(rows, LOGS[log])
-        entry.coalesce(1).write.parquet(f"{self.root}/{log}/{uuid.uuid4().hex}")
+        """Add one entry, or an empty folder of the right shape for no rows."""
+        fields = T.StructType.fromDDL(LOGS[log]).fields
+        literals = [
+            F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)])
+            for row in rows or [(None,) * len(fields)]
+        ]
+        entry = self.spark.range(1 if rows else 0, numPartitions=1).select(F.inline(F.array(*literals)))
+        entry.write.parquet(f"{self.root}/{log}/{uuid.uuid4().hex}")
 
     def log(self, name: str) -> DataFrame:
         reader = self.spark.read.schema(LOGS[name]).option("recursiveFileLookup", "true")
@@ -81,7 +90,7 @@ class Catalog:
         """A new empty dataset; its id."""
         with self._lock:
             dataset_id = str(uuid.uuid4())
-            while self.exists(dataset_id):
+            while not self.log("datasets").where(F.col("id") == dataset_id).isEmpty():
                 dataset_id = str(uuid.uuid4())
             table = "data_" + dataset_id.replace("-", "")
             now = dt.datetime.now(dt.timezone.utc)
@@ -166,8 +175,13 @@ class Catalog:
         starts = [i for i, r in enumerate(rows) if r["mode"] == "replace"]
         return rows[starts[-1] :] if starts else rows
 
-    def publish(self, dataset_id: str, mode: str, path: str, labels: list[str], n_rows: int, next_rownr: int, lengths: list[int]) -> None:
-        self._append("loads", [(dataset_id, self._next(), mode, path, labels, n_rows, next_rownr, lengths)])
+    def publish(self, dataset_id: str, loads: list[dict]) -> None:
+        """Make written segments part of the dataset, all with one log entry."""
+        rows = [(dataset_id, self._next(), *[load.get(f) for f in _LOAD_FIELDS]) for load in loads]
+        self._append("loads", rows)
+
+    def loaded_from(self, source: str) -> bool:
+        return not self.log("loads").where(F.col("source") == source).isEmpty()
 
     def records(self, dataset_id: str) -> DataFrame:
         """The stored records; raises for a dataset that was never loaded."""

@@ -72,18 +72,20 @@ def load_csv(
     path: str | list[str],
     mode: str = "append",
     lone_backslash: str = "keep",
+    source: str | None = None,
 ) -> int:
     """Load files into a dataset and return its new status.
 
     ``append`` needs the same column set as the stored data; ``replace`` takes
     any. Broken input sets the status to Error and changes nothing else.
+    ``source`` is a name kept with the load, see ``Catalog.loaded_from``.
     """
     if mode not in ("append", "replace"):
         raise ValueError("mode must be append or replace")
     spark = catalog.spark
     catalog.set_status(dataset_id, registry.PROCESSING)
     try:
-        _load(catalog, spark, dataset_id, path, mode, lone_backslash)
+        _load(catalog, spark, dataset_id, path, mode, lone_backslash, source)
     except RecordError:
         catalog.set_status(dataset_id, registry.ERROR)
         return registry.ERROR
@@ -94,7 +96,9 @@ def load_csv(
     return registry.AVAILABLE
 
 
-def _load(catalog: Catalog, spark: SparkSession, dataset_id: str, path, mode: str, lone_backslash: str) -> None:
+def _load(
+    catalog: Catalog, spark: SparkSession, dataset_id: str, path, mode: str, lone_backslash: str, source: str | None
+) -> None:
     groups = file_groups(spark, path)
     labels = list(groups[0].labels)
     segments = catalog.segments(dataset_id)
@@ -113,11 +117,20 @@ def _load(catalog: Catalog, spark: SparkSession, dataset_id: str, path, mode: st
     too_long = sum(f["overlong"] for f in facts)
     if too_long:
         raise LoadRejected(f"{too_long} rows have more values than the header has labels")
-    for f in facts:
-        lengths = [f[f"len_{i}"] or 0 for i in range(len(labels))]
-        next_rownr = max((g["max_rownr"] for g in facts if g["max_rownr"] is not None), default=base - 1) + 1
-        catalog.publish(dataset_id, mode, f["path"], labels, f["rows"], next_rownr, lengths)
-        mode = "append"
+    next_rownr = max((f["max_rownr"] for f in facts if f["max_rownr"] is not None), default=base - 1) + 1
+    loads = [
+        {
+            "mode": mode if i == 0 else "append",
+            "path": f["path"],
+            "labels": labels,
+            "n_rows": f["rows"],
+            "next_rownr": next_rownr,
+            "max_lengths": [f[f"len_{j}"] or 0 for j in range(len(labels))],
+            "source": source,
+        }
+        for i, f in enumerate(facts)
+    ]
+    catalog.publish(dataset_id, loads)
 
 
 def create_from_csv(catalog: Catalog, path: str | list[str], lone_backslash: str = "keep") -> tuple[str, int]:

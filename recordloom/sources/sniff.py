@@ -32,7 +32,7 @@ MARKS = [
     (codecs.BOM_UTF16_LE, "UTF-16LE"),
     (codecs.BOM_UTF16_BE, "UTF-16BE"),
 ]
-SCHEMA = "path string, size long, charset string, sep string, header string, open boolean"
+SCHEMA = "path string, size long, charset string, sep string, header string, open boolean, problem string"
 _RECORD = re.compile(r'(?s)((?:[^"\n\\]|\\["\\]?+|"[^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+")*+)(?:\n|\Z)')
 
 
@@ -62,8 +62,8 @@ def separator_column(line1: Column, line2: Column) -> Column:
     return F.when((n1 > 0) & (n1 == n2), ";").otherwise(",")
 
 
-def head_facts(head: bytes, complete: bool, charset: str) -> tuple[str, str, bool] | None:
-    """(separator, header record, quoted newline seen); None if more bytes are needed."""
+def head_facts(head: bytes, complete: bool, charset: str) -> tuple[str, str | None, bool, str | None] | None:
+    """(separator, header record, quoted newline seen, problem); None if more bytes are needed."""
     text = head.decode("cp1252" if charset == "windows-1252" else charset, errors="replace").lstrip("\ufeff")
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     lines = text.split("\n", 2)
@@ -75,11 +75,11 @@ def head_facts(head: bytes, complete: bool, charset: str) -> tuple[str, str, boo
     if not found:
         if not complete:
             return None
-        raise LoadRejected("the header has a quote that is not closed")
+        return separator_of(lines[0], None), None, False, "the header has a quote that is not closed"
     last = text.rfind("\n")
     body = text if complete or last < 0 else text[:last]
     seen = re.sub(r'(?s)\\["\\]|"[^"\\\n]*+(?:(?:\\.|"")[^"\\\n]*+)*+"', "", body)
-    return separator_of(lines[0], lines[1] if len(lines) > 1 else None), found.group(1), '"' in seen
+    return separator_of(lines[0], lines[1] if len(lines) > 1 else None), found.group(1), '"' in seen, None
 
 
 def _open(path: str):
@@ -103,15 +103,13 @@ def _read_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 head = stream.read(HEAD_BYTES)
                 charset = charset_of(head)
                 complete = len(head) < HEAD_BYTES
-                facts = head_facts(head, complete, charset) if head else (",", None, False)
+                facts = head_facts(head, complete, charset) if head else (",", None, False, "empty file")
                 while facts is None:
                     more = stream.read(len(head))
-                    head, complete = head + more, not more
-                    if len(head) > LONGEST_HEAD:
-                        raise LoadRejected(f"no header in the first {LONGEST_HEAD} bytes of {path}")
+                    head, complete = head + more, not more or len(head) > LONGEST_HEAD
                     facts = head_facts(head, complete, charset)
             rows.append((path, size, charset, *facts))
-        yield pd.DataFrame(rows, columns=["path", "size", "charset", "sep", "header", "open"])
+        yield pd.DataFrame(rows, columns=["path", "size", "charset", "sep", "header", "open", "problem"])
 
 
 def files_under(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -121,8 +119,9 @@ def files_under(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def sniff_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per file: ``path, size, charset, sep, header, open``. ``header`` is
-    null for an empty file; ``open`` tells that the head has a quoted newline."""
+    """One row per file: ``path, size, charset, sep, header, open, problem``.
+    ``open`` tells that the head has a quoted newline, ``problem`` why there is
+    no header."""
     return files_under(spark, path).mapInPandas(_read_heads, SCHEMA)
 
 
@@ -153,8 +152,8 @@ def file_groups(spark: SparkSession, path: str | list[str]) -> list[FileGroup]:
     groups: dict[tuple, dict] = {}
     base = 0
     for row in rows:
-        if row["header"] is None:
-            raise LoadRejected(f"empty file: {row['path']}")
+        if row["problem"]:
+            raise LoadRejected(f"{row['problem']}: {row['path']}")
         group = groups.setdefault((row["charset"], row["sep"], row["header"]), {"files": [], "open": False})
         group["files"].append((row["path"], base))
         group["open"] |= row["open"]
