@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os.path
 import re
 from collections.abc import Mapping
 
@@ -39,18 +40,23 @@ def clamp_offset(value: int | str | None) -> int:
     return max(_integer(value), 0) if value is not None else 0
 
 
-def sort_columns(labels: list[str], sort: str | None) -> list[Column]:
-    """``"Label,asc"`` or ``"Label,desc"``; ties and the default keep row order."""
-    if not sort:
-        return [F.col(ROWNR)]
+def sort_key(labels: list[str], sort: str) -> tuple[str, bool]:
+    """``"Label,asc"`` or ``"Label,desc"`` to a label and whether it goes down."""
     name, _, way = sort.rpartition(",")
     if way.strip().lower() not in ("asc", "desc"):
         name, way = sort, "asc"
     name = name.strip().lower()
     if name not in labels:
         raise UnknownColumn(f"cannot sort by {name!r}")
-    c = col(name)
-    return [c.desc_nulls_last() if way.strip().lower() == "desc" else c.asc_nulls_last(), F.col(ROWNR)]
+    return name, way.strip().lower() == "desc"
+
+
+def sort_columns(labels: list[str], sort: str | None) -> list[Column]:
+    """Ties and the default keep row order; absent values come last."""
+    if not sort:
+        return [F.col(ROWNR)]
+    name, down = sort_key(labels, sort)
+    return [col(name).desc_nulls_last() if down else col(name).asc_nulls_last(), F.col(ROWNR)]
 
 
 def _skip_by_counts(matches: DataFrame, offset: int) -> tuple[DataFrame, int]:
@@ -78,6 +84,39 @@ def _skip_by_counts(matches: DataFrame, offset: int) -> tuple[DataFrame, int]:
     return (matches if low is None else matches.where(F.col(ROWNR) >= low)), offset
 
 
+def _skip_by_values(matches: DataFrame, label: str, down: bool, offset: int) -> tuple[DataFrame, int]:
+    """The same for pages sorted by a text column: values are counted by their
+    next character until the page start is known closely enough. Each step
+    returns one row per distinct character."""
+    c, order = col(label), (lambda g: g["ch"])
+    absent = matches.where(c.isNull())
+    rows, prefix = matches.where(c.isNotNull()), ""
+    while offset > SHALLOW_OFFSET:
+        group = F.substring(c, len(prefix) + 1, 1).alias("ch")
+        counts = rows.where(c.startswith(prefix)).groupBy(group).agg(
+            F.count("*").alias("n"), F.min(c).alias("low"), F.max(c).alias("high")
+        )
+        found = None
+        for g in sorted(counts.collect(), key=order, reverse=down):
+            if offset < g["n"]:
+                found = g
+                break
+            offset -= g["n"]
+        if found is None:  # past all values: only rows without one are left
+            return _skip_by_counts(absent, offset)
+        onward = c <= found["high"] if down else c >= found["low"]
+        if found["low"] == found["high"]:
+            same, offset = _skip_by_counts(rows.where(c == found["low"]), offset)
+            beyond = rows.where(c < found["low"] if down else c > found["low"])
+            return same.unionAll(beyond).unionAll(absent), offset
+        prefix = os.path.commonprefix([found["low"], found["high"]])
+        kept = rows.where(onward)
+        if offset <= SHALLOW_OFFSET:
+            return kept.unionAll(absent), offset
+        rows = kept
+    return matches, offset
+
+
 def page_of(matches: DataFrame, limit: int, offset: int = 0, sort: str | None = None) -> DataFrame:
     """One page of ``matches`` in order, each row carrying ``result_count``.
 
@@ -87,8 +126,12 @@ def page_of(matches: DataFrame, limit: int, offset: int = 0, sort: str | None =
     total = matches.agg(F.count("*")).scalar()
     order = sort_columns(labels_of(matches), sort)
     rows, skip = matches, offset
-    if offset > SHALLOW_OFFSET and not sort:
-        rows, skip = _skip_by_counts(matches, offset)
+    if offset > SHALLOW_OFFSET:
+        if sort:
+            label, down = sort_key(labels_of(matches), sort)
+            rows, skip = _skip_by_values(matches, label, down, offset)
+        else:
+            rows, skip = _skip_by_counts(matches, offset)
     rows = rows.orderBy(*order)
     if skip:
         rows = rows.offset(skip)

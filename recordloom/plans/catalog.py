@@ -1,13 +1,15 @@
-"""The catalogue on disk: append-only logs, one small Parquet folder per entry.
+"""The catalogue on disk: append-only logs, one small JSON file per entry.
 
-Every change writes a new folder, so parallel loads never share an output path;
-tables are views over the logs. Logs grow with the number of changes, not with
-the data. One driver at a time changes a catalogue.
+Every change adds a file, so parallel loads never share an output path, and a
+reader sees an entry as a whole or not at all. Tables are views over the logs,
+which grow with the number of changes, not with the data. One driver at a time
+changes a catalogue.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import threading
 import time
 import uuid
@@ -36,9 +38,6 @@ class Catalog:
         self.spark, self.root = spark, root.rstrip("/")
         self._lock = threading.RLock()
         self._last = 0
-        for name in LOGS:
-            if not self._exists(f"{self.root}/{name}"):
-                self._append(name, [])
 
     # -- log files ---------------------------------------------------------
 
@@ -57,18 +56,23 @@ class Catalog:
             return self._last
 
     def _append(self, log: str, rows: list[tuple]) -> None:
-        """Add one entry, or an empty folder of the right shape for no rows."""
-        fields = T.StructType.fromDDL(LOGS[log]).fields
-        literals = [
-            F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)])
-            for row in rows or [(None,) * len(fields)]
-        ]
-        entry = self.spark.range(1 if rows else 0, numPartitions=1).select(F.inline(F.array(*literals)))
-        entry.write.parquet(f"{self.root}/{log}/{uuid.uuid4().hex}")
+        """Add one entry of one or more rows; it appears when its file is renamed."""
+        fields = T.StructType.fromDDL(LOGS[log]).fieldNames()
+        text = "".join(json.dumps(dict(zip(fields, row))) + "\n" for row in rows)
+        name = uuid.uuid4().hex
+        fs, hidden = self._filesystem(f"{self.root}/{log}/_{name}")
+        stream = fs.create(hidden)
+        try:
+            stream.write(text.encode())
+        finally:
+            stream.close()
+        fs.rename(hidden, self._filesystem(f"{self.root}/{log}/{name}.json")[1])
 
     def log(self, name: str) -> DataFrame:
-        reader = self.spark.read.schema(LOGS[name]).option("recursiveFileLookup", "true")
-        return reader.parquet(f"{self.root}/{name}")
+        folder = f"{self.root}/{name}"
+        if not self._exists(folder):
+            return self.spark.createDataFrame([], LOGS[name])
+        return self.spark.read.schema(LOGS[name]).json(folder)
 
     # -- tables ------------------------------------------------------------
 
@@ -93,7 +97,7 @@ class Catalog:
             while not self.log("datasets").where(F.col("id") == dataset_id).isEmpty():
                 dataset_id = str(uuid.uuid4())
             table = "data_" + dataset_id.replace("-", "")
-            now = dt.datetime.now(dt.timezone.utc)
+            now = dt.datetime.now(dt.timezone.utc).isoformat()
             self._append("datasets", [(dataset_id, now, table, False, self._next())])
             self.set_status(dataset_id, registry.CREATED)
             return dataset_id
@@ -136,7 +140,7 @@ class Catalog:
                 raise errors.NotFound(dataset_id)
             if row["status"] not in (registry.AVAILABLE, registry.ERROR):
                 raise errors.Locked(dataset_id)
-            self._append("datasets", [(dataset_id, row["created"], row["data_table"], True, self._next())])
+            self._append("datasets", [(dataset_id, None, row["data_table"], True, self._next())])
             self._append("aliases", [(dataset_id, self._next(), [])])
             fs, where = self._filesystem(self.data_folder(row["data_table"]))
             fs.delete(where, True)

@@ -44,15 +44,15 @@ def lines(spark: SparkSession, group: FileGroup) -> DataFrame:
     UTF-32 files cannot be split at line ends by the text source; such a file is
     decoded as one value, and Spark refuses those over 2 GB.
     """
-    paths = [_literal_path(p) for p, _ in group.files]
+    paths = group.root or [_literal_path(p) for p, _ in group.files]
     where = F.col("_metadata.file_path").alias("file")
     if group.charset in _WHOLE:
         name = "UTF-16" if group.charset.startswith("UTF-16") else "UTF-32"
         text = F.regexp_replace(F.decode("content", name), "^﻿", "")
         text = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\n\z", "")
-        whole = spark.read.format("binaryFile").load(paths).select(where, F.posexplode(F.split(text, "\n", -1)))
+        whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select(where, F.posexplode(F.split(text, "\n", -1)))
         return whole.select("file", F.lit(0).cast("long").alias("block"), F.col("pos").cast("long").alias("id"), F.col("col").alias("value"))
-    raw = spark.read.text(paths)
+    raw = spark.read.option("recursiveFileLookup", "true").text(paths)
     block = F.col("_metadata.file_block_start").alias("block")
     return raw.select(where, block, F.monotonically_increasing_id().alias("id"), decoded(F.col("value"), group.charset).alias("value"))
 

@@ -135,6 +135,7 @@ class FileGroup:
     labels: tuple[str, ...]
     files: tuple[tuple[str, int], ...]  # (path, row number base)
     quoted_newlines: bool
+    root: str | list[str] | None = None  # what to read instead of naming every file
 
 
 # Row numbers a file can take beyond its size: positions within a scan partition.
@@ -161,7 +162,8 @@ def file_groups(spark: SparkSession, path: str | list[str]) -> list[FileGroup]:
     out = []
     for (charset, sep, header), group in groups.items():
         labels = tuple(normal_labels(header_cells(header, sep)))
-        out.append(FileGroup(charset, sep, header, labels, tuple(group["files"]), group["open"]))
+        root = path if len(groups) == 1 and len(rows) > 1 else None
+        out.append(FileGroup(charset, sep, header, labels, tuple(group["files"]), group["open"], root))
     if any(set(g.labels) != set(out[0].labels) for g in out):
         raise LoadRejected("the files do not have the same columns")
     return out
