@@ -2,9 +2,10 @@
 
 Counting works on a timeline per key: each request adds one at its own time
 and takes it back when its window has run out, so a trailing count is a running
-sum. Timelines are cut into short time buckets; sums of whole buckets are
-aggregated before any shuffle and carried in as a start value. A key that
-holds a large share of all rows is spread over its buckets.
+sum, linear in the rows however many fall into a window. Keys are measured
+first. If one is too large for a task, timelines are cut into time buckets; sums
+of whole buckets are aggregated before the shuffle and carried in as a start
+value, which spreads the key over its buckets.
 """
 
 from __future__ import annotations
@@ -20,9 +21,8 @@ from recordloom.functions.text import col, quoted
 
 MICROS = 1_000_000
 
-# Buckets per window length. More buckets split a hot key further and make the
-# table of bucket sums longer.
-BUCKETS_PER_WINDOW = 256
+# Rows of one key that one task may sort; larger keys are cut into time buckets.
+HOT_ROWS = 4_000_000
 
 
 def limited_requests(df: DataFrame, method: str = "method", path: str = "path") -> DataFrame:
@@ -46,6 +46,16 @@ def micros(df: DataFrame, ts: str) -> Column:
     return F.unix_micros(col(ts).cast("timestamp"))
 
 
+def bucket_width(df: DataFrame, key: Column, at: Column, hot_rows: int) -> int | None:
+    """Microseconds per time bucket so that the densest of the keys with more
+    than ``hot_rows`` rows puts about a quarter of that into one bucket; None if
+    there is no such key. One pass over the key and time columns."""
+    keys = df.groupBy(key.alias("k")).agg(F.count("*").alias("n"), (F.max(at) - F.min(at)).alias("long"))
+    width = F.min(F.col("long") / F.col("n")) * (hot_rows / 4)
+    found = keys.where(F.col("n") > hot_rows).agg(width).first()[0]
+    return None if found is None else max(int(found), 1)
+
+
 def trailing_counts(
     df: DataFrame,
     key: str | None,
@@ -53,57 +63,59 @@ def trailing_counts(
     seconds: int,
     limit: int | None = None,
     retry_after: bool = False,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``df`` plus ``trailing_count``: earlier requests of the same key less than
     ``seconds`` old. ``limit`` adds ``over_limit``; ``retry_after`` adds
     ``retry_at``, the time the oldest of them runs out plus one millisecond, for
-    requests over the limit. ``key=None`` counts over all rows.
+    requests over the limit. ``key=None`` counts over all rows. Rows without a
+    time get nulls.
     """
     span = seconds * MICROS
-    width = max(span // BUCKETS_PER_WINDOW, 1)
-    who = col(key) if key else F.lit("all")
-    row = F.struct(*[col(c) for c in df.columns])
-
-    base = df.select(who.alias("k"), micros(df, ts).alias("at"), row.alias("row"))
-    unpack = F.inline(
-        F.array(
-            F.struct(F.col("at").alias("t"), F.lit(1).alias("adds"), F.lit(0).alias("ends"), F.col("row").alias("r")),
-            F.struct((F.col("at") + span).alias("t"), F.lit(0).alias("adds"), F.lit(1).alias("ends"), F.lit(None).alias("r")),
-        )
-    )
-    bucket = F.expr(f"t div {width}L").alias("b")
-    timeline = base.select("k", unpack).select("k", "t", "adds", "ends", "r", bucket)
-
-    sums = timeline.groupBy("k", "b").agg(
-        F.sum(F.col("adds") - F.col("ends")).alias("net"),
-        F.min(F.when(F.col("ends") == 1, F.col("t"))).alias("end"),
-    )
-    by_key = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = [F.col("k").alias("ck"), F.col("b").alias("cb"), F.coalesce(F.sum("net").over(by_key), F.lit(0)).alias("before")]
+    at, who = micros(df, ts), (col(key) if key else F.lit("all"))
+    width = bucket_width(df, who, at, hot_rows)
+
+    def timeline(row: Column) -> DataFrame:
+        """Two rows per request: where it starts to count and where it ends."""
+        base = df.select(who.alias("k"), at.alias("at"), row.alias("row"))
+        start = F.struct(F.col("at").alias("t"), F.lit(1).alias("adds"), F.lit(0).alias("ends"), F.col("row").alias("r"))
+        stop = F.struct((F.col("at") + span).alias("t"), F.lit(0).alias("adds"), F.lit(1).alias("ends"), F.lit(None).alias("r"))
+        both = base.select("k", F.inline(F.array(start, stop))).toDF("k", "t", "adds", "ends", "r")
+        return both.withColumn("b", F.expr(f"t div {width}L") if width else F.lit(0))
+
+    steps = timeline(F.struct(*[col(c) for c in df.columns]))
+    group = ["k", "b"] if width else ["k"]
+    upto = Window.partitionBy(*group).orderBy("t")
+    earlier = F.sum("adds").over(upto.rangeBetween(Window.unboundedPreceding, -1))
+    ended = F.sum("ends").over(upto.rangeBetween(Window.unboundedPreceding, 0))
+    local = [(F.coalesce(earlier, F.lit(0)) - F.coalesce(ended, F.lit(0))).alias("inside")]
     if retry_after:
-        backwards = Window.partitionBy("k").orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        carried.append(F.min("end").over(backwards).alias("later_end"))
-    carried = sums.select(*carried)
-
-    inside = Window.partitionBy("k", "b").orderBy("t")
-    earlier = F.sum("adds").over(inside.rangeBetween(Window.unboundedPreceding, -1))
-    ended = F.sum("ends").over(inside.rangeBetween(Window.unboundedPreceding, 0))
-    local = [F.coalesce(earlier, F.lit(0)).alias("earlier"), F.coalesce(ended, F.lit(0)).alias("ended")]
-    if retry_after:
-        after = Window.partitionBy("k", "b").orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, -1)
-        local.append(F.min(F.when(F.col("ends") == 1, F.col("t"))).over(after).alias("next_end"))
-    rows = timeline.select("k", "b", "t", "r", "adds", *local).where("adds = 1")
-
-    both = rows.join(carried, F.col("k").eqNullSafe(F.col("ck")) & (F.col("b") == F.col("cb")))
-    n = F.col("before") + F.col("earlier") - F.col("ended")
-    out = [F.col("r." + c) for c in map(quoted, df.columns)] + [n.alias("trailing_count")]
+        # Looking back in falling order: a frame that looks ahead would start over for every row.
+        ahead = Window.partitionBy(*group).orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, -1)
+        local.append(F.min(F.when(F.col("ends") == 1, F.col("t"))).over(ahead).alias("next_end"))
+    rows = steps.select("k", "b", "t", "r", "adds", *local).where("adds = 1")
+
+    n, oldest_ends = F.col("inside"), F.col("next_end")
+    if width:
+        sums = timeline(F.lit(None)).groupBy("k", "b").agg(
+            F.sum(F.col("adds") - F.col("ends")).alias("net"), F.min(F.when(F.col("ends") == 1, F.col("t"))).alias("end")
+        )
+        before = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        later = Window.partitionBy("k").orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        carried = [F.col("k").alias("ck"), F.col("b").alias("cb"), F.coalesce(F.sum("net").over(before), F.lit(0)).alias("before")]
+        if retry_after:
+            carried.append(F.min("end").over(later).alias("later_end"))
+        same = F.col("k").eqNullSafe(F.col("ck")) & F.col("b").eqNullSafe(F.col("cb"))
+        rows = rows.join(sums.select(*carried), same)
+        n, oldest_ends = n + F.col("before"), F.coalesce("next_end", "later_end")
+    n = F.when(F.col("t").isNotNull(), n)
+    out = [F.col("r." + quoted(c)).alias(c) for c in df.columns] + [n.alias("trailing_count")]
     if limit is not None:
         out.append((n >= limit).alias("over_limit"))
     if retry_after:
-        oldest_ends = F.coalesce(F.col("next_end"), F.col("later_end"))
         over = n >= (limit if limit is not None else 1)
         out.append(F.when(over & (n > 0), F.timestamp_micros(oldest_ends + 1000)).alias("retry_at"))
-    return both.select(*out)
+    return rows.select(*out)
 
 
 def _key_text(key: str) -> Column:
@@ -175,7 +187,8 @@ class AverageRate:
 
 def sliding_admission(df: DataFrame, key: str, ts: str, order: str, limit: int | None, seconds: int) -> DataFrame:
     """``df`` plus ``admitted``: fewer than ``limit`` admitted requests of the key
-    in the last ``seconds``; refused requests do not count.
+    in the last ``seconds``; refused requests do not count. Rows without a time
+    get null.
 
     Requests of one key in one millisecond are one instant; ``order`` tells which
     comes first. Instants are deduplicated before the shuffle, so a key sends at
@@ -185,7 +198,8 @@ def sliding_admission(df: DataFrame, key: str, ts: str, order: str, limit: int |
     if limit is None or limit < 0:
         return df.withColumn("admitted", F.lit(True))
     keyed = df.withColumn("__k", _key_text(key)).withColumn("__at", F.unix_millis(F.timestamp_micros(micros(df, ts))))
-    instants = keyed.groupBy("__k", "__at").agg(F.min(col(order)).alias("__first"))
+    timed = keyed.where(F.col("__at").isNotNull())
+    instants = timed.groupBy("__k", "__at").agg(F.min(col(order)).alias("__first"))
     span = seconds * 1000
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,7 +216,7 @@ def sliding_admission(df: DataFrame, key: str, ts: str, order: str, limit: int |
     walked = _walk_in_order(instants, walk, "__verdict int")
     alone = col(order) == F.col("__first")
     admitted = (F.col("__verdict") == 2) | ((F.col("__verdict") == 1) & alone)
-    return keyed.join(walked, ["__k", "__at"]).select(*[col(c) for c in df.columns], admitted.alias("admitted"))
+    return keyed.join(walked, ["__k", "__at"], "left").select(*[col(c) for c in df.columns], admitted.alias("admitted"))
 
 
 def average_admission(df: DataFrame, key: str, ts: str, order: str, limit: int | None, seconds: int) -> DataFrame:
@@ -210,7 +224,8 @@ def average_admission(df: DataFrame, key: str, ts: str, order: str, limit: int |
     if limit is None or limit <= 0:
         return df.withColumn("admitted", F.lit(True))
     keyed = df.withColumn("__k", _key_text(key)).withColumn("__at", micros(df, ts))
-    instants = keyed.groupBy("__k", "__at").agg(F.count("*").alias("__n"))
+    timed = keyed.where(F.col("__at").isNotNull())
+    instants = timed.groupBy("__k", "__at").agg(F.count("*").alias("__n"))
     rate = limit / seconds
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,7 +241,7 @@ def average_admission(df: DataFrame, key: str, ts: str, order: str, limit: int |
 
     walked = _walk_in_order(instants, walk, "__taken long")
     turn = F.row_number().over(Window.partitionBy("__k", "__at").orderBy(col(order)))
-    joined = keyed.join(walked, ["__k", "__at"]).withColumn("__turn", turn)
+    joined = keyed.join(walked, ["__k", "__at"], "left").withColumn("__turn", turn)
     return joined.select(*[col(c) for c in df.columns], (F.col("__turn") <= F.col("__taken")).alias("admitted"))
 
 

@@ -738,7 +738,7 @@ def trailing_request_count(spark, sf):
 @case(f"SELECT event_id, count(*) OVER (ORDER BY ts {FRAME}) AS trailing_count FROM events")
 def trailing_count_global(spark, sf):
     events = table(spark, sf, "events").select("event_id", "ts")
-    return traffic.trailing_counts(events, None, "ts", DAY).drop("ts")
+    return traffic.trailing_counts(events, None, "ts", DAY, hot_rows=2_000).drop("ts")
 
 
 @case(
@@ -762,6 +762,18 @@ def retry_after(spark, sf):
     return out.select("event_id", "trailing_count", "over_limit", F.unix_micros("retry_at").alias("retry_us"))
 
 
+@case(
+    f"""WITH e AS (SELECT event_id, user_id, count(*) OVER w AS n, min(ts) OVER w AS oldest FROM events
+      WINDOW w AS (PARTITION BY user_id ORDER BY ts {FRAME}))
+    SELECT event_id, n AS trailing_count, n >= 3 AS over_limit,
+    CASE WHEN n >= 3 THEN epoch_us(oldest) + 86400000000 + 1000 END AS retry_us FROM e"""
+)
+def retry_after_hot_keys(spark, sf):
+    events = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    out = traffic.trailing_counts(events, "user_id", "ts", DAY, limit=3, retry_after=True, hot_rows=20)
+    return out.select("event_id", "trailing_count", "over_limit", F.unix_micros("retry_at").alias("retry_us"))
+
+
 @case(
     f"""WITH r AS (SELECT event_id, ts, CASE event_id % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'HEAD' ELSE 'POST' END AS method,
       CASE WHEN event_type = 'click' THEN '/x/status' ELSE '/x/' || event_type END AS path,
