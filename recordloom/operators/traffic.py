@@ -185,38 +185,55 @@ class AverageRate:
         return admitted
 
 
+# Milliseconds whose distinct instants travel as one row.
+PACK = 2048
+
+
 def sliding_admission(df: DataFrame, key: str, ts: str, order: str, limit: int | None, seconds: int) -> DataFrame:
     """``df`` plus ``admitted``: fewer than ``limit`` admitted requests of the key
     in the last ``seconds``; refused requests do not count. Rows without a time
     get null.
 
     Requests of one key in one millisecond are one instant; ``order`` tells which
-    comes first. Instants are deduplicated before the shuffle, so a key sends at
-    most one small row per millisecond of its time span to the task that walks
-    it, and the walk keeps at most ``limit`` numbers.
+    comes first. Each decision rests on the ones before, so a key is walked in
+    order by one task, but on little data: instants are deduplicated and packed
+    per key and two seconds before they get there, at most PACK to a row, however
+    many rows the key has. Only admitted instants come back, at most ``limit`` per
+    ``seconds`` and key, and rows are matched against those.
     """
     if limit is None or limit < 0:
         return df.withColumn("admitted", F.lit(True))
     keyed = df.withColumn("__k", _key_text(key)).withColumn("__at", F.unix_millis(F.timestamp_micros(micros(df, ts))))
     timed = keyed.where(F.col("__at").isNotNull())
-    instants = timed.groupBy("__k", "__at").agg(F.min(col(order)).alias("__first"))
+    pack = F.floor(F.col("__at") / F.lit(PACK))
+    packed = timed.groupBy("__k", pack.alias("__pack")).agg(
+        F.sort_array(F.collect_set((F.col("__at") - pack * PACK).cast("int"))).alias("__in")
+    )
     span = seconds * 1000
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for batch in batches:
-            keys, at = batch["__k"].to_numpy(), batch["__at"].to_numpy()
-            verdict = np.zeros(len(batch), dtype=np.int32)
+            keys, packs, inside = batch["__k"].to_numpy(), batch["__pack"].to_numpy(), batch["__in"].to_numpy()
+            out = []
             for a, b in _runs(keys):
                 if state is None or keys[a] != current:
                     current, state = keys[a], SlidingWindow(limit, span)
-                verdict[a:b] = state.take(at[a:b])
-            yield batch.assign(__verdict=verdict)
-
-    walked = _walk_in_order(instants, walk, "__verdict int")
-    alone = col(order) == F.col("__first")
-    admitted = (F.col("__verdict") == 2) | ((F.col("__verdict") == 1) & alone)
-    return keyed.join(walked, ["__k", "__at"], "left").select(*[col(c) for c in df.columns], admitted.alias("admitted"))
+                at = np.concatenate([packs[i] * PACK + inside[i] for i in range(a, b)])
+                verdict = state.take(at)
+                taken = np.flatnonzero(verdict)
+                out.append(pd.DataFrame({"__k": current, "__at": at[taken], "__verdict": verdict[taken]}))
+            yield pd.concat(out)
+
+    ordered = packed.repartition("__k").sortWithinPartitions("__k", "__pack")
+    taken = ordered.mapInPandas(walk, "__k string, __at long, __verdict int")
+    # Instants with one place left admit their first request only.
+    last_place = taken.where("__verdict = 1").select("__k", "__at")
+    firsts = timed.join(last_place, ["__k", "__at"], "left_semi").groupBy("__k", "__at").agg(F.min(col(order)).alias("__first"))
+    judged = taken.join(firsts, ["__k", "__at"], "left")
+    admitted = F.coalesce((F.col("__verdict") == 2) | (col(order) == F.col("__first")), F.lit(False))
+    admitted = F.when(F.col("__at").isNotNull(), admitted)
+    return keyed.join(judged, ["__k", "__at"], "left").select(*[col(c) for c in df.columns], admitted.alias("admitted"))
 
 
 def average_admission(df: DataFrame, key: str, ts: str, order: str, limit: int | None, seconds: int) -> DataFrame:
@@ -237,12 +254,13 @@ def average_admission(df: DataFrame, key: str, ts: str, order: str, limit: int |
                 if state is None or keys[a] != current:
                     current, state = keys[a], AverageRate(rate)
                 taken[a:b] = state.take(at[a:b], n[a:b])
-            yield batch.assign(__taken=taken)
+            yield batch.assign(__taken=taken)[taken > 0]
 
     walked = _walk_in_order(instants, walk, "__taken long")
     turn = F.row_number().over(Window.partitionBy("__k", "__at").orderBy(col(order)))
     joined = keyed.join(walked, ["__k", "__at"], "left").withColumn("__turn", turn)
-    return joined.select(*[col(c) for c in df.columns], (F.col("__turn") <= F.col("__taken")).alias("admitted"))
+    admitted = F.when(F.col("__at").isNotNull(), F.col("__turn") <= F.coalesce("__taken", F.lit(0)))
+    return joined.select(*[col(c) for c in df.columns], admitted.alias("admitted"))
 
 
 def _walk_in_order(instants: DataFrame, walk, extra: str) -> DataFrame:

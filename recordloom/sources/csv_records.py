@@ -85,7 +85,7 @@ def block_summaries(text: DataFrame) -> DataFrame:
     """
     out, into = ends_open(F.col("value")), ends_open(F.col("value"), inside=True)
     event = F.when(out | ~into, F.struct("id", out.alias("o"), into.alias("i")))
-    events = text.groupBy("file", "block").agg(F.array_sort(F.collect_list(event)).alias("events"))
+    events = text.groupBy("file", "block").agg(F.sort_array(F.collect_list(event)).alias("events"))
 
     def walk(start: bool) -> Column:
         zero = F.struct(F.lit(start).alias("s"), F.lit(None).cast("long").alias("opened"), F.lit(None).cast("long").alias("closed"))
@@ -141,7 +141,7 @@ def joined_lines(text: DataFrame, summaries: DataFrame, n_blocks: int) -> DataFr
     begins = F.when(F.col("state") == 0, F.struct("block", "id"))
     record = F.last(begins, ignorenulls=True).over(step.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     grouped = stated.withColumn("record", record).groupBy("file", "start_block", "record").agg(
-        F.array_sort(F.collect_list(F.struct("block", "id", "value"))).alias("parts"), F.max("stray").alias("stray")
+        F.sort_array(F.collect_list(F.struct("block", "id", "value"))).alias("parts"), F.max("stray").alias("stray")
     )
     text_of = F.array_join(F.transform("parts", lambda p: p["value"]), "\n")
     return grouped.select("file", F.col("record.block").alias("block"), F.col("record.id").alias("id"), text_of.alias("value"), "stray")
@@ -182,9 +182,9 @@ def parse(
         folder = fresh_folder(spark, "blocks")
         block_summaries(text).write.parquet(folder)
         summaries = spark.read.parquet(folder)
-        n_blocks = summaries.count()
-        ends = summaries.groupBy("file").agg(F.max_by("ends_inside", "block").alias("open"))
-        if not ends.where("open").isEmpty():
+        ends = summaries.groupBy("file").agg(F.max_by("ends_inside", "block").alias("open"), F.count("*").alias("n"))
+        open_files, n_blocks = ends.agg(F.count_if("open"), F.sum("n")).first()
+        if open_files:
             raise LoadRejected("a quoted cell is not closed at the end of the file")
         records = joined_lines(text, summaries, n_blocks)
     else:

@@ -6,6 +6,8 @@ table as CSV or JSON into the shared folder and then run the loader on it.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -276,6 +278,10 @@ def uuid_of(c: Column) -> Column:
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in cuts])
 
 
+def _md5_uuid(name: str) -> uuid.UUID:
+    return uuid.UUID(hashlib.md5(name.encode()).hexdigest())
+
+
 def _supplier_named(c: Column) -> Column:
     return uuid_of(F.concat(F.lit("Supplier#"), F.lpad(c.cast("string"), 9, "0")))
 
@@ -723,6 +729,27 @@ def ingest_and_query(spark, sf):
     return catalog.query(dataset_id, {"P_Name": "(cold|small)", "_limit": "10"}).drop(ROWNR)
 
 
+@case("SELECT c_custkey AS __rownr, c_name AS name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS segment FROM customer")
+def json_field_text(spark, sf):
+    gaps = F.when(F.col(ROWNR) % 3 > 0, F.col("c_mktsegment")).alias("c_mktsegment")
+    stored = records.to_json_records(customer(spark, sf).select(ROWNR, "c_name", gaps))
+    data = F.col("data")
+    return stored.select(ROWNR, records.field_text(data, "c_name").alias("name"), records.field_text(data, "c_mktsegment").alias("segment"))
+
+
+@case("SELECT count(*) AS n, count(*) AS n_ids, TRUE AS well_formed FROM customer")
+def new_ids(spark, sf):
+    made = table(spark, sf, "customer").select(ids.new_id().alias("id"))
+    return made.agg(
+        F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"), F.bool_and(ids.is_uuid(F.col("id"))).alias("well_formed")
+    )
+
+
+@case(f"WITH a AS ({ALIASES_SQL}) SELECT alias FROM a WHERE dataset_id = {UUID_SQL.format("'Supplier#000000004'")}")
+def alias_list(spark, sf):
+    return registry.aliases_of(aliases(spark, sf), str(_md5_uuid("Supplier#000000004")))
+
+
 # -- request rates -------------------------------------------------------------
 
 DAY = 86_400
@@ -812,7 +839,18 @@ def sliding_admission(spark, sf):
     return traffic.sliding_admission(events, "user_id", "ts", "event_id", 3, DAY).drop("ts")
 
 
-@case()
+@case(
+    """WITH RECURSIVE p AS (SELECT 3e0 / 86400e0 AS rate, 1e6 / (3e0 / 86400e0) AS gap),
+    e AS (SELECT event_id, user_id, epoch_us(ts) AS us,
+      row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn FROM events),
+    r AS (SELECT event_id, user_id, rn, TRUE AS admitted, us + CAST(trunc(gap) AS BIGINT) AS free, 0e0 AS kept FROM e, p WHERE rn = 1
+      UNION ALL SELECT event_id, user_id, rn, free <= us,
+        CASE WHEN free <= us THEN us + CAST(trunc((1e0 - least(1e0, now)) * gap) AS BIGINT) ELSE free END,
+        CASE WHEN free <= us THEN now - least(1e0, now) ELSE kept END
+      FROM (SELECT e.*, r.free, r.kept, gap, least(rate, r.kept + greatest(e.us - r.free, 0) / gap) AS now
+        FROM p, r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1) s)
+    SELECT event_id, user_id, admitted FROM r"""
+)
 def average_admission(spark, sf):
     events = table(spark, sf, "events").select("event_id", "user_id", "ts")
     return traffic.average_admission(events, "user_id", "ts", "event_id", 3, DAY).drop("ts")
