@@ -215,25 +215,26 @@ def sliding_admission(df: DataFrame, key: str, ts: str, order: str, limit: int |
         current, state = None, None
         for batch in batches:
             keys, packs, inside = batch["__k"].to_numpy(), batch["__pack"].to_numpy(), batch["__in"].to_numpy()
-            out = []
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for a, b in _runs(keys):
                 if state is None or keys[a] != current:
                     current, state = keys[a], SlidingWindow(limit, span)
-                at = np.concatenate([packs[i] * PACK + inside[i] for i in range(a, b)])
+                at = np.repeat(packs[a:b] * PACK, [len(x) for x in inside[a:b]]) + np.concatenate(inside[a:b])
                 verdict = state.take(at)
                 taken = np.flatnonzero(verdict)
-                out.append(pd.DataFrame({"__k": current, "__at": at[taken], "__verdict": verdict[taken]}))
-            yield pd.concat(out)
+                found.append((np.repeat(keys[a : a + 1], len(taken)), at[taken], verdict[taken]))
+            columns = [np.concatenate(c) for c in zip(*found)]
+            yield pd.DataFrame(dict(zip(("__k", "__at", "__verdict"), columns)))
 
     ordered = packed.repartition("__k").sortWithinPartitions("__k", "__pack")
     taken = ordered.mapInPandas(walk, "__k string, __at long, __verdict int")
-    # Instants with one place left admit their first request only.
-    last_place = taken.where("__verdict = 1").select("__k", "__at")
-    firsts = timed.join(last_place, ["__k", "__at"], "left_semi").groupBy("__k", "__at").agg(F.min(col(order)).alias("__first"))
-    judged = taken.join(firsts, ["__k", "__at"], "left")
-    admitted = F.coalesce((F.col("__verdict") == 2) | (col(order) == F.col("__first")), F.lit(False))
+    judged = keyed.join(taken, ["__k", "__at"], "left")
+    # An instant with one place left admits its first request only. The rows of
+    # an instant are together after a shuffled join, so this sorts nothing anew.
+    first = F.min(col(order)).over(Window.partitionBy("__k", "__at"))
+    admitted = F.coalesce((F.col("__verdict") == 2) | ((F.col("__verdict") == 1) & (col(order) == F.col("__first"))), F.lit(False))
     admitted = F.when(F.col("__at").isNotNull(), admitted)
-    return keyed.join(judged, ["__k", "__at"], "left").select(*[col(c) for c in df.columns], admitted.alias("admitted"))
+    return judged.withColumn("__first", first).select(*[col(c) for c in df.columns], admitted.alias("admitted"))
 
 
 def average_admission(df: DataFrame, key: str, ts: str, order: str, limit: int | None, seconds: int) -> DataFrame:
