@@ -22,7 +22,7 @@ from recordloom.functions.text import col, quoted
 MICROS = 1_000_000
 
 # Rows of one key that one task may sort; larger keys are cut into time buckets.
-HOT_ROWS = 4_000_000
+HOT_ROWS = 1_000_000
 
 
 def limited_requests(df: DataFrame, method: str = "method", path: str = "path") -> DataFrame:

@@ -142,8 +142,7 @@ class Catalog:
                 raise errors.Locked(dataset_id)
             self._append("datasets", [(dataset_id, None, row["data_table"], True, self._next())])
             self._append("aliases", [(dataset_id, self._next(), [])])
-            fs, where = self._filesystem(self.data_folder(row["data_table"]))
-            fs.delete(where, True)
+            self.remove(self.data_folder(row["data_table"]))
 
     # -- aliases -----------------------------------------------------------
 
@@ -173,9 +172,23 @@ class Catalog:
     def data_folder(self, data_table: str) -> str:
         return f"{self.root}/data/{data_table}"
 
+    def remove(self, path: str) -> None:
+        fs, where = self._filesystem(path)
+        fs.delete(where, True)
+
+    def _loads(self, dataset_id: str) -> list:
+        return self.log("loads").where(F.col("dataset_id") == dataset_id).orderBy("seq").collect()
+
+    def remove_replaced(self, dataset_id: str) -> None:
+        """Delete the files of earlier versions; queries planned on them will fail."""
+        current = {s["path"] for s in self.segments(dataset_id)}
+        for load in self._loads(dataset_id):
+            if load["path"] not in current:
+                self.remove(load["path"])
+
     def segments(self, dataset_id: str) -> list:
         """Published loads that make up the current version, oldest first."""
-        rows = self.log("loads").where(F.col("dataset_id") == dataset_id).orderBy("seq").collect()
+        rows = self._loads(dataset_id)
         starts = [i for i, r in enumerate(rows) if r["mode"] == "replace"]
         return rows[starts[-1] :] if starts else rows
 

@@ -46,23 +46,22 @@ def write_lookup_layout(df: DataFrame, path: str, sort_by: str | None = None) ->
 
 
 def _write_group(
-    spark: SparkSession, group: FileGroup, labels: list[str], path: str, base: int, lone_backslash: str
+    catalog: Catalog, group: FileGroup, labels: list[str], path: str, base: int, lone_backslash: str
 ) -> dict:
     """Write one file group; plan again where the first look was wrong."""
     joined, exact = group.quoted_newlines, "\n" in group.header
     for attempt in range(4):
         target = f"{path}/part{attempt}"
-        parsed = parse(spark, group, labels, joined, exact, base, lone_backslash)
+        parsed = parse(catalog.spark, group, labels, joined, exact, base, lone_backslash)
         write_records(parsed.rows, target, labels)
         facts = parsed.facts()
         if not joined and facts["open"]:
             joined = True
-        elif facts["stray"]:
-            continue
-        elif not exact and facts["heads"] != len(group.files):
+        elif not facts["stray"] and not exact and facts["heads"] != len(group.files):
             exact = True
-        else:
+        elif not facts["stray"]:
             return {"path": target, **facts}
+        catalog.remove(target)
     raise LoadRejected("the input was split differently each time it was read")
 
 
@@ -113,10 +112,16 @@ def _load(
 
     table = "data_" + dataset_id.replace("-", "")
     folder = f"{catalog.data_folder(table)}/load-{uuid.uuid4().hex}"
-    facts = [_write_group(spark, g, labels, f"{folder}/group{i}", base, lone_backslash) for i, g in enumerate(groups)]
-    too_long = sum(f["overlong"] for f in facts)
-    if too_long:
-        raise LoadRejected(f"{too_long} rows have more values than the header has labels")
+    try:
+        facts = [
+            _write_group(catalog, g, labels, f"{folder}/group{i}", base, lone_backslash) for i, g in enumerate(groups)
+        ]
+        too_long = sum(f["overlong"] for f in facts)
+        if too_long:
+            raise LoadRejected(f"{too_long} rows have more values than the header has labels")
+    except Exception:
+        catalog.remove(folder)
+        raise
     next_rownr = max((f["max_rownr"] for f in facts if f["max_rownr"] is not None), default=base - 1) + 1
     loads = [
         {

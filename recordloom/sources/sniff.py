@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import codecs
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -95,25 +95,50 @@ def _open(path: str):
     return system.open_input_stream(inner)
 
 
+def _look(read: Callable[[int], bytes]) -> tuple:
+    """Charset and ``head_facts`` of a file, reading on until its header is complete."""
+    head = read(HEAD_BYTES)
+    if not head:
+        return "UTF-8", ",", None, False, "empty file"
+    charset, complete = charset_of(head), len(head) < HEAD_BYTES
+    facts = head_facts(head, complete, charset)
+    while facts is None:
+        more = read(len(head))
+        head += more
+        facts = head_facts(head, not more or len(head) > LONGEST_HEAD, charset)
+    return charset, *facts
+
+
+UNREACHED = "not reached"
+
+
 def _read_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for path, size in zip(batch["path"], batch["size"]):
-            with _open(unquote(path)) as stream:
-                head = stream.read(HEAD_BYTES)
-                charset = charset_of(head)
-                complete = len(head) < HEAD_BYTES
-                facts = head_facts(head, complete, charset) if head else (",", None, False, "empty file")
-                while facts is None:
-                    more = stream.read(len(head))
-                    head, complete = head + more, not more or len(head) > LONGEST_HEAD
-                    facts = head_facts(head, complete, charset)
-            rows.append((path, size, charset, *facts))
+            try:
+                with _open(unquote(path)) as stream:
+                    rows.append((path, size, *_look(stream.read)))
+            except (OSError, ValueError, NotImplementedError):  # no Python access to this file system
+                rows.append((path, size, None, None, None, None, UNREACHED))
         yield pd.DataFrame(rows, columns=["path", "size", "charset", "sep", "header", "open", "problem"])
 
 
+def _look_through_hadoop(spark: SparkSession, path: str) -> tuple:
+    """``_look`` by the driver, for file systems that only Hadoop knows."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(unquote(path))
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    io = jvm.org.apache.commons.io
+    try:
+        return _look(lambda n: bytes(io.IOUtils.toByteArray(io.input.BoundedInputStream(stream, n))))
+    finally:
+        stream.close()
+
+
 def files_under(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Files of a path, a folder or a glob: ``path, size``. Reads no content."""
+    """Files of a path, a folder or a glob that are not empty: ``path, size``.
+    Reads no content."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return listed.select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("size"))
 
@@ -152,13 +177,16 @@ def file_groups(spark: SparkSession, path: str | list[str]) -> list[FileGroup]:
         raise LoadRejected(f"no file at {path}")
     groups: dict[tuple, dict] = {}
     base = 0
-    for row in rows:
-        if row["problem"]:
-            raise LoadRejected(f"{row['problem']}: {row['path']}")
-        group = groups.setdefault((row["charset"], row["sep"], row["header"]), {"files": [], "open": False})
-        group["files"].append((row["path"], base))
-        group["open"] |= row["open"]
-        base += row["size"] + _SLACK
+    for name, size, *facts in rows:
+        if facts[-1] == UNREACHED:
+            facts = _look_through_hadoop(spark, name)
+        charset, sep, header, is_open, problem = facts
+        if problem:
+            raise LoadRejected(f"{problem}: {name}")
+        group = groups.setdefault((charset, sep, header), {"files": [], "open": False})
+        group["files"].append((name, base))
+        group["open"] |= is_open
+        base += size + _SLACK
     out = []
     for (charset, sep, header), group in groups.items():
         labels = tuple(normal_labels(header_cells(header, sep)))

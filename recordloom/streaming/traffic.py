@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from recordloom.functions.text import col
-from recordloom.operators.traffic import SlidingWindow
+from recordloom.operators.traffic import SlidingWindow, micros
 
 
 def sliding_counts(events: DataFrame, key: str, ts: str, seconds: int, step: int, delay: str) -> DataFrame:
     """Requests per key in windows of ``seconds`` starting every ``step`` seconds.
     A window is final once the watermark, ``delay`` behind the newest event,
     has passed its end."""
-    timed = events.select(col(key).alias("key"), col(ts).cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    when = F.timestamp_micros(micros(events, ts))
+    timed = events.select(col(key).alias("key"), when.alias("ts")).withWatermark("ts", delay)
     counts = timed.groupBy(F.window("ts", f"{seconds} seconds", f"{step} seconds"), "key").agg(F.count("*").alias("n"))
     return counts.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "key", "n")
 
@@ -45,9 +46,8 @@ def sliding_admission_stream(events: DataFrame, key: str, ts: str, order: str, l
             state.setTimeoutTimestamp(max(int(window.admitted[-1]) + span, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": k[0], "order": rows["order"].to_numpy(), "at_ms": at, "admitted": admitted})
 
-    timed = events.select(
-        col(key).alias("key"), col(order).alias("order"), col(ts).cast("timestamp").alias("ts")
-    ).withWatermark("ts", delay)
+    when = F.timestamp_micros(micros(events, ts)).alias("ts")
+    timed = events.select(col(key).alias("key"), col(order).alias("order"), when).withWatermark("ts", delay)
     slim = timed.withColumn("at_ms", F.unix_millis("ts"))
     key_type = slim.schema["key"].dataType.simpleString()
     order_type = slim.schema["order"].dataType.simpleString()

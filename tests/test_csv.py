@@ -178,3 +178,10 @@ def test_overlong_rows_are_listed(spark, write_file):
 def test_json_array(spark):
     df = spark.createDataFrame([(0, "x", None), (1, "", 'q"')], f"{ROWNR} long, a string, b string")
     assert "".join(json_array(df, ordered=True)) == '[{"a":"x"},\n{"a":"","b":"q\\""}]'
+
+
+def test_heads_read_through_hadoop_are_the_same(spark, write_file):
+    for data in (b'a;"b\n";c\nx;y;z\n', "é,b\n".encode("cp1252") + b"x" * 600_000, b"a," + b"b" * 700_000 + b"\n1,2\n"):
+        path = write_file(data)
+        row = sniff.sniff_files(spark, path).first()
+        assert tuple(row)[2:] == sniff._look_through_hadoop(spark, f"file:{path}")

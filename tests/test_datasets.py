@@ -76,6 +76,8 @@ def test_append_and_replace(catalog, write_file):
     assert stored(catalog, dataset_id) == PEOPLE_ROWS * 2
     assert load_csv(catalog, dataset_id, write_file("x\n1\n2"), mode="replace") == registry.AVAILABLE
     assert stored(catalog, dataset_id) == [("1",), ("2",)]
+    catalog.remove_replaced(dataset_id)
+    assert stored(catalog, dataset_id) == [("1",), ("2",)]
 
 
 def test_append_reordered_columns_and_after_header_only(catalog, write_file):
