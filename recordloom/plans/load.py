@@ -116,6 +116,8 @@ def _load(
         facts = [
             _write_group(catalog, g, labels, f"{folder}/group{i}", base, lone_backslash) for i, g in enumerate(groups)
         ]
+        if any(f["undecodable"] for f in facts):
+            raise LoadRejected("the text is not in the charset its head shows")
         too_long = sum(f["overlong"] for f in facts)
         if too_long:
             raise LoadRejected(f"{too_long} rows have more values than the header has labels")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, fu
 
 from recordloom.errors import LoadRejected
 from recordloom.session import fresh_folder
-from recordloom.sources.csv_text import cells, decoded, ends_open
+from recordloom.sources.csv_text import cells, decoded, ends_open, undecodable
 from recordloom.sources.records import ROWNR
 from recordloom.sources.sniff import FileGroup, file_groups
 
@@ -212,6 +212,7 @@ def parse(
         F.count_if(F.col("head")).alias("heads"),
         F.count_if(is_open).alias("open"),
         F.count_if(F.col("stray")).alias("stray"),
+        F.count_if(undecodable(F.col("value"), group.charset)).alias("undecodable"),
         F.count_if(data & (F.size("cells") > n)).alias("overlong"),
         F.max(F.when(data, F.col(ROWNR))).alias("max_rownr"),
     ]

@@ -77,3 +77,10 @@ def decoded(value: Column, charset: str) -> Column:
         return value
     latin = F.decode(value.cast("binary"), "ISO-8859-1")
     return F.translate(latin, C1_BYTES, C1_TEXT) if charset == "windows-1252" else latin
+
+
+def undecodable(line: Column, charset: str) -> Column:
+    """Whether a decoded line holds bytes that mean nothing in its charset."""
+    if charset == "UTF-8":
+        return ~F.is_valid_utf8(line)
+    return line.contains("\ufffd") if charset == "windows-1252" else F.lit(False)

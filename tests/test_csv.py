@@ -39,6 +39,8 @@ from recordloom.sources.records import ROWNR
         ("a,b,c,,\n1,2,3\n4,5,\n", ["a", "b", "c"], [("1", "2", "3"), ("4", "5", "")]),
         ("", None, None),
         ("a,b\n5 \x80,x".encode("latin-1"), ["a", "b"], [("5 €", "x")]),
+        pytest.param(b"a,b\n" + b"1,2\n" * 150_000 + b"\xe9,1\n", None, None, id="late-latin"),
+        (b"a,b\n\xe9,\x81\n", None, None),
         ("a.b,`c`\n1,2", ["a.b", "`c`"], [("1", "2")]),
     ],
 )
