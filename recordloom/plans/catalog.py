@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from recordloom import errors
 from recordloom.functions.ids import UUID_SHAPE
 from recordloom.operators import registry
+from recordloom.sources.csv_records import LONGEST_LOOKUP
 from recordloom.sources.records import record_schema
 
 LOGS = {
@@ -26,11 +27,11 @@ LOGS = {
     "status": "dataset_id string, seq long, status int",
     "aliases": "dataset_id string, seq long, aliases array<string>",
     "loads": "dataset_id string, seq long, mode string, path string, labels array<string>, "
-    "n_rows long, next_rownr long, max_lengths array<int>, source string",
+    "n_rows long, next_rownr long, long_values array<int>, source string",
 }
 
 
-_LOAD_FIELDS = ("mode", "path", "labels", "n_rows", "next_rownr", "max_lengths", "source")
+_LOAD_FIELDS = ("mode", "path", "labels", "n_rows", "next_rownr", "long_values", "source")
 
 
 class Catalog:
@@ -210,13 +211,14 @@ class Catalog:
         schema = record_schema(list(segments[0]["labels"]))
         return self.spark.read.schema(schema).parquet(*[s["path"] for s in segments])
 
-    def lookup_columns(self, dataset_id: str, longest: int = 256) -> list[str]:
-        """Columns whose stored values are all short enough for a lookup layout."""
+    def lookup_columns(self, dataset_id: str) -> list[str]:
+        """Columns whose stored values are all short enough for a lookup layout. Loads
+        note the longest value of lines over that length; shorter lines cannot matter."""
         most: dict[str, int] = {}
         for s in self.segments(dataset_id):
-            for label, n in zip(s["labels"], s["max_lengths"]):
+            for label, n in zip(s["labels"], s["long_values"]):
                 most[label] = max(most.get(label, 0), n or 0)
-        return [label for label, n in most.items() if n <= longest]
+        return [label for label, n in most.items() if n <= LONGEST_LOOKUP]
 
     def info(self, name: str, base_url: str = "") -> DataFrame:
         from recordloom.operators.profile import dataset_info

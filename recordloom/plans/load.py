@@ -16,14 +16,10 @@ from recordloom.errors import LoadRejected, RecordError
 from recordloom.operators import registry
 from recordloom.operators.sets import same_labels
 from recordloom.plans.catalog import Catalog
-from recordloom.sources.csv_records import parse
+from recordloom.sources.csv_records import LONGEST_LOOKUP, parse
 from recordloom.sources.records import ROWNR, labels_of
 from recordloom.sources.sniff import FileGroup, file_groups
 
-# Fixed value: columns with longer values get no lookup layout.
-LONGEST_LOOKUP = 256
-
-
 def lookup_options(columns: list[str]) -> dict[str, str]:
     """Parquet writer options for equality lookups on some columns."""
     return {f"parquet.bloom.filter.enabled#{c}": "true" for c in columns}
@@ -132,7 +128,7 @@ def _load(
             "labels": labels,
             "n_rows": f["rows"],
             "next_rownr": next_rownr,
-            "max_lengths": [f[f"len_{j}"] or 0 for j in range(len(labels))],
+            "long_values": [f[f"len_{j}"] or 0 for j in range(len(labels))],
             "source": source,
         }
         for i, f in enumerate(facts)

@@ -23,6 +23,9 @@ from recordloom.sources.sniff import FileGroup, file_groups
 # Rows of a helper table up to which it is broadcast; above, it is joined by shuffle.
 BROADCAST_ROWS = 200_000
 
+# Fixed value: columns with longer values get no lookup layout.
+LONGEST_LOOKUP = 256
+
 _SEQUENCE = (1 << 33) - 1  # low bits of monotonically_increasing_id: position in its partition
 _WHOLE = ("UTF-16LE", "UTF-16BE", "UTF-32LE", "UTF-32BE")
 
@@ -57,17 +60,20 @@ def lines(spark: SparkSession, group: FileGroup) -> DataFrame:
     return raw.select(where, block, F.monotonically_increasing_id().alias("id"), decoded(F.col("value"), group.charset).alias("value"))
 
 
-def _with_state(df: DataFrame, step: Window, done_out: str, done_in: str) -> DataFrame:
+def _with_state(df: DataFrame, step: Window, done_out: str, done_in: str, fixes: bool = True) -> DataFrame:
     """``df`` plus ``state`` (0 outside, 1 inside quotes) before each row of an
     ordered window whose first row starts outside.
 
     A row keeps both states, swaps them, or sends both to one state. The last row
-    of the third kind and the parity of the swaps since then decide.
+    of the third kind, which only backslashes can make, and the parity of the
+    swaps since then decide. ``fixes=False`` promises that there is none.
     """
     upto = step.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = step.rowsBetween(Window.unboundedPreceding, -1)
     out, into = F.col(done_out), F.col(done_in)
     swap = F.when(out & ~into, 1).otherwise(0)
+    if not fixes:
+        return df.withColumn("state", F.coalesce(F.sum(swap).over(before), F.lit(0)) % 2)
     df = df.withColumn("__parity", F.sum(swap).over(upto) % 2)
     df = df.withColumn("__fixed", F.when(out == into, (out.cast("int") + F.col("__parity")) % 2))
     last = F.coalesce(F.last("__fixed", ignorenulls=True).over(before), F.lit(0))
@@ -76,11 +82,11 @@ def _with_state(df: DataFrame, step: Window, done_out: str, done_in: str) -> Dat
 
 
 def block_summaries(text: DataFrame) -> DataFrame:
-    """``file, block, inside, close, home, ends_inside`` per scan block.
+    """``file, block, inside, close, home, ends_inside, fixes`` per scan block.
 
     ``inside`` tells whether the block starts inside quotes; then its lines up to
-    id ``close`` (all if null) belong to a record that starts in block ``home``.
-    All lines of a block are in one scan task, so the aggregate is complete
+    id ``close`` (all if null) belong to a record that starts in block ``home``;
+    ``fixes`` tells of lines that end in one state wherever they start. All lines of a block are in one scan task, so the aggregate is complete
     before the shuffle and sends one row per block.
     """
     out, into = ends_open(F.col("value")), ends_open(F.col("value"), inside=True)
@@ -98,8 +104,9 @@ def block_summaries(text: DataFrame) -> DataFrame:
 
         return F.aggregate("events", zero, step)
 
-    both = events.select("file", "block", walk(False).alias("f"), walk(True).alias("t"))
-    flat = both.select("file", "block", "f", "t", F.col("f.s").alias("out"), F.col("t.s").alias("into"))
+    fixes = F.exists("events", lambda e: e["o"] == e["i"]).alias("fixes")
+    both = events.select("file", "block", walk(False).alias("f"), walk(True).alias("t"), fixes)
+    flat = both.select("file", "block", "f", "t", "fixes", F.col("f.s").alias("out"), F.col("t.s").alias("into"))
     # One row per scan block of a file: its size / 128 MB rows in a window.
     step = Window.partitionBy("file").orderBy("block")
     chained = _with_state(flat, step, "out", "into")
@@ -115,10 +122,11 @@ def block_summaries(text: DataFrame) -> DataFrame:
         F.when(inside, F.col("t.closed")).alias("close"),
         home.alias("home"),
         mine["s"].alias("ends_inside"),
+        "fixes",
     )
 
 
-def joined_lines(text: DataFrame, summaries: DataFrame, n_blocks: int) -> DataFrame:
+def joined_lines(text: DataFrame, summaries: DataFrame, n_blocks: int, fixes: bool = True) -> DataFrame:
     """Lines to records that may span lines and blocks: same columns as ``lines``
     plus ``stray``, true if the scan was split differently than summed up."""
     known = summaries.select(
@@ -137,7 +145,7 @@ def joined_lines(text: DataFrame, summaries: DataFrame, n_blocks: int) -> DataFr
         ends_open(F.col("value"), inside=True).alias("into"),
     )
     step = Window.partitionBy("file", "start_block").orderBy("block", "id")
-    stated = _with_state(placed, step, "out", "into")
+    stated = _with_state(placed, step, "out", "into", fixes)
     begins = F.when(F.col("state") == 0, F.struct("block", "id"))
     record = F.last(begins, ignorenulls=True).over(step.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     grouped = stated.withColumn("record", record).groupBy("file", "start_block", "record").agg(
@@ -182,11 +190,13 @@ def parse(
         folder = fresh_folder(spark, "blocks")
         block_summaries(text).write.parquet(folder)
         summaries = spark.read.parquet(folder)
-        ends = summaries.groupBy("file").agg(F.max_by("ends_inside", "block").alias("open"), F.count("*").alias("n"))
-        open_files, n_blocks = ends.agg(F.count_if("open"), F.sum("n")).first()
+        ends = summaries.groupBy("file").agg(
+            F.max_by("ends_inside", "block").alias("open"), F.count("*").alias("n"), F.max("fixes").alias("fixes")
+        )
+        open_files, n_blocks, fixes = ends.agg(F.count_if("open"), F.sum("n"), F.max("fixes")).first()
         if open_files:
             raise LoadRejected("a quoted cell is not closed at the end of the file")
-        records = joined_lines(text, summaries, n_blocks)
+        records = joined_lines(text, summaries, n_blocks, fixes)
     else:
         records = text.withColumn("stray", F.lit(False))
 
@@ -217,7 +227,11 @@ def parse(
         F.max(F.when(data, F.col(ROWNR))).alias("max_rownr"),
     ]
     place = {label: i for i, label in enumerate(group.labels)}
-    metrics += [F.max(F.when(data, F.length(F.get("cells", F.lit(place[label]))))).alias(f"len_{i}") for i, label in enumerate(labels)]
+    # Lengths matter beyond LONGEST_LOOKUP only, so short lines are not measured.
+    measured = data & (F.octet_length("value") > LONGEST_LOOKUP)
+    for i, label in enumerate(labels):
+        length = F.length(F.get("cells", F.lit(place[label])))
+        metrics.append(F.max(F.when(measured, length)).alias(f"len_{i}"))
     watched = values.observe(seen, *metrics).where(data)
     picked = [F.get("cells", F.lit(place[label])).alias(label) for label in labels]
     extra = [F.size("cells").alias("__cells"), F.col("value").alias("__text")] if keep_rejects else []

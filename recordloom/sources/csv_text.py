@@ -28,11 +28,19 @@ WHOLE_CELL = r'(?s)^\s*+"([^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+)"\z'
 
 def ends_open(line: Column, inside: bool = False) -> Column:
     """Whether a quoted part is still open at the end of a line that starts
-    outside or inside one. A quote left after taking out all complete parts is
-    an open one."""
+    outside or inside one.
+
+    Without backslashes every quote changes sides, a doubled one twice. With
+    them, a quote left after taking out all complete parts is an open one.
+    """
+    quotes = F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))
     text = F.concat(F.lit('"'), line) if inside else line
     rest = F.regexp_replace(text, rf'(?s)\\["\\]|{QUOTED}', "")
-    return F.when(line.contains('"'), rest.contains('"')).otherwise(F.lit(inside))
+    return (
+        F.when(~line.contains('"'), F.lit(inside))
+        .when(~line.contains("\\"), quotes % 2 == F.lit(0 if inside else 1))
+        .otherwise(rest.contains('"'))
+    )
 
 
 def raw_cells(record: Column, sep: str) -> Column:
@@ -42,10 +50,17 @@ def raw_cells(record: Column, sep: str) -> Column:
 
 def cell_value(cell: Column, lone_backslash: str = "keep") -> Column:
     """Text of a raw cell. A backslash before any character but ``"`` and ``\\``
-    stays, or goes with ``lone_backslash="drop"``."""
+    stays, or goes with ``lone_backslash="drop"``. Cells that are plain, or quoted
+    as a whole without backslashes, need no regular expression."""
     covered = r'\\(["\\]?)' if lone_backslash == "drop" else r'\\(["\\])'
     bare = F.regexp_replace(cell, WHOLE_CELL, "$1")
-    return F.regexp_replace(bare, covered + r'|"(")', "$1$2")
+    parsed = F.regexp_replace(bare, covered + r'|"(")', "$1$2")
+    inner = F.substring(cell, F.lit(2), F.length(cell) - 2)
+    double, single = F.lit('""'), F.lit('"')
+    whole = cell.startswith('"') & cell.endswith('"') & (F.length(cell) > 1) & ~cell.contains("\\")
+    whole = whole & ~F.replace(inner, double, F.lit("")).contains('"')
+    plain = ~cell.contains('"') & ~cell.contains("\\")
+    return F.when(plain, cell).when(whole, F.replace(inner, double, single)).otherwise(parsed)
 
 
 def cells(record: Column, sep: str, lone_backslash: str = "keep") -> Column:
