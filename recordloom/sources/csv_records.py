@@ -2,16 +2,20 @@
 
 Files are read line by line with Spark's splittable text source. Where quoted
 cells hold line breaks, lines are put together again without giving a file to
-one task: each scan block is summed up as a step from "outside quotes" or
-"inside quotes" to the state at its end, the few summaries are chained per file,
-and only then are lines shuffled, by the block in which their record starts.
+one task and without shuffling the text: each scan block is summed up as a step
+from "outside quotes" or "inside quotes" to the state at its end, the few
+summaries are chained per file, and then every block can be read on its own.
+Only records that cross a block edge, at most two parts per block, are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from recordloom.errors import LoadRejected
@@ -21,7 +25,7 @@ from recordloom.sources.records import ROWNR
 from recordloom.sources.sniff import FileGroup, file_groups
 
 # Rows of a helper table up to which it is broadcast; above, it is joined by shuffle.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 1_000_000
 
 # Fixed value: columns with longer values get no lookup layout.
 LONGEST_LOOKUP = 256
@@ -40,40 +44,45 @@ def _literal_path(path: str) -> str:
     return "".join("\\" + ch if ch in "\\[]{}*?" else ch for ch in unquote(path))
 
 
-def lines(spark: SparkSession, group: FileGroup) -> DataFrame:
-    """``file, block, id, value``: lines in order of ``(file, block, id)``.
+def lines(spark: SparkSession, group: FileGroup, base: int = 0) -> DataFrame:
+    """``base, block, id, value``: lines in order of all three.
 
-    ``block`` is the offset of the scan split, ``id`` grows within it. UTF-16 and
-    UTF-32 files cannot be split at line ends by the text source; such a file is
-    decoded as one value, and Spark refuses those over 2 GB.
+    ``base`` is the row number base of the file and stands for it, ``block`` is
+    the offset of the scan split, ``id`` grows within it. UTF-16 and UTF-32 files
+    cannot be split at line ends by the text source; such a file is decoded as
+    one value, and Spark refuses those over 2 GB.
     """
     paths = group.root or [_literal_path(p) for p, _ in group.files]
     where = F.col("_metadata.file_path").alias("file")
     if group.charset in _WHOLE:
         name = "UTF-16" if group.charset.startswith("UTF-16") else "UTF-32"
-        text = F.regexp_replace(F.decode("content", name), "^﻿", "")
+        text = F.regexp_replace(F.decode("content", name), "^\ufeff", "")
         text = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\n\z", "")
-        whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select(where, F.posexplode(F.split(text, "\n", -1)))
-        return whole.select("file", F.lit(0).cast("long").alias("block"), F.col("pos").cast("long").alias("id"), F.col("col").alias("value"))
-    raw = spark.read.option("recursiveFileLookup", "true").text(paths)
-    block = F.col("_metadata.file_block_start").alias("block")
-    return raw.select(where, block, F.monotonically_increasing_id().alias("id"), decoded(F.col("value"), group.charset).alias("value"))
+        whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+        split = whole.select(where, F.posexplode(F.split(text, "\n", -1)).alias("id", "value"))
+        found = split.select("file", F.lit(0).cast("long").alias("block"), F.col("id").cast("long").alias("id"), "value")
+    else:
+        raw = spark.read.option("recursiveFileLookup", "true").text(paths)
+        block, text = F.col("_metadata.file_block_start"), decoded(F.col("value"), group.charset)
+        found = raw.select(where, block.alias("block"), F.monotonically_increasing_id().alias("id"), text.alias("value"))
+    if len(group.files) == 1:
+        return found.select(F.lit(base + group.files[0][1]).cast("long").alias("base"), "block", "id", "value")
+    table = spark.createDataFrame([(p, base + b) for p, b in group.files], "path string, base long")
+    return found.join(_sized(table, len(group.files)), F.col("file") == F.col("path")).select("base", "block", "id", "value")
 
 
-def _with_state(df: DataFrame, step: Window, done_out: str, done_in: str, fixes: bool = True) -> DataFrame:
+def _with_state(df: DataFrame, step: Window, done_out: str, done_in: str) -> DataFrame:
     """``df`` plus ``state`` (0 outside, 1 inside quotes) before each row of an
     ordered window whose first row starts outside.
 
     A row keeps both states, swaps them, or sends both to one state. The last row
     of the third kind, which only backslashes can make, and the parity of the
-    swaps since then decide. ``fixes=False`` promises that there is none.
+    swaps since then decide.
     """
     upto = step.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = step.rowsBetween(Window.unboundedPreceding, -1)
     out, into = F.col(done_out), F.col(done_in)
     swap = F.when(out & ~into, 1).otherwise(0)
-    if not fixes:
-        return df.withColumn("state", F.coalesce(F.sum(swap).over(before), F.lit(0)) % 2)
     df = df.withColumn("__parity", F.sum(swap).over(upto) % 2)
     df = df.withColumn("__fixed", F.when(out == into, (out.cast("int") + F.col("__parity")) % 2))
     last = F.coalesce(F.last("__fixed", ignorenulls=True).over(before), F.lit(0))
@@ -82,19 +91,23 @@ def _with_state(df: DataFrame, step: Window, done_out: str, done_in: str, fixes:
 
 
 def block_summaries(text: DataFrame) -> DataFrame:
-    """``file, block, inside, close, home, ends_inside, fixes`` per scan block.
+    """One row per scan block: ``base, block`` and
+
+    - ``inside``: whether it starts inside quotes; its lines up to id ``close``
+      (all if null) then belong to the record that starts at ``home.block, home.id``,
+    - ``ends_inside``: whether it ends inside; lines from id ``opened`` on (null if
+      the record came in from before) then belong to a record that goes on.
 
-    ``inside`` tells whether the block starts inside quotes; then its lines up to
-    id ``close`` (all if null) belong to a record that starts in block ``home``;
-    ``fixes`` tells of lines that end in one state wherever they start. All lines of a block are in one scan task, so the aggregate is complete
+    All lines of a block are in one scan task, so the aggregate is complete
     before the shuffle and sends one row per block.
     """
     out, into = ends_open(F.col("value")), ends_open(F.col("value"), inside=True)
     event = F.when(out | ~into, F.struct("id", out.alias("o"), into.alias("i")))
-    events = text.groupBy("file", "block").agg(F.sort_array(F.collect_list(event)).alias("events"))
+    events = text.groupBy("base", "block").agg(F.sort_array(F.collect_list(event)).alias("events"))
 
     def walk(start: bool) -> Column:
-        zero = F.struct(F.lit(start).alias("s"), F.lit(None).cast("long").alias("opened"), F.lit(None).cast("long").alias("closed"))
+        none = F.lit(None).cast("long")
+        zero = F.struct(F.lit(start).alias("s"), none.alias("opened"), none.alias("closed"))
 
         def step(acc: Column, e: Column) -> Column:
             now = F.when(acc["s"], e["i"]).otherwise(e["o"])
@@ -104,55 +117,106 @@ def block_summaries(text: DataFrame) -> DataFrame:
 
         return F.aggregate("events", zero, step)
 
-    fixes = F.exists("events", lambda e: e["o"] == e["i"]).alias("fixes")
-    both = events.select("file", "block", walk(False).alias("f"), walk(True).alias("t"), fixes)
-    flat = both.select("file", "block", "f", "t", "fixes", F.col("f.s").alias("out"), F.col("t.s").alias("into"))
+    both = events.select("base", "block", walk(False).alias("f"), walk(True).alias("t"))
+    flat = both.select("*", F.col("f.s").alias("out"), F.col("t.s").alias("into"))
     # One row per scan block of a file: its size / 128 MB rows in a window.
-    step = Window.partitionBy("file").orderBy("block")
-    chained = _with_state(flat, step, "out", "into")
+    step = Window.partitionBy("base").orderBy("block")
     inside = F.col("state") == 1
-    mine = F.when(inside, F.col("t")).otherwise(F.col("f"))
-    opener = F.when(mine["s"] & mine["opened"].isNotNull(), F.col("block"))
+    chained = _with_state(flat, step, "out", "into").select(
+        "base", "block", inside.alias("inside"), F.when(inside, F.col("t")).otherwise(F.col("f")).alias("m")
+    )
+    opener = F.when(F.col("m.s") & F.col("m.opened").isNotNull(), F.struct("block", F.col("m.opened").alias("id")))
     chained = chained.withColumn("opener", opener)
     home = F.last("opener", ignorenulls=True).over(step.rowsBetween(Window.unboundedPreceding, -1))
     return chained.select(
-        "file",
+        "base",
         "block",
-        inside.alias("inside"),
-        F.when(inside, F.col("t.closed")).alias("close"),
+        "inside",
+        F.when(F.col("inside"), F.col("m.closed")).alias("close"),
         home.alias("home"),
-        mine["s"].alias("ends_inside"),
-        "fixes",
+        F.col("m.s").alias("ends_inside"),
+        F.when(F.col("m.s"), F.col("m.opened")).alias("opened"),
     )
 
 
-def joined_lines(text: DataFrame, summaries: DataFrame, n_blocks: int, fixes: bool = True) -> DataFrame:
-    """Lines to records that may span lines and blocks: same columns as ``lines``
-    plus ``stray``, true if the scan was split differently than summed up."""
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of whole records, block by block in order, to one row per record.
+
+    Every block starts and ends outside quotes here. Only lines that change
+    sides are stepped through.
+    """
+    state, last, pending = False, None, None
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        base, block, number, value = zip(*found)
+        arrays = [pa.array(c, pa.int64()) for c in (base, block, number)] + [pa.array(value, pa.string())]
+        return pa.RecordBatch.from_arrays(arrays, names=["base", "block", "id", "value"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        base, block, number = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("base", "block", "id"))
+        out, into = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("out", "into"))
+        values = batch.column("value").to_pylist()
+        edge = np.ones(len(base), dtype=bool)
+        edge[1:] = (base[1:] != base[:-1]) | (block[1:] != block[:-1])
+        edge[0] = last != (base[0], block[0])
+        last = (base[-1], block[-1])
+        before, done = np.empty(len(base), dtype=bool), 0
+        for e in np.flatnonzero(out | ~into | edge).tolist():
+            before[done:e] = state
+            state = before[e] = state and not edge[e]
+            state = bool(into[e]) if state else bool(out[e])
+            done = e + 1
+        before[done:] = state
+        starts = np.flatnonzero(~before).tolist()
+        if not starts:
+            pending[3].extend(values)
+            continue
+        found = []
+        if pending:
+            pending[3].extend(values[: starts[0]])
+            found.append((*pending[:3], "\n".join(pending[3])))
+        for a, b in zip(starts, starts[1:]):
+            found.append((base[a], block[a], number[a], values[a] if b == a + 1 else "\n".join(values[a:b])))
+        a = starts[-1]
+        pending = (base[a], block[a], number[a], values[a:])
+        if found:
+            yield rows(found)
+    if pending:
+        yield rows([(*pending[:3], "\n".join(pending[3]))])
+
+
+def joined_lines(text: DataFrame, summaries: DataFrame, n_blocks: int) -> DataFrame:
+    """Lines to records that may span lines and blocks: same columns as ``lines``.
+
+    A line without a summary means that the scan was split differently than it
+    was summed up; such lines get ``id`` -1 for the caller to notice.
+    """
     known = summaries.select(
-        F.col("file").alias("sf"), F.col("block").alias("sb"), "inside", "close", "home"
+        F.col("base").alias("sb"), F.col("block").alias("sk"), "inside", "close", "home", "ends_inside", "opened"
     )
-    placed = text.join(_sized(known, n_blocks), (F.col("file") == F.col("sf")) & (F.col("block") == F.col("sb")), "left")
+    placed = text.join(_sized(known, n_blocks), (F.col("base") == F.col("sb")) & (F.col("block") == F.col("sk")), "left")
     orphan = F.col("inside") & (F.col("close").isNull() | (F.col("id") <= F.col("close")))
-    placed = placed.select(
-        "file",
-        "block",
-        "id",
-        "value",
-        F.when(orphan, F.col("home")).otherwise(F.col("block")).alias("start_block"),
-        F.col("inside").isNull().alias("stray"),
-        ends_open(F.col("value")).alias("out"),
-        ends_open(F.col("value"), inside=True).alias("into"),
-    )
-    step = Window.partitionBy("file", "start_block").orderBy("block", "id")
-    stated = _with_state(placed, step, "out", "into", fixes)
-    begins = F.when(F.col("state") == 0, F.struct("block", "id"))
-    record = F.last(begins, ignorenulls=True).over(step.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    grouped = stated.withColumn("record", record).groupBy("file", "start_block", "record").agg(
-        F.sort_array(F.collect_list(F.struct("block", "id", "value"))).alias("parts"), F.max("stray").alias("stray")
+    tail = F.col("ends_inside") & (F.col("id") >= F.col("opened"))
+    placed = placed.withColumn("orphan", F.coalesce(orphan, F.lit(False))).withColumn("tail", F.coalesce(tail, F.lit(False)))
+    placed = placed.withColumn("id", F.when(F.col("inside").isNotNull(), F.col("id")).otherwise(-1))
+
+    crossing = F.col("orphan") | F.col("tail")
+    start = F.when(F.col("orphan"), F.col("home")).otherwise(F.struct("block", F.col("opened").alias("id")))
+    parts = placed.where(crossing).select("base", start.alias("start"), F.struct("block", "id", "value").alias("part"))
+    joined = parts.groupBy("base", "start").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    long = joined.select(
+        "base",
+        F.col("start.block").alias("block"),
+        F.col("start.id").alias("id"),
+        F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("value"),
     )
-    text_of = F.array_join(F.transform("parts", lambda p: p["value"]), "\n")
-    return grouped.select("file", F.col("record.block").alias("block"), F.col("record.id").alias("id"), text_of.alias("value"), "stray")
+    out, into = ends_open(F.col("value")), ends_open(F.col("value"), inside=True)
+    within = placed.where(~crossing).select("base", "block", "id", "value", out.alias("out"), into.alias("into"))
+    if n_blocks > BROADCAST_ROWS:  # a shuffled join loses the order of the scan
+        within = within.sortWithinPartitions("base", "block", "id")
+    return within.mapInArrow(_assemble, "base long, block long, id long, value string").unionAll(long)
 
 
 @dataclass
@@ -185,30 +249,29 @@ def parse(
     caller plans again with ``exact_headers``, which looks up the first line of
     each file.
     """
-    text = lines(spark, group)
+    records = lines(spark, group, base)
     if quoted_newlines:
         folder = fresh_folder(spark, "blocks")
-        block_summaries(text).write.parquet(folder)
+        block_summaries(records).write.parquet(folder)
         summaries = spark.read.parquet(folder)
-        ends = summaries.groupBy("file").agg(
-            F.max_by("ends_inside", "block").alias("open"), F.count("*").alias("n"), F.max("fixes").alias("fixes")
-        )
-        open_files, n_blocks, fixes = ends.agg(F.count_if("open"), F.sum("n"), F.max("fixes")).first()
+        ends = summaries.groupBy("base").agg(F.max_by("ends_inside", "block").alias("open"), F.count("*").alias("n"))
+        open_files, n_blocks = ends.agg(F.count_if("open"), F.sum("n")).first()
         if open_files:
             raise LoadRejected("a quoted cell is not closed at the end of the file")
-        records = joined_lines(text, summaries, n_blocks, fixes)
-    else:
-        records = text.withColumn("stray", F.lit(False))
+        records = joined_lines(records, summaries, n_blocks)
+    records = records.withColumn("stray", F.col("id") < 0)
 
     head = (F.col("block") == 0) & (F.col("value") == F.lit(group.header))
     if exact_headers:
-        firsts = records.where(head).groupBy("file").agg(F.min("id").alias("first_id"))
-        firsts = firsts.withColumnRenamed("file", "first_file")
-        on = (F.col("file") == F.col("first_file")) & (F.col("id") == F.col("first_id")) & (F.col("block") == 0)
-        records = records.join(firsts, on, "left").withColumn("head", F.col("first_id").isNotNull()).drop("first_file", "first_id")
+        firsts = records.where(head).groupBy("base").agg(F.min("id").alias("first_id")).withColumnRenamed("base", "first_base")
+        on = (F.col("base") == F.col("first_base")) & (F.col("id") == F.col("first_id")) & (F.col("block") == 0)
+        records = records.join(firsts, on, "left").withColumn("head", F.col("first_id").isNotNull())
     else:
         records = records.withColumn("head", F.coalesce(head, F.lit(False)))
-    records = _based(spark, records, group, base)
+    # A line takes at least one byte, so block offset plus position in the block
+    # grows strictly over a file: numbers without a shuffle, with gaps.
+    place = F.col("block") + F.col("id").bitwiseAND(F.lit(_SEQUENCE)) + F.when(F.col("block") > 0, 1).otherwise(0)
+    records = records.withColumn(ROWNR, F.col("base") + place)
 
     values = records.withColumn("cells", cells(F.col("value"), group.sep, lone_backslash))
     if quoted_newlines:
@@ -238,20 +301,6 @@ def parse(
     return Parsed(watched.select(ROWNR, *picked, *extra), group, seen)
 
 
-def _based(spark: SparkSession, records: DataFrame, group: FileGroup, base: int) -> DataFrame:
-    """Add row numbers: grow with the place in the file and with the file's path.
-
-    A line takes at least one byte, so block offset plus position in the block
-    grows strictly over a file; numbering needs no shuffle and leaves gaps.
-    """
-    place = F.col("block") + F.col("id").bitwiseAND(F.lit(_SEQUENCE)) + F.when(F.col("block") > 0, 1).otherwise(0)
-    if len(group.files) == 1:
-        return records.withColumn(ROWNR, place + F.lit(base + group.files[0][1]))
-    table = spark.createDataFrame([(p, base + b) for p, b in group.files], "based_file string, base long")
-    joined = records.join(_sized(table, len(group.files)), F.col("file") == F.col("based_file"))
-    return joined.withColumn(ROWNR, place + F.col("base")).drop("based_file", "base")
-
-
 def needs_joining(spark: SparkSession, group: FileGroup) -> bool:
     """Whether any line of the group ends inside quotes: one pass over the text."""
     if group.quoted_newlines:
