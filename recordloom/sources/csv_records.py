@@ -214,8 +214,8 @@ def joined_lines(text: DataFrame, summaries: DataFrame, n_blocks: int) -> DataFr
     )
     out, into = ends_open(F.col("value")), ends_open(F.col("value"), inside=True)
     within = placed.where(~crossing).select("base", "block", "id", "value", out.alias("out"), into.alias("into"))
-    if n_blocks > BROADCAST_ROWS:  # a shuffled join loses the order of the scan
-        within = within.sortWithinPartitions("base", "block", "id")
+    if n_blocks > BROADCAST_ROWS:  # a shuffled join loses the order of the scan and may split a block
+        within = within.repartition("base", "block").sortWithinPartitions("base", "block", "id")
     return within.mapInArrow(_assemble, "base long, block long, id long, value string").unionAll(long)
 
 
