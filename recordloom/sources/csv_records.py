@@ -241,13 +241,14 @@ def parse(
     base: int = 0,
     lone_backslash: str = "keep",
     keep_rejects: bool = False,
+    watch: bool = True,
 ) -> Parsed:
     """Plan the records of a group; the columns are ``labels`` in that order.
 
     Header lines are known by their text in the first block of a file. If data
     repeat that text there, the observed count of headers is too high and the
     caller plans again with ``exact_headers``, which looks up the first line of
-    each file.
+    each file. ``watch=False`` leaves the counting out.
     """
     records = lines(spark, group, base)
     if quoted_newlines:
@@ -265,6 +266,7 @@ def parse(
     if exact_headers:
         firsts = records.where(head).groupBy("base").agg(F.min("id").alias("first_id")).withColumnRenamed("base", "first_base")
         on = (F.col("base") == F.col("first_base")) & (F.col("id") == F.col("first_id")) & (F.col("block") == 0)
+        firsts = _sized(firsts, len(group.files))  # one row per file
         records = records.join(firsts, on, "left").withColumn("head", F.col("first_id").isNotNull())
     else:
         records = records.withColumn("head", F.coalesce(head, F.lit(False)))
@@ -295,7 +297,7 @@ def parse(
     for i, label in enumerate(labels):
         length = F.length(F.get("cells", F.lit(place[label])))
         metrics.append(F.max(F.when(measured, length)).alias(f"len_{i}"))
-    watched = values.observe(seen, *metrics).where(data)
+    watched = (values.observe(seen, *metrics) if watch else values).where(data)
     picked = [F.get("cells", F.lit(place[label])).alias(label) for label in labels]
     extra = [F.size("cells").alias("__cells"), F.col("value").alias("__text")] if keep_rejects else []
     return Parsed(watched.select(ROWNR, *picked, *extra), group, seen)
@@ -328,6 +330,7 @@ def scan_csv(spark: SparkSession, path: str | list[str], lone_backslash: str = "
             repeats_header(spark, g),
             lone_backslash=lone_backslash,
             keep_rejects=keep_rejects,
+            watch=False,
         ).rows
         for g in groups
     ]
