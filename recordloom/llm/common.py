@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -31,3 +34,9 @@ def crc32_unsigned(column):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def worker_state() -> dict:
+    """What this Python process keeps from task to task."""
+    name = "__recordloom_worker__"
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__

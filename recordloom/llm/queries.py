@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordloom.llm import exact_dedup
+from recordloom.llm import exact_dedup, external_shuffle, id_files
 from recordloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,12 @@ def case(sql: str | None = None):
     return register
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def early_and_late(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A history and a batch: the lower and the upper half of the range of doc_ids. Null ids come last."""
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
@@ -37,3 +43,13 @@ def early_and_late(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 )
 def op1_exact_dedup(spark, sf):
     return exact_dedup.exact_dedup(*early_and_late(table(spark, sf, "documents")))
+
+
+@case()
+def op5_token_id_files(spark, sf):
+    return id_files.written_and_read(spark, table(spark, sf, "documents"), tokenizer_path(), end_id=2)
+
+
+@case()
+def op7_two_pass_shards(spark, sf):
+    return external_shuffle.shard_rows(table(spark, sf, "documents"), shards=16)

@@ -16,6 +16,8 @@ from array import array
 
 import numpy as np
 
+from recordloom.llm.common import worker_state
+
 # The split rule of word-level byte BPE files (public tokenizer format).
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -104,12 +106,11 @@ class WordIds:
 
 
 _CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
-_LOADED: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
-    """The encoder of this Python worker for a tokenizer file; loaded once per process."""
-    if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
-    return _LOADED[path]
-
+    """The encoder of this Python process for a tokenizer file: loaded once, its words kept from task to task."""
+    kept = worker_state().setdefault("word_ids", {})
+    if path not in kept:
+        kept[path] = WordIds(path)
+    return kept[path]
