@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordloom.llm import exact_dedup, external_shuffle, id_files
+from recordloom.llm import exact_dedup, external_shuffle, id_files, packing
 from recordloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,8 @@ def op5_token_id_files(spark, sf):
 @case()
 def op7_two_pass_shards(spark, sf):
     return external_shuffle.shard_rows(table(spark, sf, "documents"), shards=16)
+
+
+@case()
+def op2_genetic_packing(spark, sf):
+    return packing.packed_pieces(table(spark, sf, "documents"), tokenizer_path(), end_id=0)
