@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordloom.llm import exact_dedup, external_shuffle, id_files, packing
+from recordloom.llm import exact_dedup, external_shuffle, id_files, near_dedup, packing
 from recordloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,8 @@ def op7_two_pass_shards(spark, sf):
 @case()
 def op2_genetic_packing(spark, sf):
     return packing.packed_pieces(table(spark, sf, "documents"), tokenizer_path(), end_id=0)
+
+
+@case()
+def op3_prob_minhash(spark, sf):
+    return near_dedup.classes(table(spark, sf, "documents"))
