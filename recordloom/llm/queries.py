@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordloom.llm import exact_dedup, external_shuffle, id_files, near_dedup, packing
+from recordloom.llm import exact_dedup, external_shuffle, id_files, near_dedup, packing, vector_dedup
 from recordloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,16 @@ def op2_genetic_packing(spark, sf):
 @case()
 def op3_prob_minhash(spark, sf):
     return near_dedup.classes(table(spark, sf, "documents"))
+
+
+@case(
+    """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+    r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+    SELECT r.a AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.b) AS component_id, r.a = min(r.b) AS kept
+    FROM r LEFT JOIN n ON n.a = r.a GROUP BY r.a"""
+)
+def op6_principal_tiles(spark, sf):
+    return vector_dedup.near_vectors(table(spark, sf, "embeddings"))
