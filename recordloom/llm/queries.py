@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordloom.llm import exact_dedup, external_shuffle, id_files, near_dedup, packing, vector_dedup
+from recordloom.llm import exact_dedup, external_shuffle, id_files, longest_match, near_dedup, packing, toxicity, vector_dedup
 from recordloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,13 @@ def op3_prob_minhash(spark, sf):
 )
 def op6_principal_tiles(spark, sf):
     return vector_dedup.near_vectors(table(spark, sf, "embeddings"))
+
+
+@case()
+def op4_longest_match_counts(spark, sf):
+    return longest_match.token_counts(table(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@case()
+def op10_toxic_segments(spark, sf):
+    return toxicity.judged(table(spark, sf, "documents"), table(spark, sf, "labels"))
