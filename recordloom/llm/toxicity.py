@@ -1,14 +1,15 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
 Learning. On a bounded sample of labelled rows (``SAMPLE_ROWS``, those with the
-smallest seeded hash) words are counted by class. A word's score is its log-odds
+smallest seeded hash) words are counted by class, and with them their beginnings of three to eight letters, which stand for
+inflected and derived forms. A word's score is that of its most telling feature: the log-odds
 ratio between toxic and clean under an informative Dirichlet prior (the background
-share of the word, plus a floor), shrunk towards 0 by its standard error, less a
-drift that makes the expected score of clean text negative.
+share, plus a floor), shrunk towards 0 by its standard error, less a drift that makes
+the expected score of clean text negative.
 
 Scoring. One linear scan of a text finds all maximal-scoring segments. Under clean
 text the best segment follows an extreme-value law: with rate ``lam``, at which clean
-tokens' exponentiated scores average 1, and scale ``k``, fitted to the clean texts of
+tokens' exponentiated scores average 1 (with a small part of toxic ones mixed in), and scale ``k``, fitted to the clean texts of
 the sample, a segment of score S in n words has the E-value k n exp(-lam S). The
 evidence of a document is what its segments have beyond the score expected by
 chance, summed; a logistic curve fitted on the sample turns it into a probability.
@@ -40,6 +41,9 @@ SHRINK = 2.33
 DRIFT = 0.1
 SIGNIFICANT = 0.05
 THRESHOLD = 0.7
+STEMS = range(3, 9)
+TOXIC_BACKGROUND = 0.01
+KEPT_WORDS = 300_000
 WORD = re.compile(r"\w+")
 EULER = 0.5772156649015329
 
@@ -90,15 +94,34 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(first, last, right - left) for left, right, first, last, _ in found]
 
 
-def word_scores(text: str, scores: dict[str, float]) -> np.ndarray:
+def features(word: str) -> list[str]:
+    """The word and, for what is shared by inflected and derived forms, its beginnings."""
+    return [word, *(f"{word[:k]}*" for k in STEMS if len(word) > k)]
+
+
+class WordScores(dict):
+    """Scores by word, filled as words come: that of the feature which tells most; bounded."""
+
+    def __init__(self, scores: dict[str, float]):
+        super().__init__()
+        self.scores = scores
+
+    def __missing__(self, word: str) -> float:
+        best = max((self.scores.get(f, 0.0) for f in features(word)), key=abs) - DRIFT
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[word] = best
+        return best
+
+
+def word_scores(text: str, scores: WordScores) -> np.ndarray:
     words = WORD.findall(text.lower())
-    get = scores.get
-    return np.fromiter([get(w, -DRIFT) for w in words], float, len(words))
+    return np.fromiter(map(scores.__getitem__, words), float, len(words))
 
 
-def passages(text: str, model: Model) -> tuple[int, list[tuple[int, int, float, float]]]:
+def passages(text: str, model: Model, scores: WordScores) -> tuple[int, list[tuple[int, int, float, float]]]:
     """Number of words, and each segment's first and last word, score and E-value."""
-    values = word_scores(text, model.scores)
+    values = word_scores(text, scores)
     n = max(1, len(values))
     return n, [(a, b, s, model.k * n * math.exp(-model.lam * s)) for a, b, s in maximal_segments(values)]
 
@@ -117,30 +140,34 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     return saved(texts.join(F.broadcast(chosen), "__id").select("text", "toxic"), "toxic-sample")  # at most sample_rows short rows
 
 
-def word_model(rows: DataFrame) -> tuple[dict[str, float], float]:
-    """Scores of the words that tell the classes apart, and the rate of the extreme-value law."""
-    words = rows.select("toxic", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("word"))
-    counts = saved(words.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "toxic-words")
-    nt, nc, kinds = (float(x or 0) for x in counts.agg(F.sum("t"), F.sum("c"), F.count(F.lit(1))).first())
+def feature_scores(rows: DataFrame) -> dict[str, float]:
+    """Log-odds of the features that tell the classes apart, by the number of texts with a word."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    counts = rows.select("toxic", F.explode(words).alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    stems = [F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in STEMS]
+    named = counts.select("t", "c", F.explode(F.array_compact(F.array("word", *stems))).alias("feature"))
+    counts = saved(named.groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "toxic-features")
+    plain = counts.filter(~F.endswith("feature", F.lit("*")))
+    nt, nc, kinds = (float(x or 0) for x in plain.agg(F.sum("t"), F.sum("c"), F.count(F.lit(1))).first())
     if not nt or not nc:
-        return {}, 1.0
+        return {}
     prior = F.lit(PRIOR_TOKENS) * (F.col("t") + F.col("c")) / (nt + nc) + PRIOR_FLOOR
     total = PRIOR_TOKENS + PRIOR_FLOOR * kinds
     t, c = F.col("t") + prior, F.col("c") + prior
-    ratio = F.log(t / (nt + total - t)) - F.log(c / (nc + total - c))
+    ratio = F.log(t / F.greatest(nt + total - t, F.lit(1.0))) - F.log(c / F.greatest(nc + total - c, F.lit(1.0)))
     sure = F.greatest(F.abs(ratio) - SHRINK * F.sqrt(1 / t + 1 / c), F.lit(0.0)) * F.signum(ratio)
-    scored = counts.select("word", sure.alias("score"), (c / (nc + total)).alias("share"))
-    telling = scored.filter("score != 0").orderBy(F.desc(F.abs("score")), "word").limit(MODEL_WORDS).collect()
-    scores = {r.word: r.score - DRIFT for r in telling}
-    values = np.array([s for s in scores.values()])
-    shares = np.array([r.share for r in telling])
-    rest = max(0.0, 1.0 - shares.sum())
+    telling = counts.select("feature", sure.alias("score")).filter("score != 0").orderBy(F.desc(F.abs("score")), "feature").limit(MODEL_WORDS)
+    return {r.feature: r.score for r in telling.collect()}
+
+
+def rate(values: np.ndarray, shares: np.ndarray) -> float:
+    """The positive root of: mean of exp(lam * score) = 1 over a distribution of token scores."""
     low, high = 0.0, 20.0
-    for _ in range(60):  # the positive root of: mean of exp(lam * score) = 1
+    for _ in range(60):
         lam = (low + high) / 2
-        mean = rest * math.exp(-lam * DRIFT) + float((shares * np.exp(np.minimum(lam * values, 500))).sum())
+        mean = float((shares * np.exp(np.minimum(lam * values, 500))).sum())
         low, high = (lam, high) if mean < 1 else (low, lam)
-    return scores, max(lam, 1e-3)
+    return max(lam, 1e-3)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -160,20 +187,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     """Learns words, extreme-value law and calibration; ``sample_rows`` bounds all that reaches the driver."""
     rows = training_rows(docs, labels, sample_rows)
     n, toxic = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    scores, lam = word_model(rows)
+    scores = feature_scores(rows)
     if not scores:
         return Model({}, constant=float(toxic or 0) / n if n else 0.0)
-    model = Model(scores, lam)
 
-    def best(batches):
+    def scan(batches):
+        kept = WordScores(scores)
         for batch in batches:
             out = []
             for text in batch["text"]:
-                values = word_scores(text.as_py(), scores)
-                out.append((len(values), [s for _, _, s in maximal_segments(values)]))
-            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array([n for n, _ in out], pa.int64()), pa.array([s for _, s in out], pa.list_(pa.float64()))], ["toxic", "n", "segments"])
-
-    found = rows.mapInArrow(best, "toxic int, n long, segments array<double>").collect()  # at most sample_rows rows
+                values = word_scores(text.as_py(), kept)
+                steps, counts = np.unique(np.round(values, 2), return_counts=True)
+                out.append((len(values), [s for _, _, s in maximal_segments(values)], steps, counts))
+            columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch["toxic"], *columns], ["toxic", "n", "segments", "steps", "counts"])
+
+    scanned = saved(rows.mapInArrow(scan, "toxic int, n long, segments array<double>, steps array<double>, counts array<long>"), "toxic-scan")
+    weight = F.when(F.col("toxic") == 1, F.lit(TOXIC_BACKGROUND)).otherwise(F.lit(1.0))
+    pairs = scanned.select(weight.alias("w"), F.explode(F.arrays_zip("steps", "counts")).alias("x"))
+    steps = pairs.groupBy("x.steps").agg(F.sum(F.col("w") * F.col("x.counts")).alias("n")).collect()  # one row per hundredth
+    shares = np.array([r.n for r in steps])
+    lam = rate(np.array([r.steps for r in steps]), shares / shares.sum())
+    model = Model(scores, lam)
+    found = scanned.select("toxic", "n", "segments").collect()  # at most sample_rows rows
     tops = [lam * max(r.segments) - math.log(r.n) for r in found if not r.toxic and r.segments]
     model.k = math.exp(min(50.0, max(-50.0, float(np.mean(tops)) - EULER))) if tops else 1.0
     x = np.array([math.log1p(evidence([(0, 0, s, model.k * max(1, r.n) * math.exp(-lam * s)) for s in r.segments])) for r in found])
@@ -186,10 +222,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     schema = StructType([*docs.schema.fields, StructField("__score", DoubleType()), StructField("__passages", IntegerType()), StructField("__top", DoubleType())])
 
     def score(batches):
+        kept = WordScores(model.scores)
         for batch in batches:
             out = []
             for text in batch["text"]:
-                _, found = passages(text.as_py() or "", model)
+                _, found = passages(text.as_py() or "", model, kept)
                 out.append((model.probability(evidence(found)), sum(e < SIGNIFICANT for _, _, _, e in found), max((s for _, _, s, _ in found), default=0.0)))
             columns = list(zip(*out)) or [(), (), ()]
             added = [pa.array(c, t) for c, t in zip(columns, (pa.float64(), pa.int32(), pa.float64()))]
