@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordloom.llm import exact_dedup, external_shuffle, id_files, longest_match, near_dedup, packing, toxicity, vector_dedup
+from recordloom.llm import exact_dedup, external_shuffle, id_files, longest_match, mixing, near_dedup, packing, toxicity, vector_dedup
 from recordloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def op4_longest_match_counts(spark, sf):
 @case()
 def op10_toxic_segments(spark, sf):
     return toxicity.judged(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@case()
+def op8_temperature_mix(spark, sf):
+    return mixing.mix(table(spark, sf, "documents"), repeats=1.5)
