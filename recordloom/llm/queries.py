@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordloom.llm import exact_dedup, external_shuffle, id_files, longest_match, mixing, near_dedup, packing, toxicity, vector_dedup
+from recordloom.llm import exact_dedup, external_shuffle, id_files, longest_match, mixing, near_dedup, packing, surrogates, toxicity, vector_dedup
 from recordloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,9 @@ def op10_toxic_segments(spark, sf):
 @case()
 def op8_temperature_mix(spark, sf):
     return mixing.mix(table(spark, sf, "documents"), repeats=1.5)
+
+
+@case()
+def op9_surrogates(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return surrogates.with_surrogates(docs, key="documents", counted="replaced").select("doc_id", "text", "replaced")
