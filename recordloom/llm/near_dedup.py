@@ -7,7 +7,10 @@
    others. Links found so become components, and in the buckets that still hold
    several components the members of different components are compared, first with
    eight leaders, then with each other. Two members of one component need no
-   comparison, as their link could change no class. In the last two rounds pairs
+   comparison, as their link could change no class. Members of large buckets meet in
+   tiles: all pairs of two tiles are compared inside a task, on the sets themselves,
+   and only links that join components leave it. In the rounds before that, and in
+   small buckets, pairs
    whose signatures agree in fewer than LEAST_ALIKE of the places are passed over:
    at a similarity of 0.8 that is four and a half standard deviations away, rarer
    than a pair that shares no band.
@@ -34,6 +37,9 @@ from recordloom.llm.components import components
 SIMILARITY = 0.8
 BLOCK_SHINGLES = 300_000
 LEAST_ALIKE = 0.65
+SMALL_BUCKET = 32
+TILE_NODES, TILE_SHINGLES = 256, 1_000_000
+COLUMNS = 8192
 
 
 def signature_rows(docs: DataFrame) -> DataFrame:
@@ -131,6 +137,85 @@ def _crossing_pairs(members: DataFrame) -> DataFrame:
     return found.select(*_ordered("key", "other")).distinct()
 
 
+def joining_links(a: dict, b: dict) -> list[tuple[bytes, bytes]]:
+    """Links between the nodes of two tiles, as many as join their components.
+
+    Shared shingles are counted by products of 0/1 matrices over the shingles that
+    both tiles hold, some thousand of them at a time.
+    """
+    both = np.intersect1d(a["shingles"], b["shingles"])
+    shared = np.zeros((len(a["keys"]), len(b["keys"])), dtype=np.float32)
+    for k in range(0, len(both), COLUMNS):
+        some = both[k : k + COLUMNS]
+        sides = []
+        for x in (a, b):
+            at = np.minimum(np.searchsorted(some, x["shingles"]), len(some) - 1)
+            hit = some[at] == x["shingles"]
+            matrix = np.zeros((len(x["keys"]), len(some)), dtype=np.float32)
+            matrix[np.repeat(np.arange(len(x["keys"])), x["sizes"])[hit], at[hit]] = 1
+            sides.append(matrix)
+        shared += sides[0] @ sides[1].T
+    counts = np.rint(shared).astype(np.int64)
+    united = a["sizes"][:, None] + b["sizes"][None, :] - counts
+    names: dict[bytes, bytes] = {}
+
+    def root(c: bytes) -> bytes:
+        while c in names:
+            c = names[c]
+        return c
+
+    found = []
+    for i, j in zip(*np.nonzero(counts * 100 >= united * int(100 * SIMILARITY))):
+        x, y = root(a["components"][i]), root(b["components"][j])
+        if x != y:
+            names[max(x, y)] = min(x, y)
+            found.append((a["keys"][i], b["keys"][j]))
+    return found
+
+
+def _tile_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join components of large buckets; every pair of a bucket is compared."""
+    schema = "tile string, keys array<binary>, components array<binary>, sizes array<int>, shingles array<long>"
+
+    def cut(batches):
+        held, n = [], 0
+
+        def tile():
+            row = {"tile": held[0][0].hex(), "keys": [h[0] for h in held], "components": [h[1] for h in held], "sizes": [len(h[2]) for h in held], "shingles": np.concatenate([h[2] for h in held])}
+            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("tile", pa.string()), ("keys", pa.list_(pa.binary())), ("components", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("shingles", pa.list_(pa.int64()))]))
+
+        for batch in batches:
+            for key, component, shingles in zip(batch["key"].to_pylist(), batch["component"].to_pylist(), batch["shingles"]):
+                if held and (len(held) == TILE_NODES or n > TILE_SHINGLES):
+                    yield tile()
+                    held, n = [], 0
+                held.append((key, component, shingles.values.to_numpy()))
+                n += len(shingles)
+        if held:
+            yield tile()
+
+    def compare(batches):
+        for batch in batches:
+            for r in range(len(batch)):
+                sides = []
+                for s in "ab":
+                    side = {c: batch[f"{c}_{s}"][r] for c in ("keys", "components", "sizes", "shingles")}
+                    sides.append({c: v.as_py() if c in ("keys", "components") else v.values.to_numpy().astype(np.int64) for c, v in side.items()})
+                if len({*sides[0]["components"], *sides[1]["components"]}) > 1:
+                    found = joining_links(*sides)
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    home = members.groupBy("key").agg(F.max_by("bucket", F.struct("size", "bucket")).alias("home"), F.min("component").alias("component"))
+    loaded = saved(home.join(sets, "key"), "large-buckets")
+    ordered = loaded.repartitionByRange("home", "key").sortWithinPartitions("home", "key")
+    tiles = saved(ordered.select("key", "component", "shingles").mapInArrow(cut, schema), "tiles")
+    touched = members.select("bucket", "key").join(tiles.select("tile", F.explode("keys").alias("key")), "key").select("bucket", "tile").distinct()
+    pairs = touched.withColumnRenamed("tile", "tile_a").join(touched.withColumnRenamed("tile", "tile_b"), "bucket")
+    pairs = saved(pairs.filter("tile_a <= tile_b").select("tile_a", "tile_b").distinct(), "tile-pairs")
+    side = lambda s: tiles.select(*(F.col(c).alias(f"{c}_{s}") for c in tiles.columns))
+    return pairs.join(side("a"), "tile_a").join(side("b"), "tile_b").mapInArrow(compare, "a binary, b binary")
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Verified links (a, b) between nodes, enough of them to connect every class; ``nodes`` has key, rep_id, bands, sketch."""
     members = _buckets(nodes)
@@ -140,14 +225,14 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     state = members.withColumn("component", F.col("key"))
     tested = edges = None
     for number, leaders in enumerate((1, 8, None)):
-        pairs = _leader_pairs(state, leaders, number) if leaders else _crossing_pairs(state)
+        pairs = _leader_pairs(state, leaders, number) if leaders else _crossing_pairs(state.filter(F.col("size") <= SMALL_BUCKET))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
         fresh = _verified(pairs, sets)
         edges = saved(fresh if edges is None else edges.unionAll(fresh), "links")
         if leaders is None:
-            break
+            return saved(edges.unionAll(_tile_links(state.filter(F.col("size") > SMALL_BUCKET), sets)), "all-links")
         tested = pairs if tested is None else tested.unionAll(pairs)
         labels = components(edges)
         named = members.join(labels.withColumnRenamed("node", "key"), "key", "left")
@@ -155,7 +240,6 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         open_ = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
         named = named.filter("size > 2").join(open_.select("bucket"), "bucket").join(nodes.select("key", "sketch"), "key")
         state = saved(named, "open-buckets")
-    return edges
 
 
 def classes(docs: DataFrame) -> DataFrame:
