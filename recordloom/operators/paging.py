@@ -22,8 +22,8 @@ SHALLOW_OFFSET = 50_000
 COUNT_CELLS = 4096
 
 
-def _integer(value: int | str) -> int:
-    if isinstance(value, bool) or not re.fullmatch(r"[+-]?[0-9]+", str(value)) or abs(int(value)) > 2**31 - 1:
+def _integer(value: int | str, bits: int = 32) -> int:
+    if isinstance(value, bool) or not re.fullmatch(r"[+-]?[0-9]+", str(value)) or abs(int(value)) >= 2 ** (bits - 1):
         raise BadNumber(f"not an integer: {value!r}")
     return int(value)
 
@@ -37,7 +37,13 @@ def clamp_limit(value: int | str | None, maximum: int = DEFAULT_LIMIT) -> int:
 
 
 def clamp_offset(value: int | str | None) -> int:
-    return max(_integer(value), 0) if value is not None else 0
+    """Any long: pages far behind the start are found from counts."""
+    return max(_integer(value, 64), 0) if value is not None else 0
+
+
+def count_name(labels: list[str]) -> str:
+    """The column of a page that carries the total; another name if a label has taken the usual one."""
+    return "result_count" if "result_count" not in labels else "__result_count"
 
 
 def sort_key(labels: list[str], sort: str) -> tuple[str, bool]:
@@ -81,6 +87,8 @@ def _skip_by_counts(matches: DataFrame, offset: int) -> tuple[DataFrame, int]:
         if start is None:
             return matches.where(F.lit(False)), 0
         low, high = low + start * width, min(high, low + (start + 1) * width - 1)
+    if offset > SHALLOW_OFFSET:  # one row at most is left, and more are to be skipped
+        return matches.where(F.lit(False)), 0
     return (matches if low is None else matches.where(F.col(ROWNR) >= low)), offset
 
 
@@ -118,7 +126,7 @@ def _skip_by_values(matches: DataFrame, label: str, down: bool, offset: int) ->
 
 
 def page_of(matches: DataFrame, limit: int, offset: int = 0, sort: str | None = None) -> DataFrame:
-    """One page of ``matches`` in order, each row carrying ``result_count``.
+    """One page of ``matches`` in order, each row carrying ``result_count`` (see ``count_name``).
 
     The count is a scalar subquery, so it reads only the filter columns and the
     rows are never gathered in one partition. A page past the end has no rows.
@@ -135,7 +143,7 @@ def page_of(matches: DataFrame, limit: int, offset: int = 0, sort: str | None =
     rows = rows.orderBy(*order)
     if skip:
         rows = rows.offset(skip)
-    return rows.limit(limit).withColumn("result_count", total)
+    return rows.limit(limit).withColumn(count_name(labels_of(matches)), total)
 
 
 def query(
@@ -179,10 +187,11 @@ def envelope(
     Gathers at most ``limit`` rows. With ``base_url`` the neighbour links are
     spelled out too.
     """
-    labels = [c for c in labels_of(page) if c != "result_count"]
+    counted = "__result_count" if "__result_count" in page.columns else "result_count"
+    labels = [c for c in labels_of(page) if c != counted]
     record = F.struct(*[col(label) for label in labels])
     place = F.struct(F.row_number().over(_page_window(labels, sort)).alias("i"), record.alias("r"))
-    rows = page.select(place.alias("p"), "result_count")
+    rows = page.select(place.alias("p"), F.col(counted).alias("result_count"))
     whole = rows.agg(
         F.transform(F.array_sort(F.collect_list("p")), lambda p: p["r"]).alias("results"),
         F.coalesce(F.max("result_count"), F.lit(0)).cast("long").alias("result_count"),

@@ -52,10 +52,12 @@ def dataset_info(
     aliases: DataFrame,
     dataset_id: str,
     base_url: str = "",
+    context: str | None = None,
 ) -> DataFrame:
     """One row describing a dataset: status, age, columns, size and names.
 
     ``datasets`` needs ``id, status, created``; ``aliases`` needs ``dataset_id, alias``.
+    ``context`` is passed on as ``@context``. Fixed values: the field names and the time format.
     """
     from recordloom.functions.ids import dataset_url
 
@@ -71,4 +73,5 @@ def dataset_info(
         rows.scalar().alias("rowcount"),
         names.scalar().alias("aliases"),
         address.alias("@id"),
+        *([F.lit(context).alias("@context")] if context is not None else []),
     )

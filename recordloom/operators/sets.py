@@ -5,11 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def append_records(old: DataFrame, new: DataFrame) -> DataFrame:
-    """All rows of both, matched by label."""
-    return old.unionByName(new)
-
-
 def same_labels(a: list[str], b: list[str]) -> bool:
     return set(a) == set(b)
 

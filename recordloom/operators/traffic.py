@@ -142,6 +142,8 @@ class SlidingWindow:
         instants, not of all.
         """
         verdict, i, n = np.zeros(len(instants), dtype=np.int32), 0, len(instants)
+        if not self.limit:
+            return verdict
         while i < n:
             now = int(instants[i])
             while self.admitted and now - self.admitted[0] >= self.span:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from recordloom import errors
 from recordloom.functions.ids import UUID_SHAPE
 from recordloom.operators import registry
-from recordloom.sources.csv_records import LONGEST_LOOKUP
+from recordloom.sources.sniff import LONGEST_LOOKUP
 from recordloom.sources.records import record_schema
 
 LOGS = {
@@ -67,7 +67,8 @@ class Catalog:
             stream.write(text.encode())
         finally:
             stream.close()
-        fs.rename(hidden, self._filesystem(f"{self.root}/{log}/{name}.json")[1])
+        if not fs.rename(hidden, self._filesystem(f"{self.root}/{log}/{name}.json")[1]):
+            raise OSError(f"the entry {name} of {log} could not be published")
 
     def log(self, name: str) -> DataFrame:
         folder = f"{self.root}/{name}"
@@ -220,14 +221,23 @@ class Catalog:
                 most[label] = max(most.get(label, 0), n or 0)
         return [label for label, n in most.items() if n <= LONGEST_LOOKUP]
 
-    def info(self, name: str, base_url: str = "") -> DataFrame:
+    def info(self, name: str, base_url: str = "", context: str | None = None) -> DataFrame:
         from recordloom.operators.profile import dataset_info
 
         dataset_id = self.resolve(name)
         status = self.status(dataset_id)
         empty = self.spark.createDataFrame([], record_schema([]))
         records = empty if status == registry.CREATED else self.records(dataset_id)
-        return dataset_info(records, self.datasets(), self.aliases(), dataset_id, base_url)
+        return dataset_info(records, self.datasets(), self.aliases(), dataset_id, base_url, context)
+
+    def export(self, name: str, path: str, form: str = "csv", **options) -> None:
+        """Write all records of a dataset, named by id or alias, as "csv" or "json" lines
+        (``plans.export`` has the options). Raises for a dataset that was never loaded."""
+        from recordloom.plans.export import write_csv, write_json_lines
+
+        if form not in ("csv", "json"):
+            raise ValueError("form must be csv or json")
+        (write_csv if form == "csv" else write_json_lines)(self.records(self.resolve(name)), path, **options)
 
     def query(self, name: str, request: dict[str, str] | None = None, mode: str = "full", max_limit: int = 100) -> DataFrame:
         """A page of a dataset for a raw request, reserved keys included."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from recordloom.functions.text import col
@@ -20,15 +21,24 @@ def write_json_lines(df: DataFrame, path: str, ordered: bool = False) -> None:
     _rows(df, ordered).select(json_column(labels_of(df)).alias("value")).write.text(path)
 
 
-def json_array(df: DataFrame, ordered: bool = False) -> Iterator[str]:
-    """The text of one JSON array in pieces, for a caller that wants a stream.
-    One partition at a time is held by the driver."""
-    yield "["
-    lead = ""
-    for row in _rows(df, ordered).select(json_column(labels_of(df)).alias("data")).toLocalIterator():
-        yield lead + row["data"]
-        lead = ",\n"
-    yield "]"
+def _bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of one JSON array around the records of a partition; one record waits for its successor."""
+    waiting, lead = None, "["
+    for batch in batches:
+        lines = []
+        for record in batch["value"].to_pylist():
+            if waiting is not None:
+                lines.append(f"{lead}{waiting},")
+                lead = ""
+            waiting = record
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+    yield pa.RecordBatch.from_arrays([pa.array([f"{lead}{waiting}]" if waiting is not None else "[]"])], ["value"])
+
+
+def write_json_array(df: DataFrame, path: str, ordered: bool = False) -> None:
+    """One JSON array per file, written by the executors."""
+    records = _rows(df, ordered).select(json_column(labels_of(df)).alias("value"))
+    records.mapInArrow(_bracketed, "value string").write.text(path)
 
 
 def write_csv(df: DataFrame, path: str, ordered: bool = False, sep: str = ",", escape_backslash: bool = False) -> None:

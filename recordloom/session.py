@@ -28,6 +28,9 @@ def local_session(cores: int | str = 8, app: str = "recordloom", partitions: int
     return spark
 
 
+_LOCAL: dict[str, str] = {}  # folder of each local application that has no setting
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach.
 
@@ -39,9 +42,10 @@ def shared_folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="recordloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="recordloom-")
+    return _LOCAL[app]
 
 
 def fresh_folder(spark: SparkSession, label: str = "work") -> str:

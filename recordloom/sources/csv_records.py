@@ -11,7 +11,7 @@ Only records that cross a block edge, at most two parts per block, are shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -22,13 +22,13 @@ from recordloom.errors import LoadRejected
 from recordloom.session import fresh_folder
 from recordloom.sources.csv_text import cells, decoded, ends_open, undecodable
 from recordloom.sources.records import ROWNR
-from recordloom.sources.sniff import FileGroup, file_groups
+from recordloom.sources.sniff import LONGEST_LOOKUP, FileGroup, file_groups, literal_path
 
-# Rows of a helper table up to which it is broadcast; above, it is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+# Rows of a helper table of a few numbers up to which it is broadcast (some 20 MB).
+BROADCAST_ROWS = 200_000
 
-# Fixed value: columns with longer values get no lookup layout.
-LONGEST_LOOKUP = 256
+# Characters of file paths that one scan takes along; more files are read as several scans.
+PATH_CHARS = 16_000_000
 
 _SEQUENCE = (1 << 33) - 1  # low bits of monotonically_increasing_id: position in its partition
 _WHOLE = ("UTF-16LE", "UTF-16BE", "UTF-32LE", "UTF-32BE")
@@ -38,21 +38,25 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _literal_path(path: str) -> str:
-    from urllib.parse import unquote
-
-    return "".join("\\" + ch if ch in "\\[]{}*?" else ch for ch in unquote(path))
-
-
 def lines(spark: SparkSession, group: FileGroup, base: int = 0) -> DataFrame:
-    """``base, block, id, value``: lines in order of all three.
+    """``base, block, id, value, room``: lines in order of the first three.
 
     ``base`` is the row number base of the file and stands for it, ``block`` is
-    the offset of the scan split, ``id`` grows within it. UTF-16 and UTF-32 files
+    the offset of the scan split, ``id`` grows within it, ``room`` is its length in
+    bytes. Very many files are read as several scans, so that the paths which each
+    of them looks up stay small; the text is never shuffled for them. UTF-16 and UTF-32 files
     cannot be split at line ends by the text source; such a file is decoded as
     one value, and Spark refuses those over 2 GB.
     """
-    paths = group.root or [_literal_path(p) for p, _ in group.files]
+    if len(group.files) > 1 and sum(len(p) for p, _ in group.files) > PATH_CHARS:
+        parts, held = [[]], 0
+        for file in group.files:
+            if held + len(file[0]) > PATH_CHARS and parts[-1]:
+                parts, held = [*parts, []], 0
+            parts[-1].append(file)
+            held += len(file[0])
+        return reduce(DataFrame.unionAll, [lines(spark, replace(group, files=tuple(p), root=None), base) for p in parts])
+    paths = group.root or [literal_path(p) for p, _ in group.files]
     where = F.col("_metadata.file_path").alias("file")
     if group.charset in _WHOLE:
         name = "UTF-16" if group.charset.startswith("UTF-16") else "UTF-32"
@@ -60,15 +64,29 @@ def lines(spark: SparkSession, group: FileGroup, base: int = 0) -> DataFrame:
         text = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\n\z", "")
         whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
         split = whole.select(where, F.posexplode(F.split(text, "\n", -1)).alias("id", "value"))
-        found = split.select("file", F.lit(0).cast("long").alias("block"), F.col("id").cast("long").alias("id"), "value")
+        found = split.select("file", F.lit(0).cast("long").alias("block"), F.col("id").cast("long").alias("id"), "value", F.lit(None).cast("long").alias("room"))
     else:
         raw = spark.read.option("recursiveFileLookup", "true").text(paths)
         block, text = F.col("_metadata.file_block_start"), decoded(F.col("value"), group.charset)
-        found = raw.select(where, block.alias("block"), F.monotonically_increasing_id().alias("id"), text.alias("value"))
+        room = F.col("_metadata.file_block_length").alias("room")
+        found = raw.select(where, block.alias("block"), F.monotonically_increasing_id().alias("id"), text.alias("value"), room)
     if len(group.files) == 1:
-        return found.select(F.lit(base + group.files[0][1]).cast("long").alias("base"), "block", "id", "value")
+        return found.select(F.lit(base + group.files[0][1]).cast("long").alias("base"), "block", "id", "value", "room")
     table = spark.createDataFrame([(p, base + b) for p, b in group.files], "path string, base long")
-    return found.join(_sized(table, len(group.files)), F.col("file") == F.col("path")).select("base", "block", "id", "value")
+    return found.join(F.broadcast(table), F.col("file") == F.col("path")).select("base", "block", "id", "value", "room")  # PATH_CHARS at most
+
+
+def _crowded() -> Column:
+    """Whether a line's position, which counts from the start of its scan partition, does not fit its block."""
+    return F.col("id").bitwiseAND(F.lit(_SEQUENCE)) >= F.col("room")
+
+
+def _counted_by_block(text: DataFrame, folder: str) -> DataFrame:
+    """``text`` with ``id`` counted from the first line of each block: one more pass, one row per block."""
+    text.groupBy("base", "block").agg(F.min("id").alias("first")).write.parquet(folder)
+    firsts = text.sparkSession.read.parquet(folder)
+    placed = text.join(_sized(firsts, firsts.count()), ["base", "block"])
+    return placed.select("base", "block", (F.col("id") - F.col("first")).alias("id"), "value", "room")
 
 
 def _with_state(df: DataFrame, step: Window, done_out: str, done_in: str) -> DataFrame:
@@ -103,7 +121,7 @@ def block_summaries(text: DataFrame) -> DataFrame:
     """
     out, into = ends_open(F.col("value")), ends_open(F.col("value"), inside=True)
     event = F.when(out | ~into, F.struct("id", out.alias("o"), into.alias("i")))
-    events = text.groupBy("base", "block").agg(F.sort_array(F.collect_list(event)).alias("events"))
+    events = text.groupBy("base", "block").agg(F.sort_array(F.collect_list(event)).alias("events"), F.count_if(_crowded()).alias("crowded"))
 
     def walk(start: bool) -> Column:
         none = F.lit(None).cast("long")
@@ -117,13 +135,13 @@ def block_summaries(text: DataFrame) -> DataFrame:
 
         return F.aggregate("events", zero, step)
 
-    both = events.select("base", "block", walk(False).alias("f"), walk(True).alias("t"))
+    both = events.select("base", "block", "crowded", walk(False).alias("f"), walk(True).alias("t"))
     flat = both.select("*", F.col("f.s").alias("out"), F.col("t.s").alias("into"))
     # One row per scan block of a file: its size / 128 MB rows in a window.
     step = Window.partitionBy("base").orderBy("block")
     inside = F.col("state") == 1
     chained = _with_state(flat, step, "out", "into").select(
-        "base", "block", inside.alias("inside"), F.when(inside, F.col("t")).otherwise(F.col("f")).alias("m")
+        "base", "block", "crowded", inside.alias("inside"), F.when(inside, F.col("t")).otherwise(F.col("f")).alias("m")
     )
     opener = F.when(F.col("m.s") & F.col("m.opened").isNotNull(), F.struct("block", F.col("m.opened").alias("id")))
     chained = chained.withColumn("opener", opener)
@@ -136,6 +154,7 @@ def block_summaries(text: DataFrame) -> DataFrame:
         home.alias("home"),
         F.col("m.s").alias("ends_inside"),
         F.when(F.col("m.s"), F.col("m.opened")).alias("opened"),
+        "crowded",
     )
 
 
@@ -226,6 +245,7 @@ class Parsed:
     rows: DataFrame
     group: FileGroup
     seen: Observation
+    temporary: list[str]  # helper folders, of no use once ``rows`` are written
 
     def facts(self) -> dict:
         """Counts, once an action on ``rows`` has ended."""
@@ -242,21 +262,31 @@ def parse(
     lone_backslash: str = "keep",
     keep_rejects: bool = False,
     watch: bool = True,
+    exact_numbers: bool = False,
 ) -> Parsed:
     """Plan the records of a group; the columns are ``labels`` in that order.
 
     Header lines are known by their text in the first block of a file. If data
     repeat that text there, the observed count of headers is too high and the
     caller plans again with ``exact_headers``, which looks up the first line of
-    each file. ``watch=False`` leaves the counting out.
+    each file. Row numbers come from the position in the scan partition, which is
+    unique as long as it fits the block; where the count of ``crowded`` lines shows
+    otherwise (a partition of many short-lined blocks), ``exact_numbers`` counts
+    lines from the start of their block. ``watch=False`` leaves the counting out.
     """
-    records = lines(spark, group, base)
+    records, temporary = lines(spark, group, base), []
+    if exact_numbers:
+        temporary.append(fresh_folder(spark, "block-starts"))
+        records = _counted_by_block(records, temporary[-1])
     if quoted_newlines:
         folder = fresh_folder(spark, "blocks")
+        temporary.append(folder)
         block_summaries(records).write.parquet(folder)
         summaries = spark.read.parquet(folder)
         ends = summaries.groupBy("base").agg(F.max_by("ends_inside", "block").alias("open"), F.count("*").alias("n"))
         open_files, n_blocks = ends.agg(F.count_if("open"), F.sum("n")).first()
+        if not exact_numbers and summaries.agg(F.sum("crowded")).first()[0]:
+            return parse(spark, group, labels, True, exact_headers, base, lone_backslash, keep_rejects, watch, True)
         if open_files:
             raise LoadRejected("a quoted cell is not closed at the end of the file")
         records = joined_lines(records, summaries, n_blocks)
@@ -287,6 +317,7 @@ def parse(
         F.count_if(F.col("head")).alias("heads"),
         F.count_if(is_open).alias("open"),
         F.count_if(F.col("stray")).alias("stray"),
+        F.lit(0).alias("crowded") if quoted_newlines or exact_numbers else F.count_if(_crowded()).alias("crowded"),
         F.count_if(undecodable(F.col("value"), group.charset)).alias("undecodable"),
         F.count_if(data & (F.size("cells") > n)).alias("overlong"),
         F.max(F.when(data, F.col(ROWNR))).alias("max_rownr"),
@@ -300,40 +331,36 @@ def parse(
     watched = (values.observe(seen, *metrics) if watch else values).where(data)
     picked = [F.get("cells", F.lit(place[label])).alias(label) for label in labels]
     extra = [F.size("cells").alias("__cells"), F.col("value").alias("__text")] if keep_rejects else []
-    return Parsed(watched.select(ROWNR, *picked, *extra), group, seen)
+    return Parsed(watched.select(ROWNR, *picked, *extra), group, seen, temporary)
 
 
-def needs_joining(spark: SparkSession, group: FileGroup) -> bool:
-    """Whether any line of the group ends inside quotes: one pass over the text."""
-    if group.quoted_newlines:
-        return True
-    return not lines(spark, group).where(ends_open(F.col("value"))).limit(1).isEmpty()
-
-
-def repeats_header(spark: SparkSession, group: FileGroup) -> bool:
-    """Whether a data line in the first block of a file equals its header."""
+def surprises(spark: SparkSession, group: FileGroup) -> tuple[bool, bool, bool]:
+    """Whether lines must be joined, a data line in a first block equals its header,
+    and row numbers need exact counting: one pass over the text."""
     head = (F.col("block") == 0) & (F.col("value") == F.lit(group.header))
-    return lines(spark, group).where(head).count() != len(group.files)
+    open_, heads, crowded = lines(spark, group).agg(
+        F.count_if(ends_open(F.col("value"))), F.count_if(head), F.count_if(_crowded())
+    ).first()
+    return group.quoted_newlines or open_ > 0, heads != len(group.files), crowded > 0
 
 
-def scan_csv(spark: SparkSession, path: str | list[str], lone_backslash: str = "keep", keep_rejects: bool = False) -> DataFrame:
+def scan_csv(
+    spark: SparkSession,
+    path: str | list[str],
+    lone_backslash: str = "keep",
+    keep_rejects: bool = False,
+    charset: str | None = None,
+    sep: str | None = None,
+) -> DataFrame:
     """Records of CSV files as a lazy table, with over-long rows cut to their
     labels. Loading (``plans.load``) rejects those; ``overlong_rows`` lists them."""
-    groups = file_groups(spark, path)
+    groups = file_groups(spark, path, charset, sep)
     labels = list(groups[0].labels)
-    parts = [
-        parse(
-            spark,
-            g,
-            labels,
-            needs_joining(spark, g),
-            repeats_header(spark, g),
-            lone_backslash=lone_backslash,
-            keep_rejects=keep_rejects,
-            watch=False,
-        ).rows
-        for g in groups
-    ]
+    parts = []
+    for g in groups:
+        joined, repeated, crowded = surprises(spark, g)
+        options = {"lone_backslash": lone_backslash, "keep_rejects": keep_rejects, "watch": False, "exact_numbers": crowded}
+        parts.append(parse(spark, g, labels, joined, repeated, **options).rows)
     return reduce(DataFrame.unionAll, parts)
 
 

@@ -86,16 +86,14 @@ C1_TEXT = bytes(range(0x80, 0xA0)).decode("cp1252", errors="replace")
 
 
 def decoded(value: Column, charset: str) -> Column:
-    """Text of a line read as raw bytes. Windows-1252 is Latin-1 with other
+    """Text of a line read as raw bytes; bytes that mean nothing give U+FFFD. Windows-1252 is Latin-1 with other
     characters in 80-9F, which needs no session setting."""
     if charset == "UTF-8":
-        return value
+        return F.make_valid_utf8(value)
     latin = F.decode(value.cast("binary"), "ISO-8859-1")
     return F.translate(latin, C1_BYTES, C1_TEXT) if charset == "windows-1252" else latin
 
 
 def undecodable(line: Column, charset: str) -> Column:
-    """Whether a decoded line holds bytes that mean nothing in its charset."""
-    if charset == "UTF-8":
-        return ~F.is_valid_utf8(line)
-    return line.contains("\ufffd") if charset == "windows-1252" else F.lit(False)
+    """Whether a decoded line may hold bytes that mean nothing in its charset."""
+    return line.contains("\ufffd")

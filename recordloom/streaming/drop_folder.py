@@ -15,38 +15,54 @@ from recordloom.plans.catalog import Catalog
 from recordloom.plans.load import load_csv
 
 
-def dataset_named(catalog: Catalog, name: str) -> str:
-    """Dataset with this alias, created if there is none."""
+REFUSED = "folder string, path string"
+
+
+def dataset_named(catalog: Catalog, name: str) -> str | None:
+    """Dataset with this alias, created if there is none; None if the name cannot be an alias."""
     try:
         return catalog.resolve(name)
     except NotFound:
+        if not (name and all(c.isalpha() or c.isdecimal() for c in name)):  # letters and digits of any script
+            return None
         dataset_id = catalog.create()
         if not catalog.set_aliases(dataset_id, [name]):
-            raise ValueError(f"not usable as an alias: {name!r}") from None
+            raise ValueError(f"{name!r} has become the name of another dataset") from None
         return dataset_id
 
 
-def ingest_batch(catalog: Catalog, files: DataFrame, batch: str, loads_at_once: int = 5) -> None:
+def ingest_batch(catalog: Catalog, files: DataFrame, batch: str, loads_at_once: int = 5, refused_at: str | None = None) -> None:
     """Load the files of one micro-batch (``path``), each as a load of its own.
 
     Files of one dataset follow each other in path order; different datasets
     load at the same time. A batch that runs again after a failure skips the
-    files it has already published.
+    files it has already published. Files of a folder whose name cannot be an alias
+    are not loaded and don't hold up the others; ``refused_at`` gets a table of them.
     """
     per_dataset: dict[str, list[str]] = defaultdict(list)
     for row in files.select("path").collect():  # at most maxFilesPerTrigger short rows
         per_dataset[unquote(row["path"].rsplit("/", 2)[-2])].append(row["path"])
 
-    def run(name: str) -> None:
+    def run(name: str) -> list[tuple[str, str]]:
         dataset_id = dataset_named(catalog, name)
+        if dataset_id is None:
+            return [(name, path) for path in per_dataset[name]]
         catalog.set_status(dataset_id, registry.ACCEPTED)
         for path in sorted(per_dataset[name]):
             source = f"{batch}:{path}"
             if not catalog.loaded_from(source):
                 load_csv(catalog, dataset_id, path, "append", source=source)
+        return []
 
     with ThreadPoolExecutor(max_workers=loads_at_once) as pool:
-        list(pool.map(run, sorted(per_dataset)))
+        bad = [row for rows in pool.map(run, sorted(per_dataset)) for row in rows]
+    if bad and refused_at:
+        catalog.spark.createDataFrame(bad, REFUSED).coalesce(1).write.mode("overwrite").parquet(refused_at)
+
+
+def refused(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Files that ``watch_folder`` with this checkpoint has not loaded, as their folder's name cannot be an alias."""
+    return spark.read.schema(REFUSED).option("recursiveFileLookup", "true").parquet(f"{checkpoint}-refused")
 
 
 def watch_folder(
@@ -69,7 +85,7 @@ def watch_folder(
     )
 
     def batch(files: DataFrame, number: int) -> None:
-        ingest_batch(catalog, files, f"{checkpoint}#{number}", loads_at_once)
+        ingest_batch(catalog, files, f"{checkpoint}#{number}", loads_at_once, f"{checkpoint}-refused/batch-{number}")
 
     return (
         arrivals.writeStream.foreachBatch(batch)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from conftest import stored
 from recordloom.operators import registry
-from recordloom.plans.export import json_array, write_csv
+from recordloom.plans.export import write_csv, write_json_array
+from recordloom.plans import load
 from recordloom.plans.load import create_from_csv
 from recordloom.session import fresh_folder
 from recordloom.sources import csv_records, csv_text, sniff
@@ -39,8 +40,11 @@ from recordloom.sources.records import ROWNR
         ("a,b,c,,\n1,2,3\n4,5,\n", ["a", "b", "c"], [("1", "2", "3"), ("4", "5", "")]),
         ("", None, None),
         ("a,b\n5 \x80,x".encode("latin-1"), ["a", "b"], [("5 €", "x")]),
-        pytest.param(b"a,b\n" + b"1,2\n" * 150_000 + b"\xe9,1\n", None, None, id="late-latin"),
-        (b"a,b\n\xe9,\x81\n", None, None),
+        pytest.param(b"a,b\n" + b"1,2\n" * 150_000 + b"\xe9,1\n", ["a", "b"], [("1", "2")] * 150_000 + [("é", "1")], id="late-latin"),
+        pytest.param("a,b\né,ü\nß,1\n".encode() + b"x\xffy,1\n", ["a", "b"], [("é", "ü"), ("ß", "1"), ("x\ufffdy", "1")], id="bad-byte"),
+        pytest.param(b"a,b\nx\xffy,1\n" + "é,ü\nß,1\n".encode(), ["a", "b"], [("x\ufffdy", "1"), ("é", "ü"), ("ß", "1")], id="early-bad-byte"),
+        (b"a,b\n\xe9,\x81\n", ["a", "b"], [("é", "\ufffd")]),
+        ("__rownr,b\n1,2\n", None, None),
         ("a.b,`c`\n1,2", ["a.b", "`c`"], [("1", "2")]),
     ],
 )
@@ -179,8 +183,13 @@ def test_overlong_rows_are_listed(spark, write_file):
 
 
 def test_json_array(spark):
-    df = spark.createDataFrame([(0, "x", None), (1, "", 'q"')], f"{ROWNR} long, a string, b string")
-    assert "".join(json_array(df, ordered=True)) == '[{"a":"x"},\n{"a":"","b":"q\\""}]'
+    df = spark.createDataFrame([(0, "x", None), (1, "", 'q"')], f"{ROWNR} long, a string, b string").coalesce(1)
+    folder = fresh_folder(spark, "json-array")
+    write_json_array(df, folder)
+    lines = [r["value"] for r in spark.read.text(folder, wholetext=True).collect()]
+    assert lines == ['[{"a":"x"},\n{"a":"","b":"q\\""}]\n']
+    write_json_array(df.filter("a = 'none'"), folder + "-empty")
+    assert {r["value"] for r in spark.read.text(folder + "-empty").collect()} <= {"[]"}
 
 
 def test_heads_read_through_hadoop_are_the_same(spark, write_file):
@@ -188,3 +197,47 @@ def test_heads_read_through_hadoop_are_the_same(spark, write_file):
         path = write_file(data)
         row = sniff.sniff_files(spark, path).first()
         assert tuple(row)[2:] == sniff._look_through_hadoop(spark, f"file:{path}")
+
+
+def test_charset_and_separator_can_be_named(catalog, write_file):
+    path = write_file("a;b,c\né;1\n".encode("cp1252"))
+    dataset_id, _ = create_from_csv(catalog, path, charset="windows-1252", sep=",")
+    assert stored(catalog, dataset_id) == [("é;1", None)]
+
+
+def test_row_numbers_of_many_small_blocks(spark, tmp_path):
+    """Several blocks of short lines in one scan partition still have numbers of their own, in file order."""
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text("a\n" + f"{i}\n" * 60_000)
+    settings = {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.maxPartitionNum": "2"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        rows = csv_records.scan_csv(spark, str(tmp_path)).select(ROWNR, "a").toPandas()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert len(rows) == rows[ROWNR].nunique() == 180_000
+    assert rows.sort_values(ROWNR)["a"].tolist() == [str(i) for i in range(3) for _ in range(60_000)]
+
+
+def test_many_paths_are_read_as_several_scans(spark, tmp_path, monkeypatch):
+    for i in range(5):
+        (tmp_path / f"{i}.csv").write_text(f"a\n{i}\n")
+    monkeypatch.setattr(csv_records, "PATH_CHARS", 2 * len(str(tmp_path)) + 60)
+    rows = csv_records.scan_csv(spark, str(tmp_path)).orderBy(ROWNR).collect()
+    assert [r["a"] for r in rows] == list("01234")
+
+
+def test_filters_for_short_columns_only(spark, catalog, write_file):
+    import glob
+    import os
+
+    import pyarrow.parquet as pq
+
+    dataset_id, _ = create_from_csv(catalog, write_file("a,b,c\n1," + "x" * 400 + ",2\n"))
+    folder = catalog.segments(dataset_id)[0]["path"].replace("file:", "")
+    (part,) = glob.glob(f"{folder}/*.parquet")
+    assert pq.ParquetFile(part).metadata.row_group(0).num_columns == 4
+    assert os.path.getsize(part) < 20_000
+    assert "parquet.bloom.filter.enabled#b" not in load.lookup_options(["a", "c"])

@@ -2,12 +2,12 @@
 
 import pytest
 
-from conftest import PEOPLE, PEOPLE_ROWS, PEOPLE_SEMICOLON, stored
+from conftest import BOOK_ROWS, BOOKS, BOOKS_SEMICOLON, stored
 from recordloom import errors
-from recordloom.operators import registry
+from recordloom.operators import paging, registry
 from recordloom.plans.load import create_from_csv, load_csv
 
-LABELS = ["name", "telephone", "some other column", "comment"]
+LABELS = ["title", "shelf", "lent to", "remark"]
 
 
 def page(catalog, dataset_id, **request):
@@ -15,8 +15,8 @@ def page(catalog, dataset_id, **request):
 
 
 def test_create_info_and_alias_life(spark, catalog, write_file):
-    dataset_id, status = create_from_csv(catalog, write_file(PEOPLE))
-    assert status == registry.AVAILABLE and stored(catalog, dataset_id) == PEOPLE_ROWS
+    dataset_id, status = create_from_csv(catalog, write_file(BOOKS))
+    assert status == registry.AVAILABLE and stored(catalog, dataset_id) == BOOK_ROWS
     other, _ = create_from_csv(catalog, write_file("a,b\n1,2"))
     assert catalog.aliases_of(dataset_id) == []
     assert catalog.set_aliases(dataset_id, ["people"]) and catalog.aliases_of(dataset_id) == ["people"]
@@ -37,21 +37,21 @@ def test_create_info_and_alias_life(spark, catalog, write_file):
     assert catalog.aliases().count() == 0
 
 
-def test_queries(catalog, write_file):
-    dataset_id, _ = create_from_csv(catalog, write_file(PEOPLE))
-    akesson, mcloud, beringer = PEOPLE_ROWS[2], PEOPLE_ROWS[1], PEOPLE_ROWS[0]
-    assert page(catalog, dataset_id, NAME="Åkesson") == [akesson + (1,)]
-    assert page(catalog, dataset_id, **{"some other column": "x"}) == [mcloud + (1,)]
-    assert page(catalog, dataset_id, name="(Å|é)") == [beringer + (2,), akesson + (2,)]
-    assert page(catalog, dataset_id, name="(Å|é)", _limit="1") == [beringer + (2,)]
-    assert page(catalog, dataset_id, name="(Å|é)", _limit="1", _offset="1") == [akesson + (2,)]
-    assert page(catalog, dataset_id, name="akesson") == []
+def test_queries(catalog, write_file, tmp_path):
+    dataset_id, _ = create_from_csv(catalog, write_file(BOOKS))
+    fens, roads, gardens = BOOK_ROWS[2], BOOK_ROWS[1], BOOK_ROWS[0]
+    assert page(catalog, dataset_id, TITLE="Ökelbo") == [fens + (1,)]
+    assert page(catalog, dataset_id, **{"lent to": "Ines"}) == [roads + (1,)]
+    assert page(catalog, dataset_id, title="(Ö|ä)") == [gardens + (2,), fens + (2,)]
+    assert page(catalog, dataset_id, title="(Ö|ä)", _limit="1") == [gardens + (2,)]
+    assert page(catalog, dataset_id, title="(Ö|ä)", _limit="1", _offset="1") == [fens + (2,)]
+    assert page(catalog, dataset_id, title="okelbo") == []
     for request, error in (
         ({"nosuch": "1"}, errors.UnknownColumn),
         ({"format": "json"}, errors.UnknownColumn),
-        ({"name": "x", "NAME": "y"}, errors.UnknownColumn),
-        ({"name": "~"}, errors.BadPattern),
-        ({"name": "(x"}, errors.BadPattern),
+        ({"title": "x", "TITLE": "y"}, errors.UnknownColumn),
+        ({"title": "~"}, errors.BadPattern),
+        ({"title": "(x"}, errors.BadPattern),
         ({"_limit": "ten"}, errors.BadNumber),
         ({"_offset": "1.5"}, errors.BadNumber),
     ):
@@ -60,20 +60,26 @@ def test_queries(catalog, write_file):
     empty = catalog.create()
     with pytest.raises(errors.NotReady):
         catalog.query(empty)
+    with pytest.raises(errors.NotReady):
+        catalog.export(empty, str(tmp_path / "none"))
+    catalog.export(dataset_id, str(tmp_path / "csv"))
+    assert stored(catalog, create_from_csv(catalog, str(tmp_path / "csv"))[0]) == BOOK_ROWS
+    catalog.export(dataset_id, str(tmp_path / "json"), form="json")
+    assert catalog.spark.read.json(str(tmp_path / "json")).count() == 5
     with pytest.raises(errors.Locked):
         catalog.drop(empty)
 
 
 def test_append_and_replace(catalog, write_file):
-    dataset_id, status = create_from_csv(catalog, write_file(PEOPLE.encode("cp1252")))
-    assert status == registry.AVAILABLE and stored(catalog, dataset_id) == PEOPLE_ROWS
-    assert load_csv(catalog, dataset_id, write_file(PEOPLE_SEMICOLON)) == registry.AVAILABLE
-    assert stored(catalog, dataset_id) == PEOPLE_ROWS * 2
+    dataset_id, status = create_from_csv(catalog, write_file(BOOKS.encode("cp1252")))
+    assert status == registry.AVAILABLE and stored(catalog, dataset_id) == BOOK_ROWS
+    assert load_csv(catalog, dataset_id, write_file(BOOKS_SEMICOLON)) == registry.AVAILABLE
+    assert stored(catalog, dataset_id) == BOOK_ROWS * 2
     numbers = [r[0] for r in catalog.records(dataset_id).select("__rownr").collect()]
     assert len(set(numbers)) == 10
     assert load_csv(catalog, dataset_id, write_file("name,b\n1,2")) == registry.ERROR
-    assert load_csv(catalog, dataset_id, write_file(PEOPLE + ",6"), mode="replace") == registry.ERROR
-    assert stored(catalog, dataset_id) == PEOPLE_ROWS * 2
+    assert load_csv(catalog, dataset_id, write_file(BOOKS + ",6"), mode="replace") == registry.ERROR
+    assert stored(catalog, dataset_id) == BOOK_ROWS * 2
     assert load_csv(catalog, dataset_id, write_file("x\n1\n2"), mode="replace") == registry.AVAILABLE
     assert stored(catalog, dataset_id) == [("1",), ("2",)]
     catalog.remove_replaced(dataset_id)
@@ -112,3 +118,32 @@ def test_folder_of_files_is_one_load(catalog, write_file, tmp_path):
 def test_lookup_columns_use_exact_lengths(catalog, write_file):
     dataset_id, _ = create_from_csv(catalog, write_file("a,b\n" + "x" * 256 + "," + "y" * 257))
     assert catalog.lookup_columns(dataset_id) == ["a"]
+
+
+def test_a_label_may_be_called_result_count(catalog, write_file):
+    dataset_id, _ = create_from_csv(catalog, write_file("result_count,b\n17,x\n18,x\n"))
+    rows = catalog.query(dataset_id, {"b": "x"}).collect()
+    assert [(r["result_count"], r["__result_count"]) for r in rows] == [("17", 2), ("18", 2)]
+    whole = paging.envelope(catalog.query(dataset_id, {"b": "x"}), 100).first()
+    assert whole["result_count"] == 2 and [r["result_count"] for r in whole["results"]] == ["17", "18"]
+
+
+def test_far_offsets(catalog, write_file):
+    dataset_id, _ = create_from_csv(catalog, write_file("a\n1\n"))
+    assert catalog.query(dataset_id, {"_offset": str(2**40)}).collect() == []
+
+
+def test_unpublished_entry_is_an_error(catalog, monkeypatch):
+    dataset_id = catalog.create()
+    real = catalog._filesystem
+
+    class NoRename:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return (lambda *_: False) if name == "rename" else getattr(self.fs, name)
+
+    monkeypatch.setattr(catalog, "_filesystem", lambda path: (NoRename(real(path)[0]), real(path)[1]))
+    with pytest.raises(OSError):
+        catalog.set_status(dataset_id, registry.PROCESSING)
