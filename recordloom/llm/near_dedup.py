@@ -20,7 +20,8 @@
 
 Defined cases: null and empty texts are classes of their own; texts of one to four
 words are one shingle; equal texts are one class; rows with the same doc_id count as
-one document; null doc_ids never name a class that has others; an empty table gives
+one document; null doc_ids never name a class that has others, and rows without a doc_id,
+which cannot be told apart, stay together if one of them names its class; an empty table gives
 an empty result; further columns are ignored, or carried by ``drop_near_copies``.
 """
 
