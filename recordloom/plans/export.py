@@ -41,7 +41,7 @@ def write_json_array(df: DataFrame, path: str, ordered: bool = False) -> None:
     records.mapInArrow(_bracketed, "value string").write.text(path)
 
 
-def write_csv(df: DataFrame, path: str, ordered: bool = False, sep: str = ",", escape_backslash: bool = False) -> None:
+def write_csv(df: DataFrame, path: str, ordered: bool = False, sep: str = ",", escape_backslash: bool = False, charset: str = "UTF-8") -> None:
     """Header and rows in every file; quotes only where needed; absent cells empty.
     ``escape_backslash`` doubles backslashes so that a load reads them back."""
     labels = labels_of(df)
@@ -49,5 +49,5 @@ def write_csv(df: DataFrame, path: str, ordered: bool = False, sep: str = ",", e
     if escape_backslash:
         out = out.select(*[F.replace(col(label), F.lit("\\"), F.lit("\\\\")).alias(label) for label in labels])
     writer = out.write.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
-    writer = writer.option("emptyValue", "").option("nullValue", "")
+    writer = writer.option("emptyValue", "").option("nullValue", "").option("encoding", charset)
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)

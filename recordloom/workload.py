@@ -10,7 +10,7 @@ import hashlib
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from recordloom.functions import ids, patterns, text, web
 from recordloom.operators import paging, predicates, profile, registry, sets, traffic
@@ -608,6 +608,47 @@ def ingest_multiline(spark, sf):
     return _loaded(spark, _csv(spark, documents(spark, sf)))
 
 
+@case(f"SELECT {DOCUMENTS_SQL} FROM documents")
+def ingest_late_charset(spark, sf):
+    """Files in a single-byte charset whose lines beyond ASCII come last, past 1 MB where the table is large enough."""
+    rows = documents(spark, sf).sortWithinPartitions(F.octet_length("text") != F.length("text"))
+    return _loaded(spark, _csv(spark, rows, charset="iso-8859-1"))
+
+
+@case(
+    """SELECT CAST(o_orderkey AS VARCHAR) AS id, 'é' || o_orderstatus AS status,
+    CASE WHEN o_orderkey % 5 = 0 THEN 'x' || chr(65533) || 'y' ELSE o_orderpriority END AS priority FROM orders"""
+)
+def ingest_bad_byte(spark, sf):
+    """UTF-8 files with a stray byte in every fifth line, from the start on."""
+    broken = F.unhex(F.lit("78FF79")).cast("string")
+    cell = F.when(F.col("o_orderkey") % 5 == 0, broken).otherwise(F.col("o_orderpriority"))
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.concat(F.lit("é"), "o_orderstatus"), cell)
+    return _loaded(spark, _csv_lines(spark, table(spark, sf, "orders").select(line.alias("value")), "id,status,priority"))
+
+
+@case("SELECT count(*) AS n_rows, count(DISTINCT event_id) AS n_numbers, TRUE AS in_order FROM events")
+def rownr_unique(spark, sf):
+    """Row numbers where a scan partition holds many small blocks: all different, in file order."""
+    events = table(spark, sf, "events").select(F.col("event_id").cast("long").alias(ROWNR), F.col("event_id").cast("string").alias("id"))
+    folder = _csv(spark, events.repartitionByRange(3, ROWNR).sortWithinPartitions(ROWNR))
+    tight = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.maxPartitionNum": "2"}
+    before = {name: spark.conf.get(name, None) for name in tight}
+    for name, value in tight.items():
+        spark.conf.set(name, value)
+    try:
+        catalog = _catalog(spark)
+        dataset_id, _ = load.create_from_csv(catalog, folder)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    rows = catalog.records(dataset_id)
+    runs = rows.groupBy(F.floor(F.col("id").cast("long") / 1000).alias("run")).agg(F.min(ROWNR).alias("low"), F.max(ROWNR).alias("high"))
+    after = F.col("low") > F.lag("high", 1, -1).over(Window.orderBy("run"))  # one row per thousand events
+    order = runs.select(after.alias("after")).agg(F.bool_and("after"))
+    return rows.agg(F.count("*").alias("n_rows"), F.count_distinct(ROWNR).alias("n_numbers")).withColumn("in_order", order.scalar())
+
+
 @case(
     """SELECT CAST(p_partkey AS VARCHAR) AS id, 'a "' || p_name || '" \\ ' || p_brand || chr(10) || '\\\\' AS cell, '' AS none FROM part"""
 )
