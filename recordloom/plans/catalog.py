@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 import threading
 import time
 import uuid
@@ -57,37 +58,40 @@ class Catalog:
             return self._last
 
     def _append(self, log: str, rows: list[tuple]) -> None:
-        """Add one entry of one or more rows; it appears when its file is renamed."""
+        """Add one entry of one or more rows of a dataset, whose id comes first in each;
+        it appears in the dataset's folder when its file is renamed."""
         fields = T.StructType.fromDDL(LOGS[log]).fieldNames()
         text = "".join(json.dumps(dict(zip(fields, row))) + "\n" for row in rows)
         name = uuid.uuid4().hex
-        fs, hidden = self._filesystem(f"{self.root}/{log}/_{name}")
+        folder = f"{self.root}/{log}/{rows[0][0]}"
+        fs, hidden = self._filesystem(f"{folder}/_{name}")
         stream = fs.create(hidden)
         try:
             stream.write(text.encode())
         finally:
             stream.close()
-        if not fs.rename(hidden, self._filesystem(f"{self.root}/{log}/{name}.json")[1]):
+        if not fs.rename(hidden, self._filesystem(f"{folder}/{name}.json")[1]):
             raise OSError(f"the entry {name} of {log} could not be published")
 
-    def log(self, name: str) -> DataFrame:
-        folder = f"{self.root}/{name}"
+    def log(self, name: str, dataset_id: str | None = None) -> DataFrame:
+        """The entries of one dataset, which are all that is then read, or of all."""
+        folder = f"{self.root}/{name}" + (f"/{dataset_id}" if dataset_id else "")
         if not self._exists(folder):
             return self.spark.createDataFrame([], LOGS[name])
-        return self.spark.read.schema(LOGS[name]).json(folder)
+        return self.spark.read.schema(LOGS[name]).option("recursiveFileLookup", "true").json(folder)
 
     # -- tables ------------------------------------------------------------
 
-    def datasets(self) -> DataFrame:
-        """``id, status, created, data_table`` of all datasets not dropped."""
+    def datasets(self, dataset_id: str | None = None) -> DataFrame:
+        """``id, status, created, data_table`` of one or all datasets not dropped."""
         entry = F.max_by(F.struct("created", "data_table", "dropped"), "seq").alias("d")
-        live = self.log("datasets").groupBy("id").agg(entry).where("NOT d.dropped")
-        status = registry.current_status(self.log("status"))
+        live = self.log("datasets", dataset_id).groupBy("id").agg(entry).where("NOT d.dropped")
+        status = registry.current_status(self.log("status", dataset_id))
         joined = live.join(status, live["id"] == status["dataset_id"], "left")
         return joined.select("id", F.col("status"), F.col("d.created").alias("created"), F.col("d.data_table").alias("data_table"))
 
-    def aliases(self) -> DataFrame:
-        latest = self.log("aliases").groupBy("dataset_id").agg(F.max_by("aliases", "seq").alias("a"))
+    def aliases(self, dataset_id: str | None = None) -> DataFrame:
+        latest = self.log("aliases", dataset_id).groupBy("dataset_id").agg(F.max_by("aliases", "seq").alias("a"))
         return latest.select("dataset_id", F.explode("a").alias("alias"))
 
     # -- datasets ----------------------------------------------------------
@@ -96,7 +100,7 @@ class Catalog:
         """A new empty dataset; its id."""
         with self._lock:
             dataset_id = str(uuid.uuid4())
-            while not self.log("datasets").where(F.col("id") == dataset_id).isEmpty():
+            while self._exists(f"{self.root}/datasets/{dataset_id}"):
                 dataset_id = str(uuid.uuid4())
             table = "data_" + dataset_id.replace("-", "")
             now = dt.datetime.now(dt.timezone.utc).isoformat()
@@ -108,7 +112,7 @@ class Catalog:
         self._append("status", [(dataset_id, self._next(), status)])
 
     def status(self, dataset_id: str) -> int:
-        row = registry.current_status(self.log("status").where(F.col("dataset_id") == dataset_id)).first()
+        row = registry.current_status(self.log("status", dataset_id)).first() if self._is_id(dataset_id) else None
         if row is None:
             raise errors.NotFound(dataset_id)
         return row["status"]
@@ -119,15 +123,19 @@ class Catalog:
         for row in halted.toLocalIterator():
             self.set_status(row["dataset_id"], registry.ERROR)
 
-    def exists(self, dataset_id: str) -> bool:
-        import re
+    @staticmethod
+    def _is_id(name: str) -> bool:
+        return re.match(UUID_SHAPE.replace(r"\z", r"\Z"), name) is not None
 
-        if not re.match(UUID_SHAPE.replace(r"\z", r"\Z"), dataset_id):
-            return False
-        return not self.datasets().where(F.col("id") == dataset_id).isEmpty()
+    def exists(self, dataset_id: str) -> bool:
+        return self._is_id(dataset_id) and not self.datasets(dataset_id).isEmpty()
 
     def resolve(self, name: str) -> str:
-        """Dataset id behind an alias or an id."""
+        """Dataset id behind an alias or an id. An id, which no alias can look like, is looked up alone."""
+        if self._is_id(name):
+            if not self.exists(name):
+                raise errors.NotFound(name)
+            return name
         names = self.spark.createDataFrame([(name,)], "name string")
         row = registry.resolve_names(names, self.aliases(), self.datasets()).first()
         if row is None or row["dataset_id"] is None:
@@ -137,7 +145,7 @@ class Catalog:
     def drop(self, dataset_id: str) -> None:
         """Remove a settled dataset with its aliases and files."""
         with self._lock:
-            row = self.datasets().where(F.col("id") == dataset_id).first()
+            row = self.datasets(dataset_id).first() if self._is_id(dataset_id) else None
             if row is None:
                 raise errors.NotFound(dataset_id)
             if row["status"] not in (registry.AVAILABLE, registry.ERROR):
@@ -149,7 +157,7 @@ class Catalog:
     # -- aliases -----------------------------------------------------------
 
     def aliases_of(self, dataset_id: str) -> list[str]:
-        return sorted(r["alias"] for r in registry.aliases_of(self.aliases(), dataset_id).collect())
+        return sorted(r["alias"] for r in registry.aliases_of(self.aliases(dataset_id), dataset_id).collect())
 
     def _change_aliases(self, dataset_id: str, wanted: list[str], change) -> bool:
         with self._lock:
@@ -179,7 +187,7 @@ class Catalog:
         fs.delete(where, True)
 
     def _loads(self, dataset_id: str) -> list:
-        return self.log("loads").where(F.col("dataset_id") == dataset_id).orderBy("seq").collect()
+        return self.log("loads", dataset_id).orderBy("seq").collect()
 
     def remove_replaced(self, dataset_id: str) -> None:
         """Delete the files of earlier versions; queries planned on them will fail."""
@@ -199,8 +207,8 @@ class Catalog:
         rows = [(dataset_id, self._next(), *[load.get(f) for f in _LOAD_FIELDS]) for load in loads]
         self._append("loads", rows)
 
-    def loaded_from(self, source: str) -> bool:
-        return not self.log("loads").where(F.col("source") == source).isEmpty()
+    def loaded_from(self, source: str, dataset_id: str | None = None) -> bool:
+        return not self.log("loads", dataset_id).where(F.col("source") == source).isEmpty()
 
     def records(self, dataset_id: str) -> DataFrame:
         """The stored records; raises for a dataset that was never loaded."""
@@ -228,7 +236,7 @@ class Catalog:
         status = self.status(dataset_id)
         empty = self.spark.createDataFrame([], record_schema([]))
         records = empty if status == registry.CREATED else self.records(dataset_id)
-        return dataset_info(records, self.datasets(), self.aliases(), dataset_id, base_url, context)
+        return dataset_info(records, self.datasets(dataset_id), self.aliases(dataset_id), dataset_id, base_url, context)
 
     def export(self, name: str, path: str, form: str = "csv", **options) -> None:
         """Write all records of a dataset, named by id or alias, as "csv" or "json" lines

@@ -50,7 +50,7 @@ def ingest_batch(catalog: Catalog, files: DataFrame, batch: str, loads_at_once:
         catalog.set_status(dataset_id, registry.ACCEPTED)
         for path in sorted(per_dataset[name]):
             source = f"{batch}:{path}"
-            if not catalog.loaded_from(source):
+            if not catalog.loaded_from(source, dataset_id):
                 load_csv(catalog, dataset_id, path, "append", source=source)
         return []
 

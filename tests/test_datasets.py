@@ -147,3 +147,15 @@ def test_unpublished_entry_is_an_error(catalog, monkeypatch):
     monkeypatch.setattr(catalog, "_filesystem", lambda path: (NoRename(real(path)[0]), real(path)[1]))
     with pytest.raises(OSError):
         catalog.set_status(dataset_id, registry.PROCESSING)
+
+
+def test_questions_about_a_dataset_read_its_own_entries(spark, catalog):
+    mine, other = catalog.create(), catalog.create()
+    for n in range(50):
+        catalog.set_status(other, registry.ACCEPTED)
+    assert catalog.log("status").count() == 52 and len(catalog.log("status", mine).inputFiles()) == 1
+    assert catalog.resolve(mine) == mine and catalog.status(mine) == registry.CREATED
+    for unknown in ("../status", "00000000-0000-0000-0000-000000000000"):
+        assert not catalog.exists(unknown)
+        with pytest.raises(errors.NotFound):
+            catalog.status(unknown)
