@@ -2,10 +2,11 @@ import bisect
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom import errors
+from recordloom import errors, session
 from recordloom.functions import ids, text, web
 from recordloom.operators import paging, profile, registry, sets, traffic
 from recordloom.plans.load import append_records
@@ -173,3 +174,22 @@ def test_average_admission_by_brute_force(spark, limit, seconds):
             state[k] = (free, kept)
         assert got.pop(i) == admitted, i
     assert list(got.values()) == [None]
+
+
+def test_a_limit_of_zero_refuses_all(spark):
+    assert traffic.SlidingWindow(0, 10).take(np.array([1, 2, 50])).tolist() == [0, 0, 0]
+    df = spark.sql("SELECT 1 AS id, 'a' AS k, timestamp'2024-01-01' AS ts")
+    assert [r["admitted"] for r in traffic.sliding_admission(df, "k", "ts", "id", 0, 5).collect()] == [False]
+
+
+def test_shared_folder_without_a_setting():
+    class Bare:
+        """A local session whose checkpoint folder is not set."""
+
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default=None: default)})
+        sparkContext = type("Context", (), {"master": "local[2]", "applicationId": "bare"})
+
+    assert session.shared_folder(Bare) == session.shared_folder(Bare)
+    Bare.sparkContext.master = "spark://cluster"
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Bare)
