@@ -166,7 +166,7 @@ def read_ids(manifest: DataFrame, keep_ids: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     out = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if keep_ids else "")
-    return manifest.select("path", "start").repartition(64 if manifest.count() > 64 else 12).mapInArrow(read, out)
+    return manifest.select("path", "start").repartition(max(1, min(10_000, manifest.count()))).mapInArrow(read, out)
 
 
 def written_and_read(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
