@@ -29,7 +29,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window, functions as F
 
 from recordloom.llm import prob_minhash as pm
 from recordloom.llm.common import saved, text_or_empty, worker_state
@@ -39,7 +40,7 @@ SIMILARITY = 0.8
 BLOCK_SHINGLES = 300_000
 LEAST_ALIKE = 0.65
 SMALL_BUCKET = 32
-TILE_NODES, TILE_SHINGLES = 256, 1_000_000
+TILE_UNITS, UNIT_SHINGLES = 256, 1024
 COLUMNS = 8192
 
 
@@ -176,24 +177,13 @@ def joining_links(a: dict, b: dict) -> list[tuple[bytes, bytes]]:
 
 def _tile_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that join components of large buckets; every pair of a bucket is compared."""
-    schema = "tile string, keys array<binary>, components array<binary>, sizes array<int>, shingles array<long>"
+    schema = "tile long, keys array<binary>, components array<binary>, sizes array<int>, shingles array<long>"
+    arrow = pa.schema([("tile", pa.int64()), ("keys", pa.list_(pa.binary())), ("components", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("shingles", pa.list_(pa.int64()))])
 
-    def cut(batches):
-        held, n = [], 0
-
-        def tile():
-            row = {"tile": held[0][0].hex(), "keys": [h[0] for h in held], "components": [h[1] for h in held], "sizes": [len(h[2]) for h in held], "shingles": np.concatenate([h[2] for h in held])}
-            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("tile", pa.string()), ("keys", pa.list_(pa.binary())), ("components", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("shingles", pa.list_(pa.int64()))]))
-
-        for batch in batches:
-            for key, component, shingles in zip(batch["key"].to_pylist(), batch["component"].to_pylist(), batch["shingles"]):
-                if held and (len(held) == TILE_NODES or n > TILE_SHINGLES):
-                    yield tile()
-                    held, n = [], 0
-                held.append((key, component, shingles.values.to_numpy()))
-                n += len(shingles)
-        if held:
-            yield tile()
+    def gather(key, table):
+        shingles = table["shingles"].combine_chunks()
+        row = [key[0].as_py(), table["key"].to_pylist(), table["component"].to_pylist(), pa.compute.list_value_length(shingles).to_pylist(), shingles.flatten().to_numpy()]
+        return pa.table([pa.array([x], t) for x, t in zip(row, arrow.types)], schema=arrow)
 
     def compare(batches):
         for batch in batches:
@@ -208,9 +198,15 @@ def _tile_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     home = members.groupBy("key").agg(F.max_by("bucket", F.struct("size", "bucket")).alias("home"), F.min("component").alias("component"))
     loaded = saved(home.join(sets, "key"), "large-buckets")
-    ordered = loaded.repartitionByRange("home", "key").sortWithinPartitions("home", "key")
-    tiles = saved(ordered.select("key", "component", "shingles").mapInArrow(cut, schema), "tiles")
-    touched = members.select("bucket", "key").join(tiles.select("tile", F.explode("keys").alias("key")), "key").select("bucket", "tile").distinct()
+    # Tiles are equal runs of a line on which the nodes lie home by home, however they are partitioned.
+    units = F.greatest(F.ceil(F.size("shingles") / UNIT_SHINGLES), F.lit(1))
+    homes = loaded.groupBy("home").agg(F.sum(units).alias("units"))
+    before = F.sum("units").over(Window.orderBy("home").rowsBetween(Window.unboundedPreceding, -1))  # one short row per large bucket
+    place = F.col("start") + F.pmod(F.xxhash64("key"), F.col("units"))
+    placed = loaded.join(homes.withColumn("start", F.coalesce(before, F.lit(0))), "home").withColumn("tile", F.floor(place / TILE_UNITS))
+    placed = saved(placed.select("tile", "key", "component", "shingles"), "placed")
+    tiles = saved(placed.groupBy("tile").applyInArrow(gather, schema), "tiles")
+    touched = members.select("bucket", "key").join(placed.select("tile", "key"), "key").select("bucket", "tile").distinct()
     pairs = touched.withColumnRenamed("tile", "tile_a").join(touched.withColumnRenamed("tile", "tile_b"), "bucket")
     pairs = saved(pairs.filter("tile_a <= tile_b").select("tile_a", "tile_b").distinct(), "tile-pairs")
     side = lambda s: tiles.select(*(F.col(c).alias(f"{c}_{s}") for c in tiles.columns))
