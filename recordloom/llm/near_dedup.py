@@ -10,10 +10,8 @@
    comparison, as their link could change no class. Members of large buckets meet in
    tiles: all pairs of two tiles are compared inside a task, on the sets themselves,
    and only links that join components leave it. In the rounds before that, and in
-   small buckets, pairs
-   whose signatures agree in fewer than LEAST_ALIKE of the places are passed over:
-   at a similarity of 0.8 that is four and a half standard deviations away, rarer
-   than a pair that shares no band.
+   small buckets, pairs are passed over only where the numbers of shingles alone
+   rule a link out: the similarity is at most the smaller number by the larger.
 4. A comparison is exact: the Jaccard similarity of the sets of five-word shingles,
    0.8 or more for a link.
 5. Components give the classes; a class is named by its smallest doc_id.
@@ -38,14 +36,13 @@ from recordloom.llm.components import components
 
 SIMILARITY = 0.8
 BLOCK_SHINGLES = 300_000
-LEAST_ALIKE = 0.65
 SMALL_BUCKET = 32
 TILE_UNITS, UNIT_SHINGLES = 256, 1024
 COLUMNS = 8192
 
 
 def signature_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, key of the shingle set (null without words), band keys, sketch of the signature."""
+    """doc_id, key of the shingle set (null without words), band keys, number of shingles."""
 
     def sign(batches):
         hashes = worker_state().setdefault("word_hashes", pm.new_word_hashes())
@@ -54,12 +51,11 @@ def signature_rows(docs: DataFrame) -> DataFrame:
             sizes = [len(e) for e, _ in found]
             owner = np.repeat(np.arange(len(found)), sizes)
             signed = pm.signatures(np.concatenate([e for e, _ in found]), np.concatenate([w for _, w in found]), owner, len(found))
-            keys, sketch = pm.band_keys(signed), pm.sketches(signed)
+            keys = pm.band_keys(signed)
             empty = np.array(sizes) == 0
             names = [None if none else pm.set_key(e) for none, (e, _) in zip(empty, found)]
             bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), pm.BANDS).cast(pa.list_(pa.int64()))
-            sketch = pa.FixedSizeListArray.from_arrays(pa.array(sketch.ravel()), pm.PLACES).cast(pa.list_(pa.int8()))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.binary()), bands, sketch], ["doc_id", "key", "bands", "sketch"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.binary()), bands, pa.array(sizes, pa.int32())], ["doc_id", "key", "bands", "extent"])
 
         for batch in batches:
             ids, found, n = [], [], 0
@@ -74,7 +70,7 @@ def signature_rows(docs: DataFrame) -> DataFrame:
                 yield block(ids, found)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, key binary, bands array<long>, sketch array<tinyint>")
+    return rows.mapInArrow(sign, "doc_id long, key binary, bands array<long>, extent int")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -107,35 +103,32 @@ def _ordered(a: str, b: str):
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """bucket, key, weight: members of the band buckets that hold more than one node."""
-    exploded = nodes.select("key", F.explode("bands").alias("bucket"))
+    """bucket, key, extent, size, weight: members of the band buckets that hold more than one node."""
+    exploded = nodes.select("key", "extent", F.explode("bands").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = saved(exploded.join(shared, "bucket"), "buckets")
     weight = members.groupBy("key").agg(F.sum("size").alias("weight"))
     return saved(members.join(weight, "key"), "bucket-members")
 
 
-def _alike(a: str, b: str):
-    """Whether two sketches agree in so many places that their texts may be similar enough."""
-    same = F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)
-    return F.size(same) >= int(LEAST_ALIKE * pm.PLACES)
+def _possible(a: str, b: str):
+    """Whether sets of so many shingles can be similar enough."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * int(100 * SIMILARITY)
 
 
 def _leader_pairs(members: DataFrame, leaders: int, salt: int) -> DataFrame:
     """Members with leaders of their bucket that lie in another component."""
     part = F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(leaders))
-    held = ["key", "component", *(c for c in members.columns if c == "sketch")]
-    chosen = members.groupBy("bucket", part.alias("part")).agg(F.max_by(F.struct(*held), F.struct("weight", "key")).alias("leader"))
-    found = members.join(chosen.drop("part"), "bucket").filter("component != leader.component")
-    found = found.filter(_alike("sketch", "leader.sketch")) if "sketch" in held else found
+    chosen = members.groupBy("bucket", part.alias("part")).agg(F.max_by(F.struct("key", "component", "extent"), F.struct("weight", "key")).alias("leader"))
+    found = members.join(chosen.drop("part"), "bucket").filter("component != leader.component").filter(_possible("extent", "leader.extent"))
     return found.select(*_ordered("key", "leader.key")).distinct()
 
 
 def _crossing_pairs(members: DataFrame) -> DataFrame:
     """All pairs of a bucket whose members lie in different components."""
     main = members.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", "count").alias("main"))
-    minor = members.join(main, "bucket").filter("component != main").select("bucket", F.col("key").alias("other"), F.col("component").alias("apart"), F.col("sketch").alias("theirs"))
-    found = members.join(minor, "bucket").filter("component != apart").filter(_alike("sketch", "theirs"))
+    minor = members.join(main, "bucket").filter("component != main").select("bucket", F.col("key").alias("other"), F.col("component").alias("apart"), F.col("extent").alias("theirs"))
+    found = members.join(minor, "bucket").filter("component != apart").filter(_possible("extent", "theirs"))
     return found.select(*_ordered("key", "other")).distinct()
 
 
@@ -214,7 +207,7 @@ def _tile_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Verified links (a, b) between nodes, enough of them to connect every class; ``nodes`` has key, rep_id, bands, sketch."""
+    """Verified links (a, b) between nodes, enough of them to connect every class; ``nodes`` has key, rep_id, bands, extent."""
     members = _buckets(nodes)
     wanted = members.select("key").distinct().join(nodes.select("key", "rep_id"), "key")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id")))
@@ -235,15 +228,14 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         named = members.join(labels.withColumnRenamed("node", "key"), "key", "left")
         named = named.withColumn("component", F.coalesce("component", "key"))
         open_ = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
-        named = named.filter("size > 2").join(open_.select("bucket"), "bucket").join(nodes.select("key", "sketch"), "key")
-        state = saved(named, "open-buckets")
+        state = saved(named.filter("size > 2").join(open_.select("bucket"), "bucket"), "open-buckets")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """One row per row: doc_id, class_id, kept (the document names its class)."""
     rows = saved(signature_rows(docs), "signatures")
     worded = rows.filter("key is not null")
-    nodes = saved(worded.groupBy("key").agg(F.min("doc_id").alias("rep_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = saved(worded.groupBy("key").agg(F.min("doc_id").alias("rep_id"), F.first("bands").alias("bands"), F.first("extent").alias("extent")), "nodes")
     labels = saved(components(links(docs, nodes)), "labels")
     members = nodes.select("key", "rep_id").join(labels.withColumnRenamed("node", "key"), "key")
     least = members.groupBy("component").agg(F.min("rep_id").alias("class_id"))

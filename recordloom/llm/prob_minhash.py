@@ -90,12 +90,6 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketches(signature: np.ndarray) -> np.ndarray:
-    """One signed byte per place: enough to estimate the similarity of two documents."""
-    with np.errstate(over="ignore"):
-        return mixed(signature + GOLDEN).astype(np.uint8).view(np.int8)
-
-
 def set_key(elements: np.ndarray) -> bytes:
     """16 bytes that stand for a set of shingles."""
     return xxhash.xxh3_128_digest(elements.tobytes())

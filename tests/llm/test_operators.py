@@ -1,5 +1,6 @@
 """Each operator on a small table of awkward rows, against a brute-force version."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -9,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from recordloom.llm import exact_dedup, external_shuffle, id_files, longest_match, mixing, near_dedup, packing, surrogates, toxicity, vector_dedup
+from recordloom.llm import exact_dedup, external_shuffle, id_files, longest_match, mixing, near_dedup, packing, prob_minhash, surrogates, toxicity, vector_dedup
 from recordloom.llm.word_ids import WordIds
 from recordloom.session import fresh_folder
 
@@ -108,6 +109,22 @@ def test_near_dedup_finds_all_links_of_many_variants(spark):
     assert got == {i: find(i) for i in range(150)} and 1 < len(set(got.values())) < 150
 
 
+def test_near_dedup_compares_all_pairs_that_banding_finds(spark):
+    """Two links in a bucket whose leader is another text, with signatures that agree nowhere."""
+    words = [f"word{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words[:30], "x" * 200, *words[31:]]), *(" ".join(f"{x}{i}" for i in range(60)) for x in "pq")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashes = prob_minhash.new_word_hashes()
+    nodes = []
+    for i, text in enumerate(texts):
+        found = prob_minhash.shingles(text, hashes)[0]
+        bands = [[1], [1], [1, 2], [2]][i]
+        nodes.append((bytearray(prob_minhash.set_key(found)), i, hashlib.sha256(text.encode()).digest(), bands, len(found), [i] * prob_minhash.PLACES))
+    nodes = spark.createDataFrame(nodes, "key binary, rep_id long, rep_digest binary, bands array<long>, extent int, sketch array<tinyint>")
+    keys = {r["key"]: r["rep_id"] for r in nodes.collect()}
+    assert {frozenset((keys[r["a"]], keys[r["b"]])) for r in near_dedup.links(docs, nodes).collect()} == {frozenset((0, 1))}
+
+
 def expected_ids(text, end):
     tokenizer = WordIds(TOKENIZER).tokenizer
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, end]
