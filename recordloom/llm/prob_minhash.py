@@ -41,22 +41,20 @@ def shingles(text: str, hashes: dict) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of a text, sorted, and their weights.
 
     Words are runs of non-space characters in lower case. A shingle is five words; a
-    text of one to four words is one shingle. The weight is the length in characters,
-    so it is the same in every document.
+    text of one to four words is one shingle. All weights are one, so the similarity
+    that signatures estimate is the plain Jaccard similarity, by which links are defined.
     """
     words = text.lower().split()
     n = len(words)
     if not n:
         return np.empty(0, np.uint64), np.empty(0)
     hashed = np.array([hashes[w] for w in words], dtype=np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, n)
     span = min(SHINGLE_WORDS, n)
-    total, weight = np.zeros(n - span + 1, np.uint64), np.zeros(n - span + 1, np.int64)
+    total = np.zeros(n - span + 1, np.uint64)
     for i in range(span):
         total = total * GOLDEN + hashed[i : n - span + 1 + i]
-        weight += sizes[i : n - span + 1 + i]
-    found, first = np.unique(mixed(total + np.uint64(span)), return_index=True)
-    return found, weight[first].astype(float)
+    found = np.unique(mixed(total + np.uint64(span)))
+    return found, np.ones(len(found))
 
 
 def signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, documents: int) -> np.ndarray:

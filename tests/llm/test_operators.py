@@ -125,6 +125,16 @@ def test_near_dedup_compares_all_pairs_that_banding_finds(spark):
     assert {frozenset((keys[r["a"]], keys[r["b"]])) for r in near_dedup.links(docs, nodes).collect()} == {frozenset((0, 1))}
 
 
+def test_near_dedup_of_texts_that_differ_in_one_long_token(spark):
+    """Plain similarity 41/51, just a link; by length the long token would outweigh the rest."""
+    texts = []
+    for pair in range(30):
+        words = [f"{pair:02}{i:03}" for i in range(50)]
+        texts += [" ".join([*words[:25], c * 100, *words[26:]]) for c in "xy"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()} == {i: i // 2 * 2 for i in range(60)}
+
+
 def expected_ids(text, end):
     tokenizer = WordIds(TOKENIZER).tokenizer
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, end]
