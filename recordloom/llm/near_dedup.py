@@ -18,9 +18,11 @@
 
 Defined cases: null and empty texts are classes of their own; texts of one to four
 words are one shingle; equal texts are one class; rows with the same doc_id count as
-one document; null doc_ids never name a class that has others, and rows without a doc_id,
-which cannot be told apart, stay together if one of them names its class; an empty table gives
-an empty result; further columns are ignored, or carried by ``drop_near_copies``.
+one document in ``classes``; null doc_ids never name a class that has others; an empty
+table gives an empty result; further columns are ignored, or carried by ``drop_near_copies``.
+That keeps one row of each class, told apart by doc_id and digest of the text, so unrelated
+texts under one doc_id, or under none, all stay; copies without a doc_id of texts that have
+one stay with the other rows without a doc_id if one of those names its class.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordloom.llm import prob_minhash as pm
 from recordloom.llm.common import saved, text_or_empty, worker_state
@@ -41,13 +43,18 @@ TILE_UNITS, UNIT_SHINGLES = 256, 1024
 COLUMNS = 8192
 
 
+def text_digest() -> Column:
+    """With the doc_id, it tells rows apart."""
+    return F.unhex(F.sha2(text_or_empty(), 256))
+
+
 def signature_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, key of the shingle set (null without words), band keys, number of shingles."""
+    """doc_id, digest of the text, key of the shingle set (null without words), band keys, number of shingles."""
 
     def sign(batches):
         hashes = worker_state().setdefault("word_hashes", pm.new_word_hashes())
 
-        def block(ids, found):
+        def block(ids, digests, found):
             sizes = [len(e) for e, _ in found]
             owner = np.repeat(np.arange(len(found)), sizes)
             signed = pm.signatures(np.concatenate([e for e, _ in found]), np.concatenate([w for _, w in found]), owner, len(found))
@@ -55,22 +62,23 @@ def signature_rows(docs: DataFrame) -> DataFrame:
             empty = np.array(sizes) == 0
             names = [None if none else pm.set_key(e) for none, (e, _) in zip(empty, found)]
             bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), pm.BANDS).cast(pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.binary()), bands, pa.array(sizes, pa.int32())], ["doc_id", "key", "bands", "extent"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(names, pa.binary()), bands, pa.array(sizes, pa.int32())], ["doc_id", "digest", "key", "bands", "extent"])
 
         for batch in batches:
-            ids, found, n = [], [], 0
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+            ids, digests, found, n = [], [], [], 0
+            for doc_id, digest, text in zip(batch["doc_id"].to_pylist(), batch["digest"].to_pylist(), batch["text"]):
                 ids.append(doc_id)
+                digests.append(digest)
                 found.append(pm.shingles(text.as_py(), hashes))
                 n += len(found[-1][0]) + 16
                 if n >= BLOCK_SHINGLES:
-                    yield block(ids, found)
-                    ids, found, n = [], [], 0
+                    yield block(ids, digests, found)
+                    ids, digests, found, n = [], [], [], 0
             if ids:
-                yield block(ids, found)
+                yield block(ids, digests, found)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, key binary, bands array<long>, extent int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), text_or_empty().alias("text"))
+    return rows.mapInArrow(sign, "doc_id long, digest binary, key binary, bands array<long>, extent int")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -207,10 +215,11 @@ def _tile_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Verified links (a, b) between nodes, enough of them to connect every class; ``nodes`` has key, rep_id, bands, extent."""
+    """Verified links (a, b) between nodes, enough of them to connect every class; ``nodes`` has key, rep_id, rep_digest, bands, extent."""
     members = _buckets(nodes)
-    wanted = members.select("key").distinct().join(nodes.select("key", "rep_id"), "key")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id")))
+    wanted = members.select("key").distinct().join(nodes.select("key", "rep_id", "rep_digest"), "key")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), "text")
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("digest") == F.col("rep_digest")))
     sets = saved(shingle_sets(texts).dropDuplicates(["key"]), "shingle-sets")
     state = members.withColumn("component", F.col("key"))
     tested = edges = None
@@ -231,25 +240,42 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         state = saved(named.filter("size > 2").join(open_.select("bucket"), "bucket"), "open-buckets")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """One row per row: doc_id, class_id, kept (the document names its class)."""
+def _first_row(*more: str) -> Column:
+    """The row with the smallest doc_id; rows without one come last."""
+    return F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", *more))
+
+
+def _classified(docs: DataFrame) -> DataFrame:
+    """One row per row: doc_id, digest, class_id, class_key (null without words)."""
     rows = saved(signature_rows(docs), "signatures")
     worded = rows.filter("key is not null")
-    nodes = saved(worded.groupBy("key").agg(F.min("doc_id").alias("rep_id"), F.first("bands").alias("bands"), F.first("extent").alias("extent")), "nodes")
+    nodes = worded.groupBy("key").agg(_first_row().alias("rep"), F.first("bands").alias("bands"), F.first("extent").alias("extent"))
+    nodes = saved(nodes.select("key", F.col("rep.doc_id").alias("rep_id"), F.col("rep.digest").alias("rep_digest"), "bands", "extent"), "nodes")
     labels = saved(components(links(docs, nodes)), "labels")
     members = nodes.select("key", "rep_id").join(labels.withColumnRenamed("node", "key"), "key")
-    least = members.groupBy("component").agg(F.min("rep_id").alias("class_id"))
-    linked = members.join(least, "component").select("key", "class_id")
-    named = nodes.select("key", "rep_id").join(linked, "key", "left").select("key", F.coalesce("class_id", "rep_id").alias("class_id"))
-    found = worded.select("doc_id", "key").join(named, "key").select("doc_id", "class_id")
-    out = found.unionAll(rows.filter("key is null").select("doc_id", F.col("doc_id").alias("class_id")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    least = members.groupBy("component").agg(F.min("rep_id").alias("least_id"))
+    linked = members.join(least, "component").select("key", "component", "least_id")
+    named = nodes.select("key", "rep_id").join(linked, "key", "left").select("key", F.coalesce("least_id", "rep_id").alias("class_id"), F.coalesce("component", "key").alias("class_key"))
+    found = worded.select("doc_id", "digest", "key").join(named, "key").select("doc_id", "digest", "class_id", "class_key")
+    return found.unionAll(rows.filter("key is null").select("doc_id", "digest", F.col("doc_id").alias("class_id"), F.lit(None).cast("binary").alias("class_key")))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """One row per row: doc_id, class_id, kept (the document names its class)."""
+    return _classified(docs).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The documents that name their class, with all their columns; one row of each."""
-    kept = saved(classes(docs), "classes").filter("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__twins"))
-    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")))
+    """One row of each class, one with the doc_id that names it, with all its columns."""
+    found = saved(_classified(docs), "classes")
+    counted = found.groupBy("class_key", "class_id", "doc_id", "digest").agg(F.count(F.lit(1)).alias("twins"))
+    first = counted.filter("class_key is not null").groupBy("class_key").agg(_first_row("twins").alias("first"))
+    kept = first.select("first.doc_id", "first.digest", (F.col("first.twins") > 1).alias("__once"))
+    kept = kept.unionAll(counted.filter("class_key is null").select("doc_id", "digest", F.expr("doc_id is not null and twins > 1")))
+    if not found.filter("doc_id is null and class_id is null").isEmpty():
+        kept = kept.unionAll(counted.filter("doc_id is null and class_id is not null").select("doc_id", "digest", F.lit(False)))
+    kept = kept.withColumnsRenamed({"doc_id": "__id", "digest": "__kept"})
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    single = found.filter("__twins = 1").select(*columns)
-    return single.unionAll(found.filter("__twins > 1").dropDuplicates(["doc_id"]).select(*columns))
+    rows = docs.withColumn("__digest", text_digest())
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")))
+    return rows.filter("not __once").select(*columns).unionAll(rows.filter("__once").dropDuplicates(["doc_id", "__digest"]).select(*columns))

@@ -135,6 +135,15 @@ def test_near_dedup_of_texts_that_differ_in_one_long_token(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()} == {i: i // 2 * 2 for i in range(60)}
 
 
+def test_near_dedup_keeps_unrelated_texts_that_share_a_doc_id_or_have_none(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(60)) for x in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1] + " end"), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[4]), (9, texts[4] + " end"), (None, ""), (None, "")]
+    kept = [tuple(r) for r in near_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    second = [t for i, t in kept if t in (texts[1], texts[1] + " end")]
+    assert len(second) == 1
+    assert Counter(kept) == Counter([(None, texts[0]), (None, second[0]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (None, ""), (None, "")])
+
+
 def expected_ids(text, end):
     tokenizer = WordIds(TOKENIZER).tokenizer
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, end]
