@@ -11,7 +11,9 @@ gender, a card keeps its first digit and its check sum, a phone its country code
 
 Distinctness: surrogates are checked against each other and against the originals of
 their kind; of those that collide all but one draw again, until none is left. From
-the fourth draw on words grow by a syllable or letter, so there is always room.
+the fourth draw on words grow by a syllable, letter or further given name, so there is
+always room; addresses whose private network is used up move to a larger one, and
+then to any. Other numbers keep their length.
 
 Texts without entities are not shuffled. Those with entities meet a map of their own
 mentions, joined by doc_id.
@@ -80,6 +82,7 @@ PATTERN = "|".join(PATTERNS.values())
 MARK, ESCAPE = "\ue000", "\ue001"
 ESCAPES = [(ESCAPE, "\ue001\ue002"), (MARK, "\ue001\ue003")]
 DRAWS = 64
+WIDER, WIDEST = 16, 32  # draws from which addresses move to 10.0.0.0/8, and to any network
 
 
 def _first_match(value: Column, choices: dict[str, str], default: str) -> Column:
@@ -167,6 +170,7 @@ def _candidates(parts: DataFrame, key: str) -> DataFrame:
     check = F.pmod(_luhn(form) - _luhn(F.concat(card, F.lit("0"))), F.lit(10)).cast("string")
     octet = lambda i: (F.pmod(_byte(stream, F.lit(i)), F.lit(254)) + 1).cast("string")
     prefix = F.regexp_extract(form, r"^(?:10\.|127\.|192\.168\.|169\.254\.)", 0)
+    prefix = F.when(draw >= WIDEST, F.lit("")).when((draw >= WIDER) & (F.length(prefix) > 4), F.lit("10.")).otherwise(prefix)
     kept = F.size(F.split(prefix, r"\.")) - 1
     octets = F.array(*[octet(i) for i in range(4)])
     address = F.concat(prefix, F.array_join(F.slice(octets, F.lit(1), 4 - kept), "."))
@@ -176,9 +180,8 @@ def _candidates(parts: DataFrame, key: str) -> DataFrame:
         longer = F.array_join(F.transform(F.sequence(F.lit(0), more), partial(_syllable, ends, stream)), "")
         name = F.when(kind == f"family {script}", F.concat(_pick(stems, number), longer, _pick(ends, F.floor(number / 1024)))).otherwise(name)
         for gender, given in GIVEN[script].items():
-            twice = F.when(draw > 3, F.concat(F.lit("-"), _pick(given, F.floor(number / 65536)))).otherwise(F.lit(""))
-            third = F.when(draw > 8, F.concat(F.lit("-"), _pick(given, F.floor(number / 2**24)))).otherwise(F.lit(""))
-            name = F.when(kind == f"given {script} {gender}", F.concat(_pick(given, number), twice, third)).otherwise(name)
+            further = F.array_join(F.transform(F.sequence(F.lit(0), more), partial(_syllable, [f"-{x}" for x in given], stream)), "")
+            name = F.when(kind == f"given {script} {gender}", F.concat(_pick(given, number), further)).otherwise(name)
     surrogate = F.when(kind.isin("box", "host"), word).when(kind == "card", F.concat(card, check)).when(kind == "ip", address).when(kind == "secret", secret)
     surrogate = surrogate.when(kind.rlike("^(?:family|given)"), name).otherwise(_substituted(form, stream))
     return parts.withColumn("stream", _stream(key, F.length("canonical"))).withColumn("surrogate", surrogate).drop("stream")

@@ -307,6 +307,19 @@ def test_surrogates(spark, docs):
     assert other[2] != texts[2][0]
 
 
+def test_surrogates_have_room_for_many_given_names_and_addresses(spark):
+    from pyspark.sql import functions as F
+
+    kinds = {"given Latin m": 10_000, "given Greek n": 2_000}
+    parts = [(kind, f"name{i}") for kind, n in kinds.items() for i in range(n)]
+    parts += [("ip", f"192.168.{i // 256}.{i % 256}") for i in range(256 * 256)]
+    table = surrogates.surrogate_table(spark.createDataFrame(parts, "kind string, canonical string").repartition(8), "k")
+    counts = {r["kind"]: tuple(r)[1:] for r in table.groupBy("kind").agg(F.count("canonical"), F.countDistinct(F.lower("surrogate"))).collect()}
+    assert counts == {k: (n, n) for k, n in [*kinds.items(), ("ip", 65536)]}
+    assert not table.filter("kind = 'ip' and surrogate not rlike '^10([.][0-9]+){3}$'").count()
+    assert {p for r in table.filter("kind = 'given Greek n'").collect() for p in r["surrogate"].split("-")} == set(surrogates.GIVEN["Greek"]["n"])
+
+
 def test_toxicity(spark, docs, empty):
     from pyspark.sql import functions as F
 
