@@ -8,7 +8,8 @@ that this needs are Spark aggregates over the table of sources.
 The budget in tokens is given, or the smallest one at which every source is read at
 least once. A source's budget is its weight times the whole. A source is read in
 epochs; each epoch is a permutation of its own: hashed blocks in hashed order, hashed
-order within blocks. The last epoch ends where the budget does. Prefix sums run over
+order within blocks. The last epoch ends where the budget does, in whole tokens and
+whatever the size of the source. Prefix sums run over
 blocks first and within blocks then, so no source, however large, is in one task.
 
 A drawn document's place in its source's sequence, as a share of the source's
@@ -33,6 +34,7 @@ from recordloom.llm.common import saved, text_or_empty
 BLOCK_TOKENS = 1_000_000
 STEPS = 16
 ROUNDS = 8
+ROUNDING = 1e-3  # tokens by which a budget may miss a whole number
 
 
 def words_of() -> Column:
@@ -86,8 +88,9 @@ def weighted(rows: DataFrame, entropy: float | None = None, repeats: float | Non
 
 def draws(rows: DataFrame, sources: DataFrame, seed: int = 0, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Every drawing of a document: doc_id, source, tokens, epoch, mix_block, slot, weight."""
-    spec = sources.select("source", F.col("tokens").alias("all"), "weight", "budget")
-    copies = rows.join(spec, "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("budget") / F.col("all") - 1e-9) - 1, F.lit(0)).cast("int"))))
+    limit = F.ceil(F.col("budget") - ROUNDING)
+    spec = sources.select("source", F.col("tokens").alias("all"), "weight", "budget", limit.alias("limit"))
+    copies = rows.join(spec, "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.expr("greatest((limit - 1) div all, 0)").cast("int"))))
     blocks = F.greatest(F.ceil(F.col("all") / F.lit(block_tokens)), F.lit(1))
     copies = copies.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), blocks)).withColumn("turn", F.xxhash64(F.lit(seed + 1), "doc_id", "epoch"))
     copies = saved(copies, "copies")
@@ -97,7 +100,7 @@ def draws(rows: DataFrame, sources: DataFrame, seed: int = 0, block_tokens: int
     within = Window.partitionBy("source", "epoch", "block").orderBy("turn", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     placed = copies.withColumn("inside", F.coalesce(F.sum("tokens").over(within), F.lit(0))).join(starts, ["source", "epoch", "block"])
     start = F.col("epoch") * F.col("all") + F.col("before") + F.col("inside")
-    drawn = placed.withColumn("start", start).filter(F.col("start") < F.col("budget") - 1e-6 * F.col("all"))
+    drawn = placed.withColumn("start", start).filter(F.col("start") < F.col("limit"))
     whole = sources.agg(F.sum("budget")).first()[0] or 0
     mix_blocks = max(1, math.ceil(whole / block_tokens))
     drawn = drawn.withColumn("mix_block", F.least(F.floor(F.col("start") / F.col("budget") * mix_blocks), F.lit(mix_blocks - 1)).cast("long"))

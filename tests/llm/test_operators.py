@@ -250,6 +250,14 @@ def test_mixing(docs, empty):
     assert mixing.mixed_documents(docs, repeats=2.0).columns == docs.columns
 
 
+@pytest.mark.parametrize("last", [1, 3])
+def test_mixing_draws_every_document_of_a_large_source(spark, last):
+    """Short documents beside a very long one: the end of an epoch is less than a millionth of it."""
+    rows = spark.createDataFrame([(0, "a", 10**10), *((i, "a", last) for i in range(1, 200)), (200, "b", 5)], "doc_id long, source string, tokens long")
+    drawn = Counter(r["doc_id"] for r in mixing.draws(rows, mixing.weighted(rows, repeats=1.5)).collect())
+    assert set(drawn) == set(range(201)) and all(drawn[i] == 1 for i in range(200))
+
+
 def test_exponents(spark):
     sources = spark.createDataFrame([(1000,), (100,), (10,)], "tokens long")
     share = np.array([1000, 100, 10]) / 1110
