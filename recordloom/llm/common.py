@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -36,7 +38,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def worker_state() -> dict:
-    """What this Python process keeps from task to task."""
-    name = "__recordloom_worker__"
-    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+# Bytes that the word table of a Python worker may take; an entry counts with what a dict needs for it.
+TABLE_BYTES = 16 << 20
+ENTRY_BYTES = 120
+
+
+class BoundedTable(dict):
+    """Values by word, made as words come, in at most ``TABLE_BYTES``: a full table starts anew."""
+
+    def __init__(self):
+        super().__init__()
+        self.free = TABLE_BYTES
+
+    def keep(self, word, value) -> None:
+        self.free -= ENTRY_BYTES + sys.getsizeof(word) + sys.getsizeof(value)
+        if self.free < 0:
+            self.clear()
+            self.free = TABLE_BYTES
+        self[word] = value
+
+
+def worker_holds(name: str, make: Callable[[], object]):
+    """What this Python process keeps from task to task: one thing only, the last that was
+    asked for. A worker that goes on to another operator gives the memory back."""
+    module = "__recordloom_worker__"
+    state = sys.modules.setdefault(module, types.ModuleType(module)).__dict__
+    if state.get("name") != name:
+        state["name"] = state["thing"] = None
+        gc.collect()
+        _give_back()
+        state["thing"] = make()
+        state["name"] = name
+    return state["thing"]
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system where the C library and Arrow can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

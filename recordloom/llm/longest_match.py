@@ -20,10 +20,9 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from recordloom.llm.common import text_or_empty, worker_state
+from recordloom.llm.common import BoundedTable, text_or_empty, worker_holds
 
 WORD = re.compile(r"\w+|[^\w\s]")
-KEPT_CHUNKS = 500_000
 NOWHERE = -1
 
 
@@ -91,7 +90,7 @@ def sentencepiece_vocabulary(path: str) -> tuple[set[str], set[str]]:
     return {p[1:] for p in plain if p[0] == "▁"}, {p for p in plain if "▁" not in p}
 
 
-class _Counts(dict):
+class _Counts(BoundedTable):
     """Tokens, words and unknown words of a chunk without spaces, as three 64-bit fields of one number."""
 
     def __init__(self, automaton: LongestMatch):
@@ -103,9 +102,7 @@ class _Counts(dict):
         value = (sum(n if n >= 0 else 1 for n in found), len(found), sum(n < 0 for n in found))
         packed = value[0] | value[1] << 64 | value[2] << 128
         if len(chunk) <= 40:
-            if len(self) >= KEPT_CHUNKS:
-                self.clear()
-            self[chunk] = packed
+            self.keep(chunk, packed)
         return packed
 
 
@@ -113,10 +110,7 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_words, n_unknown. ``vocabulary`` is a sentencepiece model file."""
 
     def count(batches):
-        kept = worker_state().setdefault("longest_match", {})
-        if vocabulary not in kept:
-            kept[vocabulary] = _Counts(LongestMatch(*sentencepiece_vocabulary(vocabulary)))
-        counts = kept[vocabulary]
+        counts = worker_holds(f"longest match {vocabulary}", lambda: _Counts(LongestMatch(*sentencepiece_vocabulary(vocabulary))))
         field = (1 << 64) - 1
         for batch in batches:
             sums = [sum(map(counts.__getitem__, text.as_py().lower().split())) for text in batch["text"]]

@@ -33,7 +33,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordloom.llm import prob_minhash as pm
-from recordloom.llm.common import saved, text_or_empty, worker_state
+from recordloom.llm.common import saved, text_or_empty, worker_holds
 from recordloom.llm.components import components
 
 SIMILARITY = 0.8
@@ -52,7 +52,7 @@ def signature_rows(docs: DataFrame) -> DataFrame:
     """doc_id, digest of the text, key of the shingle set (null without words), band keys, number of shingles."""
 
     def sign(batches):
-        hashes = worker_state().setdefault("word_hashes", pm.new_word_hashes())
+        hashes = worker_holds("word hashes", pm.new_word_hashes)
 
         def block(ids, digests, found):
             sizes = [len(e) for e, _ in found]
@@ -85,7 +85,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """key and the sorted shingles, for documents with words; needs doc_id and text."""
 
     def sets(batches):
-        hashes = worker_state().setdefault("word_hashes", pm.new_word_hashes())
+        hashes = worker_holds("word hashes", pm.new_word_hashes)
         for batch in batches:
             found = [pm.shingles(text.as_py(), hashes)[0] for text in batch["text"]]
             yield pa.RecordBatch.from_arrays(

@@ -11,11 +11,12 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from recordloom.llm.common import BoundedTable
+
 SHINGLE_WORDS = 5
 BANDS, ROWS = 24, 6
 PLACES = BANDS * ROWS
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-KEPT_WORDS = 300_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -25,11 +26,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHashes(dict):
+class _WordHashes(BoundedTable):
     def __missing__(self, word: str) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode())
+        value = xxhash.xxh3_64_intdigest(word.encode())
+        if len(word) <= 40:
+            self.keep(word, value)
         return value
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from recordloom.llm.common import saved, text_or_empty
+from recordloom.llm.common import BoundedTable, saved, text_or_empty, worker_holds
 
 SAMPLE_ROWS = 20_000
 MODEL_WORDS = 50_000
@@ -43,7 +43,6 @@ SIGNIFICANT = 0.05
 THRESHOLD = 0.7
 STEMS = range(3, 9)
 TOXIC_BACKGROUND = 0.01
-KEPT_WORDS = 300_000
 WORD = re.compile(r"\w+")
 EULER = 0.5772156649015329
 
@@ -99,7 +98,7 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:k]}*" for k in STEMS if len(word) > k)]
 
 
-class WordScores(dict):
+class WordScores(BoundedTable):
     """Scores by word, filled as words come: that of the feature which tells most; bounded."""
 
     def __init__(self, scores: dict[str, float]):
@@ -108,9 +107,8 @@ class WordScores(dict):
 
     def __missing__(self, word: str) -> float:
         best = max((self.scores.get(f, 0.0) for f in features(word)), key=abs) - DRIFT
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = best
+        if len(word) <= 40:
+            self.keep(word, best)
         return best
 
 

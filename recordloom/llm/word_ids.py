@@ -16,7 +16,7 @@ from array import array
 
 import numpy as np
 
-from recordloom.llm.common import worker_state
+from recordloom.llm.common import BoundedTable, worker_holds
 
 # The split rule of word-level byte BPE files (public tokenizer format).
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -26,7 +26,6 @@ _LETTERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ"
 _DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\s{_LETTERS}{_DIGITS}]+")
 _UNUSUAL = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-įı-ſ]")
-KEPT_WORDS = 500_000
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -36,29 +35,24 @@ def _byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class _Kept(dict):
-    """Packed ids by word: bounded, in two generations; what is used moves on to the new one."""
+class _Kept(BoundedTable):
+    """Packed ids by word."""
 
     def __init__(self, compute):
         super().__init__()
-        self.compute, self.old = compute, {}
+        self.compute = compute
         self.ends = {mark: compute(mark) for mark in ".,"}
 
     def __missing__(self, chunk: str) -> bytes:
-        value = self.old.get(chunk)
-        if value is None:
-            if chunk.isalpha():
-                value = self.compute(chunk)
-            elif chunk[:-1].isalpha() and chunk[-1] in ".,":
-                value = self[chunk[:-1]] + self.ends[chunk[-1]]
-            else:
-                words = _WORDS.findall(chunk)
-                value = b"".join([self[w] for w in words]) if len(words) > 1 else self.compute(chunk)
+        if chunk.isalpha():
+            value = self.compute(chunk)
+        elif chunk[:-1].isalpha() and chunk[-1] in ".,":
+            value = self[chunk[:-1]] + self.ends[chunk[-1]]
+        else:
+            words = _WORDS.findall(chunk)
+            value = b"".join([self[w] for w in words]) if len(words) > 1 else self.compute(chunk)
         if len(chunk) <= 24:
-            if len(self) >= KEPT_WORDS:
-                self.old = self.copy()
-                self.clear()
-            self[chunk] = value
+            self.keep(chunk, value)
         return value
 
 
@@ -110,7 +104,4 @@ _CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
 
 def word_ids(path: str) -> WordIds:
     """The encoder of this Python process for a tokenizer file: loaded once, its words kept from task to task."""
-    kept = worker_state().setdefault("word_ids", {})
-    if path not in kept:
-        kept[path] = WordIds(path)
-    return kept[path]
+    return worker_holds(f"word ids {path}", lambda: WordIds(path))
