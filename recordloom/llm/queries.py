@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordloom.llm import exact_dedup, external_shuffle, id_files, longest_match, mixing, near_dedup, packing, surrogates, toxicity, vector_dedup
+from recordloom.llm import exact_dedup, external_shuffle, id_files, longest_match, mixing, near_dedup, packing, periodic_runs, ranked_search, surrogates, toxicity, vector_dedup, warc_archive
 from recordloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,39 @@ def op8_temperature_mix(spark, sf):
 def op9_surrogates(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return surrogates.with_surrogates(docs, key="documents", counted="replaced").select("doc_id", "text", "replaced")
+
+
+@case(
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+    q AS (SELECT page_id, strlen(t) AS n, h, min(page_id) OVER (PARTITION BY t) AS first_id FROM p)
+    SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(32), lambda i:
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST(('0x' || substr(h, 1 + 5 * CAST(i // 4 AS INT), 5)) AS BIGINT) >> (15 - 5 * CAST(i % 4 AS INT))) & 31 AS INT), 1)), '') AS payload_digest,
+    CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM q"""
+)
+def op11_content_addressed_warc(spark, sf):
+    return warc_archive.archived(table(spark, sf, "pages")).drop("url")
+
+
+@case()
+def op12_periodic_runs(spark, sf):
+    return periodic_runs.digested(periodic_runs.with_runs(periodic_runs.made_periodic(table(spark, sf, "documents"))))
+
+
+@case(
+    r"""WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+    asked AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    wanted AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY item_id, term),
+    sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+    whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+    postings AS (SELECT term, doc_id, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY term, doc_id),
+    weights AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, whole GROUP BY term),
+    scored AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+      FROM wanted JOIN postings USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), whole GROUP BY item_id, doc_id),
+    ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scored WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20"""
+)
+def op13_ranked_search(spark, sf):
+    return ranked_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
