@@ -42,8 +42,17 @@ def clamp_offset(value: int | str | None) -> int:
 
 
 def count_name(labels: list[str]) -> str:
-    """The column of a page that carries the total; another name if a label has taken the usual one."""
-    return "result_count" if "result_count" not in labels else "__result_count"
+    """The column of a page that carries the total: the usual name behind as many pairs of
+    underscores as it takes to be no label."""
+    name = "result_count"
+    while name in labels:
+        name = "__" + name
+    return name
+
+
+def counted_by(page: DataFrame) -> str:
+    """The column of a page that carries the total: of the names in question the one that was added last."""
+    return [c for c in page.columns if re.fullmatch("(__)*result_count", c)][-1]
 
 
 def sort_key(labels: list[str], sort: str) -> tuple[str, bool]:
@@ -187,7 +196,7 @@ def envelope(
     Gathers at most ``limit`` rows. With ``base_url`` the neighbour links are
     spelled out too.
     """
-    counted = "__result_count" if "__result_count" in page.columns else "result_count"
+    counted = counted_by(page)
     labels = [c for c in labels_of(page) if c != counted]
     record = F.struct(*[col(label) for label in labels])
     place = F.struct(F.row_number().over(_page_window(labels, sort)).alias("i"), record.alias("r"))

@@ -195,6 +195,7 @@ class Catalog:
         for load in self._loads(dataset_id):
             if load["path"] not in current:
                 self.remove(load["path"])
+                self.remove(load["path"] + ".side")
 
     def segments(self, dataset_id: str) -> list:
         """Published loads that make up the current version, oldest first."""

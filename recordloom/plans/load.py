@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from recordloom.errors import LoadRejected, RecordError
 from recordloom.operators import registry
 from recordloom.operators.sets import same_labels
+from recordloom.plans import indexed
 from recordloom.plans.catalog import Catalog
 from recordloom.sources.csv_records import parse
 from recordloom.sources.records import ROWNR, labels_of
@@ -175,6 +176,9 @@ def _load(
         too_long = sum(f["overlong"] for f in facts)
         if too_long:
             raise LoadRejected(f"{too_long} rows have more values than the header has labels")
+        for f in facts:
+            if f["rows"] >= indexed.MANY_ROWS:
+                indexed.write_row_directory(catalog, f["path"], labels)
     except OtherCharset as found:  # more files are settled now, so this ends
         catalog.remove(folder)
         return _load(catalog, spark, dataset_id, path, mode, lone_backslash, source, charset, sep, {**(known or {}), **found.known})

@@ -22,7 +22,7 @@ from recordloom.errors import LoadRejected
 from recordloom.session import fresh_folder
 from recordloom.sources.csv_text import cells, decoded, ends_open, undecodable
 from recordloom.sources.records import ROWNR
-from recordloom.sources.sniff import LONGEST_LOOKUP, FileGroup, file_groups, literal_path
+from recordloom.sources.sniff import LONGEST_LOOKUP, FileGroup, charset_votes, file_groups, literal_path
 
 # Rows of a helper table of a few numbers up to which it is broadcast (some 20 MB).
 BROADCAST_ROWS = 200_000
@@ -334,14 +334,36 @@ def parse(
     return Parsed(watched.select(ROWNR, *picked, *extra), group, seen, temporary)
 
 
-def surprises(spark: SparkSession, group: FileGroup) -> tuple[bool, bool, bool]:
-    """Whether lines must be joined, a data line in a first block equals its header,
-    and row numbers need exact counting: one pass over the text."""
+@dataclass(frozen=True)
+class Surprises:
+    """What one pass over the text tells that the heads of files cannot."""
+
+    joined: bool  # lines must be joined
+    repeated: bool  # a data line in a first block equals its header
+    crowded: bool  # row numbers need exact counting
+    broken: bool  # some line is not text in the charset of its head
+
+
+def surprises(spark: SparkSession, group: FileGroup) -> Surprises:
     head = (F.col("block") == 0) & (F.col("value") == F.lit(group.header))
-    open_, heads, crowded = lines(spark, group).agg(
-        F.count_if(ends_open(F.col("value"))), F.count_if(head), F.count_if(_crowded())
+    open_, heads, crowded, broken = lines(spark, group).agg(
+        F.count_if(ends_open(F.col("value"))), F.count_if(head), F.count_if(_crowded()), F.count_if(undecodable(F.col("value"), group.charset))
     ).first()
-    return group.quoted_newlines or open_ > 0, heads != len(group.files), crowded > 0
+    return Surprises(group.quoted_newlines or open_ > 0, heads != len(group.files), crowded > 0, broken > 0)
+
+
+def _settled_groups(spark: SparkSession, path: str | list[str], charset: str | None, sep: str | None) -> list[tuple[FileGroup, Surprises]]:
+    """File groups under the rule of loads: where lines are not text in a charset that only the head of
+    their file shows, all lines of the file vote. Every round settles more files, so this ends."""
+    known: dict[str, str] = {}
+    while True:
+        groups = file_groups(spark, path, charset, sep, known)
+        seen = [(g, surprises(spark, g)) for g in groups]
+        doubtful = {p: g.charset for g, s in seen if s.broken and not g.settled and g.charset not in _WHOLE for p, _ in g.files}
+        votes = charset_votes(spark, list(doubtful)) if doubtful else {}
+        if all(votes.get(p, c) == c for p, c in doubtful.items()):
+            return seen
+        known |= votes
 
 
 def scan_csv(
@@ -354,13 +376,12 @@ def scan_csv(
 ) -> DataFrame:
     """Records of CSV files as a lazy table, with over-long rows cut to their
     labels. Loading (``plans.load``) rejects those; ``overlong_rows`` lists them."""
-    groups = file_groups(spark, path, charset, sep)
-    labels = list(groups[0].labels)
+    groups = _settled_groups(spark, path, charset, sep)
+    labels = list(groups[0][0].labels)
     parts = []
-    for g in groups:
-        joined, repeated, crowded = surprises(spark, g)
-        options = {"lone_backslash": lone_backslash, "keep_rejects": keep_rejects, "watch": False, "exact_numbers": crowded}
-        parts.append(parse(spark, g, labels, joined, repeated, **options).rows)
+    for g, s in groups:
+        options = {"lone_backslash": lone_backslash, "keep_rejects": keep_rejects, "watch": False, "exact_numbers": s.crowded}
+        parts.append(parse(spark, g, labels, s.joined, s.repeated, **options).rows)
     return reduce(DataFrame.unionAll, parts)
 
 

@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from recordloom.functions import ids, patterns, text, web
 from recordloom.operators import paging, predicates, profile, registry, sets, traffic
-from recordloom.plans import export, load
+from recordloom.plans import export, indexed, interleaved, load
 from recordloom.plans.catalog import Catalog
+from recordloom.plans.order_directory import OrderDirectory, sorted_page as directory_sorted
+from recordloom.plans.row_directory import RowDirectory
+from recordloom.plans.trigram_index import TrigramIndex
 from recordloom.session import fresh_folder
 from recordloom.sources import csv_records, records, sniff
 from recordloom.sources.records import ROWNR, as_records
@@ -259,6 +262,104 @@ def max_lengths(spark, sf):
     return profile.max_lengths(documents(spark, sf))
 
 
+# -- side tables ----------------------------------------------------------------
+
+
+def _stored(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    folder = fresh_folder(spark, "records")
+    rows.write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+@case(
+    r"""SELECT doc_id FROM documents WHERE regexp_matches(text, '([Aa]ll|no) rights? reserved') AND NOT contains(lang, '?')
+    UNION ALL SELECT -1 - doc_id FROM documents WHERE contains(lower(text), 'rights reserved')"""
+)
+def trigram_regex(spark, sf):
+    """Two unanchored searches through an index of pieces, one of them ignoring case."""
+    rows = _stored(spark, documents(spark, sf))
+    directory = RowDirectory.write(rows, fresh_folder(spark, "rows"), cell_rows=64)
+    index = TrigramIndex.write(rows, ["text", "lang"], fresh_folder(spark, "pieces"), directory)
+    found = index.matching(rows, {"text": "([Aa]ll|no) rights? reserved", "lang": "~[^?]"})
+    any_case = index.contains_ignoring_case(rows, "text", "Rights Reserved")
+    return found.select(F.col(ROWNR).alias("doc_id")).unionAll(any_case.select((-1 - F.col(ROWNR)).alias("doc_id")))
+
+
+@case(
+    f"""SELECT {ORDERS_SQL}, (SELECT count(*) FROM orders) AS result_count FROM orders
+    ORDER BY __rownr LIMIT 100 OFFSET (SELECT count(*) * 2 // 3 FROM orders)"""
+)
+def directory_page(spark, sf):
+    """A page far behind the start, whose place and total come from the row directory."""
+    rows = _stored(spark, orders(spark, sf))
+    directory = RowDirectory.write(rows, fresh_folder(spark, "rows"))
+    return directory.page(rows, 100, directory.count() * 2 // 3)
+
+
+ORDER_SPLIT = """(SELECT o_orderkey, o_custkey, o_orderstatus, nullif(o_orderpriority, '5-LOW') AS p FROM orders)"""
+
+
+@case(
+    f"""WITH o AS {ORDER_SPLIT}, n AS (SELECT count(*) AS n FROM o),
+    up AS (SELECT 'up' AS way, o_orderkey, p FROM o ORDER BY p ASC NULLS LAST, o_orderkey LIMIT 100 OFFSET (SELECT n // 2 FROM n)),
+    down AS (SELECT 'down' AS way, o_orderkey, p FROM o ORDER BY p DESC NULLS LAST, o_orderkey LIMIT 100 OFFSET (SELECT n // 3 FROM n)),
+    last AS (SELECT 'last' AS way, o_orderkey, p FROM o ORDER BY p DESC NULLS LAST, o_orderkey LIMIT 100 OFFSET (SELECT count(p) - 50 FROM o))
+    SELECT x.*, n AS result_count FROM (SELECT * FROM up UNION ALL SELECT * FROM down UNION ALL SELECT * FROM last) x, n"""
+)
+def directory_sorted_page(spark, sf):
+    """Deep pages by a column with five values and absent ones, up, down, and across the last value."""
+    rows = orders(spark, sf).withColumn("o_orderpriority", F.expr("nullif(o_orderpriority, '5-LOW')"))
+    rows = _stored(spark, rows)
+    directory = OrderDirectory.write(rows, "o_orderpriority", fresh_folder(spark, "order"))
+    total, present = directory.shape["rows"], directory.shape["present"]
+    pages = [("up", "asc", total // 2), ("down", "desc", total // 3), ("last", "desc", present - 50)]
+    found = [directory_sorted(directory, rows, 100, offset, f"o_orderpriority,{way}").withColumn("way", F.lit(name)) for name, way, offset in pages]
+    columns = ["way", "o_orderkey", "o_orderpriority", "result_count"]
+    out = found[0].select(*columns).unionAll(found[1].select(*columns)).unionAll(found[2].select(*columns))
+    return out.select("way", F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_orderpriority").alias("p"), "result_count")
+
+
+@case(
+    f"""SELECT 'customer' AS key, o_orderkey AS __rownr FROM orders WHERE o_custkey = 7
+    UNION ALL SELECT 'both', o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH' AND o_orderstatus = 'F'"""
+)
+def interleaved_lookup(spark, sf):
+    """Equality on different columns of one layout."""
+    folder = fresh_folder(spark, "interleaved")
+    interleaved.write_interleaved_layout(orders(spark, sf), folder, ["o_custkey", "o_orderpriority", "o_orderstatus"], file_rows=20_000)
+    rows = spark.read.parquet(folder)
+    one = predicates.matching(rows, {"o_custkey": "7"}).select(F.lit("customer").alias("key"), ROWNR)
+    two = predicates.matching(rows, {"o_orderpriority": "2-HIGH", "o_orderstatus": "F"}).select(F.lit("both").alias("key"), ROWNR)
+    return one.unionAll(two)
+
+
+@case(
+    """SELECT CAST(o_orderkey AS VARCHAR) AS result_count, CAST(o_custkey AS VARCHAR) AS __result_count, o_orderkey AS __rownr,
+    count(*) OVER () AS ____result_count FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 20"""
+)
+def page_with_count_names(spark, sf):
+    """Columns that are called like the total of a page stay as they are."""
+    rows = orders(spark, sf).select(ROWNR, F.col("o_orderkey").alias("result_count"), F.col("o_custkey").alias("__result_count"))
+    return paging.query(rows, {}, limit=50, offset=20)
+
+
+@case(
+    """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, o_orderpriority AS p, o_orderkey AS i FROM orders)
+    SELECT k, p, (SELECT count(*) FROM o) AS result_count FROM o ORDER BY i LIMIT 100 OFFSET (SELECT count(*) - 150 FROM o)"""
+)
+def indexed_dataset_page(spark, sf):
+    """A late page of a stored dataset of two loads, through the row directories of both."""
+    catalog = _catalog(spark)
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias(ROWNR), F.col("o_orderkey").cast("string").alias("k"), F.col("o_orderpriority").alias("p"))
+    middle = rows.agg(F.expr(f"percentile_disc(0.5) within group (order by {ROWNR})")).first()[0]
+    parts = [_csv(spark, part.repartitionByRange(1, ROWNR).sortWithinPartitions(ROWNR)) for part in (rows.where(F.col(ROWNR) <= middle), rows.where(F.col(ROWNR) > middle))]
+    dataset_id, _ = load.create_from_csv(catalog, parts[0])
+    load.load_csv(catalog, dataset_id, parts[1])
+    indexed.index(catalog, dataset_id)
+    offset = indexed.row_count(catalog, dataset_id) - 150
+    return indexed.query(catalog, dataset_id, {"_limit": "100", "_offset": str(offset)}).drop(ROWNR)
+
+
 # -- the catalogue as tables ---------------------------------------------------
 
 UUID_SQL = """substr(md5({0}), 1, 8) || '-' || substr(md5({0}), 9, 4) || '-' || substr(md5({0}), 13, 4) || '-' ||
@@ -615,6 +716,13 @@ def ingest_late_charset(spark, sf):
     return _loaded(spark, _csv(spark, rows, charset="iso-8859-1"))
 
 
+@case(f"SELECT {DOCUMENTS_SQL} FROM documents")
+def scan_late_charset(spark, sf):
+    """The same files as a lazy scan."""
+    rows = documents(spark, sf).sortWithinPartitions(F.octet_length("text") != F.length("text"))
+    return csv_records.scan_csv(spark, _csv(spark, rows, charset="iso-8859-1")).drop(ROWNR)
+
+
 @case(
     """SELECT CAST(o_orderkey AS VARCHAR) AS id, 'é' || o_orderstatus AS status,
     CASE WHEN o_orderkey % 5 = 0 THEN 'x' || chr(65533) || 'y' ELSE o_orderpriority END AS priority FROM orders"""
