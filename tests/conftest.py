@@ -1,3 +1,5 @@
+import csv
+import io
 import os
 import sys
 import uuid
@@ -33,30 +35,35 @@ def write_file(tmp_path):
     return write
 
 
-BOOKS = (
-    '"Title","Shelf","Lent to","Remark"\n'
-    'Gärten am Fluß,0071,,"torn, but whole"\n'
-    'Iron Roads,00450,Ines,"two maps inside, one folded"\n'
-    'Ökelbo,,,"name inside: ñandú"\n'
-    "Salt,0,,\n"
-    "Élan vital,88,3,4"
-)
-BOOKS_SEMICOLON = (
-    "Title;Shelf;Lent to;Remark\n"
-    "Gärten am Fluß;0071;;torn, but whole\n"
-    "Iron Roads;00450;Ines;two maps inside, one folded\n"
-    "Ökelbo;;;name inside: ñandú\n"
-    "Salt;0;;\n"
-    "Élan vital;88;3;4\n"
-)
-BOOK_ROWS = [
-    ("Gärten am Fluß", "0071", "", "torn, but whole"),
-    ("Iron Roads", "00450", "Ines", "two maps inside, one folded"),
-    ("Ökelbo", "", "", "name inside: ñandú"),
-    ("Salt", "0", "", ""),
-    ("Élan vital", "88", "3", "4"),
+# One row per rule of loading; the comma form has no line end after its last row.
+STATIONS = [
+    ["Code", "Place", "Open since"],
+    ["007", "Harbour", "1931"],  # leading zeros stay
+    ["12", "Mill; lower, upper", "1950"],  # both separators in a cell
+    ["13", "Troms\u00f8", "1907"],  # beyond ASCII, within Windows-1252
+    ["14", 'The "Old" Gate', "1888"],  # quotes in a cell
+    ["15", "", "2001"],  # an empty cell
+    ["16"],  # absent cells
+    ["17", "Malm\u00f8", "1907"],  # a second match of a pattern and of a value
 ]
 
 
+def as_csv(rows, sep=","):
+    out = io.StringIO()
+    csv.writer(out, delimiter=sep, lineterminator="\n").writerows(rows)
+    return out.getvalue()
+
+
+def read_back(text, sep=","):
+    """Rows behind the header by Python's own reader, absent cells as None."""
+    header, *rows = csv.reader(io.StringIO(text), delimiter=sep)
+    return [tuple(row + [None] * (len(header) - len(row))) for row in rows]
+
+
+STATION_FILE = as_csv(STATIONS).rstrip("\n")
+STATION_FILE_SEMICOLON = as_csv(STATIONS, ";")
+STATION_ROWS = read_back(STATION_FILE)
+
+
 def stored(catalog, dataset_id):
     return [tuple(r)[1:] for r in catalog.records(dataset_id).orderBy("__rownr").collect()]

@@ -2,12 +2,12 @@
 
 import pytest
 
-from conftest import BOOK_ROWS, BOOKS, BOOKS_SEMICOLON, stored
+from conftest import STATION_FILE, STATION_FILE_SEMICOLON, STATION_ROWS, read_back, stored
 from recordloom import errors
 from recordloom.operators import paging, registry
 from recordloom.plans.load import create_from_csv, load_csv
 
-LABELS = ["title", "shelf", "lent to", "remark"]
+LABELS = ["code", "place", "open since"]
 
 
 def page(catalog, dataset_id, **request):
@@ -15,8 +15,8 @@ def page(catalog, dataset_id, **request):
 
 
 def test_create_info_and_alias_life(spark, catalog, write_file):
-    dataset_id, status = create_from_csv(catalog, write_file(BOOKS))
-    assert status == registry.AVAILABLE and stored(catalog, dataset_id) == BOOK_ROWS
+    dataset_id, status = create_from_csv(catalog, write_file(STATION_FILE))
+    assert status == registry.AVAILABLE and stored(catalog, dataset_id) == STATION_ROWS
     other, _ = create_from_csv(catalog, write_file("a,b\n1,2"))
     assert catalog.aliases_of(dataset_id) == []
     assert catalog.set_aliases(dataset_id, ["people"]) and catalog.aliases_of(dataset_id) == ["people"]
@@ -25,7 +25,7 @@ def test_create_info_and_alias_life(spark, catalog, write_file):
     assert not catalog.set_aliases(other, [dataset_id]) and not catalog.set_aliases(other, ["no blanks"])
     assert catalog.set_aliases(other, ["été9"])
     info = catalog.info("people", "http://host/").first()
-    assert (info["status"], info["rowcount"], info["columnnames"]) == (3, 5, LABELS)
+    assert (info["status"], info["rowcount"], info["columnnames"]) == (3, len(STATION_ROWS), LABELS)
     assert info["identifier"] == dataset_id and info["@id"] == f"http://host/dataset/{dataset_id}"
     assert info["aliases"] == ["people", "persons"]
     assert catalog.set_aliases(dataset_id, []) and catalog.aliases_of(dataset_id) == []
@@ -38,20 +38,22 @@ def test_create_info_and_alias_life(spark, catalog, write_file):
 
 
 def test_queries(catalog, write_file, tmp_path):
-    dataset_id, _ = create_from_csv(catalog, write_file(BOOKS))
-    fens, roads, gardens = BOOK_ROWS[2], BOOK_ROWS[1], BOOK_ROWS[0]
-    assert page(catalog, dataset_id, TITLE="Ökelbo") == [fens + (1,)]
-    assert page(catalog, dataset_id, **{"lent to": "Ines"}) == [roads + (1,)]
-    assert page(catalog, dataset_id, title="(Ö|ä)") == [gardens + (2,), fens + (2,)]
-    assert page(catalog, dataset_id, title="(Ö|ä)", _limit="1") == [gardens + (2,)]
-    assert page(catalog, dataset_id, title="(Ö|ä)", _limit="1", _offset="1") == [fens + (2,)]
-    assert page(catalog, dataset_id, title="okelbo") == []
+    dataset_id, _ = create_from_csv(catalog, write_file(STATION_FILE))
+    by_place = {row[1]: row for row in STATION_ROWS}
+    north, south = (by_place[p] for p in ("Troms\u00f8", "Malm\u00f8"))
+    assert page(catalog, dataset_id, PLACE="Harbour") == [by_place["Harbour"] + (1,)]
+    assert page(catalog, dataset_id, **{"open since": "1907"}) == [north + (2,), south + (2,)]
+    assert page(catalog, dataset_id, place='(\u00f8$|"Old")') == [r + (3,) for r in STATION_ROWS if r[1] and (r[1].endswith("\u00f8") or '"Old"' in r[1])]
+    assert page(catalog, dataset_id, place="m\u00f8$") == [south + (1,)]
+    assert page(catalog, dataset_id, code="1[37]", _limit="1") == [north + (2,)]
+    assert page(catalog, dataset_id, code="1[37]", _limit="1", _offset="1") == [south + (2,)]
+    assert page(catalog, dataset_id, place="") == [by_place[""] + (1,)] and page(catalog, dataset_id, code="7") == []
     for request, error in (
         ({"nosuch": "1"}, errors.UnknownColumn),
         ({"format": "json"}, errors.UnknownColumn),
-        ({"title": "x", "TITLE": "y"}, errors.UnknownColumn),
-        ({"title": "~"}, errors.BadPattern),
-        ({"title": "(x"}, errors.BadPattern),
+        ({"place": "x", "PLACE": "y"}, errors.UnknownColumn),
+        ({"place": "~"}, errors.BadPattern),
+        ({"place": "(x"}, errors.BadPattern),
         ({"_limit": "ten"}, errors.BadNumber),
         ({"_offset": "1.5"}, errors.BadNumber),
     ):
@@ -63,23 +65,24 @@ def test_queries(catalog, write_file, tmp_path):
     with pytest.raises(errors.NotReady):
         catalog.export(empty, str(tmp_path / "none"))
     catalog.export(dataset_id, str(tmp_path / "csv"))
-    assert stored(catalog, create_from_csv(catalog, str(tmp_path / "csv"))[0]) == BOOK_ROWS
+    exported = [tuple(cell or "" for cell in row) for row in STATION_ROWS]  # one cell per column
+    assert stored(catalog, create_from_csv(catalog, str(tmp_path / "csv"))[0]) == exported
     catalog.export(dataset_id, str(tmp_path / "json"), form="json")
-    assert catalog.spark.read.json(str(tmp_path / "json")).count() == 5
+    assert catalog.spark.read.json(str(tmp_path / "json")).count() == len(STATION_ROWS)
     with pytest.raises(errors.Locked):
         catalog.drop(empty)
 
 
 def test_append_and_replace(catalog, write_file):
-    dataset_id, status = create_from_csv(catalog, write_file(BOOKS.encode("cp1252")))
-    assert status == registry.AVAILABLE and stored(catalog, dataset_id) == BOOK_ROWS
-    assert load_csv(catalog, dataset_id, write_file(BOOKS_SEMICOLON)) == registry.AVAILABLE
-    assert stored(catalog, dataset_id) == BOOK_ROWS * 2
+    dataset_id, status = create_from_csv(catalog, write_file(STATION_FILE.encode("cp1252")))
+    assert status == registry.AVAILABLE and stored(catalog, dataset_id) == STATION_ROWS
+    assert load_csv(catalog, dataset_id, write_file(STATION_FILE_SEMICOLON)) == registry.AVAILABLE
+    assert read_back(STATION_FILE_SEMICOLON, ";") == STATION_ROWS and stored(catalog, dataset_id) == STATION_ROWS * 2
     numbers = [r[0] for r in catalog.records(dataset_id).select("__rownr").collect()]
-    assert len(set(numbers)) == 10
+    assert len(set(numbers)) == 2 * len(STATION_ROWS)
     assert load_csv(catalog, dataset_id, write_file("name,b\n1,2")) == registry.ERROR
-    assert load_csv(catalog, dataset_id, write_file(BOOKS + ",6"), mode="replace") == registry.ERROR
-    assert stored(catalog, dataset_id) == BOOK_ROWS * 2
+    assert load_csv(catalog, dataset_id, write_file(STATION_FILE + ",6"), mode="replace") == registry.ERROR
+    assert stored(catalog, dataset_id) == STATION_ROWS * 2
     assert load_csv(catalog, dataset_id, write_file("x\n1\n2"), mode="replace") == registry.AVAILABLE
     assert stored(catalog, dataset_id) == [("1",), ("2",)]
     catalog.remove_replaced(dataset_id)

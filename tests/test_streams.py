@@ -1,6 +1,6 @@
 import datetime as dt
 
-from conftest import BOOK_ROWS, BOOKS, stored
+from conftest import STATION_FILE, STATION_ROWS, stored
 from recordloom.operators import registry, traffic
 from recordloom.session import fresh_folder
 from recordloom.streaming import drop_folder
@@ -8,7 +8,7 @@ from recordloom.streaming import traffic as stream_traffic
 
 
 def test_drop_folder(spark, catalog, write_file, tmp_path):
-    write_file(BOOKS, "drop/people/1.csv")
+    write_file(STATION_FILE, "drop/people/1.csv")
     write_file("a,b\n1,2\n", "drop/pairs/1.csv")
     write_file("a,b\n1,2,3\n", "drop/broken/1.csv")
     write_file("a,b\n1,2\n", "drop/not an alias/1.csv")
@@ -20,12 +20,12 @@ def test_drop_folder(spark, catalog, write_file, tmp_path):
     run()
     assert [r["folder"] for r in drop_folder.refused(spark, progress).collect()] == ["not an alias"]
     people, pairs, broken = (catalog.resolve(n) for n in ("people", "pairs", "broken"))
-    assert stored(catalog, people) == BOOK_ROWS and stored(catalog, pairs) == [("1", "2")]
+    assert stored(catalog, people) == STATION_ROWS and stored(catalog, pairs) == [("1", "2")]
     assert catalog.status(broken) == registry.ERROR and catalog.status(people) == registry.AVAILABLE
     write_file("b,a\n4,3\n", "drop/pairs/2.csv")
     run()
     assert catalog.datasets().count() == 3
-    assert stored(catalog, pairs) == [("1", "2"), ("3", "4")] and stored(catalog, people) == BOOK_ROWS
+    assert stored(catalog, pairs) == [("1", "2"), ("3", "4")] and stored(catalog, people) == STATION_ROWS
 
 
 def test_replayed_batch_loads_nothing_twice(spark, catalog, write_file):
