@@ -1,13 +1,14 @@
 """Surrogates for personal data, in DataFrame functions only.
 
 Entities are found by patterns: e-mail addresses, phone numbers, card numbers, social
-security numbers, IBANs, IPv4 addresses, long hexadecimal secrets, and persons named
-with a title. A mention is cut into parts; a part that identifies (a mail box, a mail
+security numbers, IBANs, IPv4 and IPv6 addresses, long hexadecimal secrets, and persons
+named with a title. Names that a title has shown are then known in the whole text: the
+same given or family name without a title gets the same surrogate there. A mention is cut into parts; a part that identifies (a mail box, a mail
 domain, the digits of a number, a given name, a family name) has a canonical form,
 and its surrogate depends on key, kind and canonical form alone. So each mention of a
 person or number gets the same surrogate in every document, in the format of the
-mention: separators, letter case, script and title stay, a given name keeps its
-gender, a card keeps its first digit and its check sum, a phone its country code.
+mention: separators, letter case, script and title stay, a card keeps its first digit and its check sum, a phone its country code. A given name has one gender in all texts, and its surrogate the
+same: that of the titles it is seen with, or none in particular where they differ or tell nothing.
 
 Distinctness: surrogates are checked against each other and against the originals of
 their kind; of those that collide all but one draw again, until none is left. From
@@ -15,12 +16,14 @@ the fourth draw on words grow by a syllable, letter or further given name, so th
 always room; addresses whose private network is used up move to a larger one, and
 then to any. Other numbers keep their length.
 
-Texts without entities are not shuffled. Those with entities meet a map of their own
-mentions, joined by doc_id.
+The pattern runs over all texts once; what it has found is written beside the rows, in
+the shared folder. Texts without entities are not shuffled. Those with entities meet a
+map of their own mentions, joined by a row number.
 
-Defined cases: null texts stay null; texts without entities stay as they are; rows
-with the same doc_id share one map, which is right as surrogates depend on the
-mention alone; an empty table gives an empty result; further columns are carried.
+Defined cases: null texts stay null; texts without entities stay as they are; repeated
+rows and null ids are rows of their own; an empty table gives an empty result; further
+columns are carried, whatever their names. An IPv6 address in another spelling counts as
+another address.
 """
 
 from __future__ import annotations
@@ -67,18 +70,23 @@ ALPHABETS = [
 RANGES = ["09", "az", "AZ", "ßÿ", "ÀÞ", "аё", "АЯ", "άώ", "ΆΫ"]
 
 _NAME = r"\p{Lu}[\p{L}'’\-]*\p{L}"
-_ANY_TITLE = "|".join(TITLES.values())
+_SPELLED = {g: f"{t}|{t.upper()}" for g, t in TITLES.items()}
+_ANY_TITLE = "|".join(_SPELLED.values())
+_HEX = "[0-9a-fA-F]{1,4}"
 PATTERNS = {
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+\-]*@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,128}(?![\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}.])(?:\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\p{L}\p{N}])",
-    "card": r"(?<![\p{L}\p{N}.\-])(?:\d{4}[ \-]?){3}\d{1,7}(?![\p{L}\p{N}])",
+    "card": r"(?<![\p{L}\p{N}.\-])(?:\d{4}[ \-]\d{6}[ \-]\d{5}|(?:\d{4}[ \-]?){3}\d{1,7})(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}.\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}\-])",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
+    "ip6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[0-9a-fA-F:]*\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|::{_HEX}(?::{_HEX}){{1,6}})(?![\p{{L}}\p{{N}}:])",
     "person": rf"(?<![\p{{L}}\p{{N}}])(?:{_ANY_TITLE})\.?[ \t]{_NAME}(?:[ \t]{_NAME})?",
 }
 PATTERN = "|".join(PATTERNS.values())
+NAME_PATTERN = rf"(?<![\p{{L}}\p{{N}}]){_NAME}(?![\p{{L}}\p{{N}}])"
+MAY_HOLD = r"[0-9@]|(?:" + _ANY_TITLE + r")\.?[ \t]\p{Lu}"
 MARK, ESCAPE = "\ue000", "\ue001"
 ESCAPES = [(ESCAPE, "\ue001\ue002"), (MARK, "\ue001\ue003")]
 DRAWS = 64
@@ -106,7 +114,7 @@ def mention_parts() -> Column:
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
     email = F.array(_part(F.lit("box"), F.lower(raw), box), _kept(F.lit("@")), _part(F.lit("host"), F.lower(host), host), _kept(top))
     title = F.regexp_extract(raw, rf"^(?:{_ANY_TITLE})\.?[ \t]", 0)
-    gender = _first_match(title, {g: rf"^(?:{t})\.?[ \t]$" for g, t in TITLES.items()}, "n")
+    gender = _first_match(title, {g: rf"^(?:{t})\.?[ \t]$" for g, t in _SPELLED.items()}, "n")
     names = F.split(F.substring(raw, F.length(title) + 1, F.length(raw)), r"[ \t]")
     script = lambda name: F.when(name.rlike(r"\p{IsCyrillic}"), F.lit("Cyrillic")).when(name.rlike(r"\p{IsGreek}"), F.lit("Greek")).otherwise(F.lit("Latin"))
     given, family = names[0], F.element_at(names, -1)
@@ -174,7 +182,7 @@ def _candidates(parts: DataFrame, key: str) -> DataFrame:
     kept = F.size(F.split(prefix, r"\.")) - 1
     octets = F.array(*[octet(i) for i in range(4)])
     address = F.concat(prefix, F.array_join(F.slice(octets, F.lit(1), 4 - kept), "."))
-    secret = F.upper(F.substring(stream, F.lit(1), F.length(form)))
+    digits = F.upper(F.substring(stream, F.lit(1), F.length(form)))
     name = F.lit(None).cast("string")
     for script, (stems, ends) in FAMILY.items():
         longer = F.array_join(F.transform(F.sequence(F.lit(0), more), partial(_syllable, ends, stream)), "")
@@ -182,7 +190,7 @@ def _candidates(parts: DataFrame, key: str) -> DataFrame:
         for gender, given in GIVEN[script].items():
             further = F.array_join(F.transform(F.sequence(F.lit(0), more), partial(_syllable, [f"-{x}" for x in given], stream)), "")
             name = F.when(kind == f"given {script} {gender}", F.concat(_pick(given, number), further)).otherwise(name)
-    surrogate = F.when(kind.isin("box", "host"), word).when(kind == "card", F.concat(card, check)).when(kind == "ip", address).when(kind == "secret", secret)
+    surrogate = F.when(kind.isin("box", "host"), word).when(kind == "card", F.concat(card, check)).when(kind == "ip", address).when(kind.isin("secret", "ip6"), digits)
     surrogate = surrogate.when(kind.rlike("^(?:family|given)"), name).otherwise(_substituted(form, stream))
     return parts.withColumn("stream", _stream(key, F.length("canonical"))).withColumn("surrogate", surrogate).drop("stream")
 
@@ -205,11 +213,15 @@ def surrogate_table(parts: DataFrame, key: str) -> DataFrame:
     raise ValueError(f"some surrogates still collide after {DRAWS} draws")
 
 
+def _like(text: Column, word: Column) -> Column:
+    """A word in the letter case of a text: all capital, all small, or as it is."""
+    shouted = (F.upper(text) == text) & (F.lower(text) != text)
+    return F.when(shouted & (F.length(text) > 1), F.upper(word)).when(F.lower(text) == text, F.lower(word)).otherwise(word)
+
+
 def _formatted() -> Column:
     """The surrogate in the format of the part's text: separators and letter case."""
     text, surrogate, kind = F.col("part.text"), F.col("surrogate"), F.col("part.kind")
-    shouted = (F.upper(text) == text) & (F.lower(text) != text)
-    word = F.when(shouted & (F.length(text) > 1), F.upper(surrogate)).when(F.lower(text) == text, F.lower(surrogate)).otherwise(surrogate)
     held = F.split(surrogate, "")
 
     def cased(c, i):
@@ -224,44 +236,82 @@ def _formatted() -> Column:
         return F.when(c.rlike(r"[\p{L}\p{N}]"), F.when(F.lower(c) == c, F.lower(mine)).otherwise(mine)).otherwise(c)
 
     number = F.array_join(F.transform(F.split(text, ""), filled), "")
-    return F.when(kind.isNull(), text).when(kind.isin("box", "host", "ip"), address).when(kind.rlike("^(?:family|given)"), word).otherwise(number)
+    return F.when(kind.isNull(), text).when(kind.isin("box", "host", "ip"), address).when(kind.rlike("^(?:family|given)"), _like(text, surrogate)).otherwise(number)
 
 
-def mentions(docs: DataFrame) -> DataFrame:
-    """doc_id, raw, kind of the distinct mentions of each document."""
-    found = docs.filter(F.col("text").rlike(r"[0-9@]|" + _ANY_TITLE)).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))).alias("raw"))
-    order = ["email", "person", "iban", "secret", "ip", "ssn", "card", "phone"]
-    return found.withColumn("kind", _first_match(F.col("raw"), {k: f"^(?:{PATTERNS[k]})$" for k in order}, "phone"))
+def mentions(text: Column) -> Column:
+    """The distinct mentions in a text; null where there are none."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    return F.when(text.rlike(MAY_HOLD), found)
 
 
-def mention_table(found: DataFrame, key: str) -> DataFrame:
-    """raw, replacement for each distinct mention."""
-    distinct = saved(found.groupBy("raw").agg(F.first("kind").alias("kind")), "distinct-mentions")
+def _kind_of(raw: Column) -> Column:
+    order = ["email", "person", "iban", "secret", "ip", "ip6", "ssn", "card", "phone"]
+    return _first_match(raw, {k: f"^(?:{PATTERNS[k]})$" for k in order}, "phone")
+
+
+def _one_gender(cut: DataFrame) -> DataFrame:
+    """The parts of mentions, with every given name in the gender that its titles agree on, else "n"."""
+    kind, name = F.col("part.kind"), F.col("part.canonical")
+    script = F.regexp_extract(kind, "^given (.*) [mfn]$", 1)
+    seen = cut.filter(kind.startswith("given")).select(script.alias("s"), name.alias("c"), F.right(kind, F.lit(1)).alias("g"))
+    genders = seen.groupBy("s", "c").agg(F.bool_or(F.col("g") == "m").alias("m"), F.bool_or(F.col("g") == "f").alias("f"))
+    gender = F.when(F.col("m") & ~F.col("f"), F.lit("m")).when(F.col("f") & ~F.col("m"), F.lit("f")).otherwise(F.lit("n"))
+    known = genders.select("s", "c", F.concat(F.lit("given "), F.col("s"), F.lit(" "), gender).alias("given_kind"))
+    joined = cut.join(known, kind.startswith("given") & (script == F.col("s")) & (name == F.col("c")), "left")
+    part = _part(F.coalesce("given_kind", kind), name, F.col("part.text")).alias("part")
+    return joined.select("raw", "at", part)
+
+
+def mention_parts_table(raws: DataFrame, key: str) -> DataFrame:
+    """raw, at, part and surrogate (null for a part that stays) of the distinct mentions ``raws``."""
+    distinct = saved(raws.select("raw").distinct().withColumn("kind", _kind_of(F.col("raw"))), "distinct-mentions")
     cut = saved(distinct.select("raw", F.posexplode(mention_parts()).alias("at", "part")), "mention-parts")
+    cut = saved(_one_gender(cut), "mention-parts")
     parts = cut.filter("part.kind is not null").select("part.kind", "part.canonical").distinct()
     table = surrogate_table(saved(parts, "parts"), key).withColumnsRenamed({"kind": "k", "canonical": "c"})
     joined = cut.join(table, (F.col("part.kind") == F.col("k")) & (F.col("part.canonical") == F.col("c")), "left")
-    pieces = joined.select("raw", F.struct("at", _formatted().alias("text")).alias("piece"))
+    return saved(joined.select("raw", "at", "part", "surrogate"), "surrogate-parts")
+
+
+def _replacements(parts: DataFrame) -> DataFrame:
+    """raw, replacement for each distinct mention."""
+    pieces = parts.select("raw", F.struct("at", _formatted().alias("text")).alias("piece"))
     return pieces.groupBy("raw").agg(F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["text"]), "").alias("replacement"))
 
 
-def replaced_text(text: Column, known: Column) -> Column:
-    """The text with every mention that the map ``known`` holds replaced."""
+def replaced_text(text: Column, known: Column, names: Column) -> Column:
+    """The text with every mention that the map ``known`` holds replaced, and every capitalised word that
+    ``names`` holds in small letters."""
     safe = reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), ESCAPES, text)
-    parts = F.split(F.regexp_replace(safe, F.lit(f"({PATTERN})"), F.lit(f"{MARK}$1{MARK}")), MARK, -1)
-    joined = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.coalesce(F.try_element_at(known, p), p)).otherwise(p)), "")
+    marked = lambda pattern: F.regexp_replace(safe, F.lit(f"({pattern})"), F.lit(f"{MARK}$1{MARK}"))
+    parts = F.split(F.when(names.isNotNull(), marked(f"{PATTERN}|{NAME_PATTERN}")).otherwise(marked(PATTERN)), MARK, -1)
+
+    def surrogate(p, i):
+        name = F.try_element_at(names, F.lower(p))
+        return F.when(i % 2 == 1, F.coalesce(F.try_element_at(known, p), _like(p, name), p)).otherwise(p)
+
+    joined = F.array_join(F.transform(parts, surrogate), "")
     return reduce(lambda t, x: F.replace(t, F.lit(x[1]), F.lit(x[0])), reversed(ESCAPES), joined)
 
 
 def with_surrogates(docs: DataFrame, key: str, counted: str = "__replaced") -> DataFrame:
-    """``docs`` with surrogates in ``text``, and the number of distinct mentions replaced in the column ``counted``."""
-    found = saved(mentions(docs), "mentions")
-    table = saved(mention_table(found, key), "replacements")
-    pairs = found.select("doc_id", "raw").distinct().join(table, "raw")
-    maps = pairs.groupBy(F.col("doc_id").alias("__id")).agg(F.map_from_entries(F.collect_list(F.struct("raw", "replacement"))).alias("__known"))
-    has = F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))
-    columns = [c for c in docs.columns if c != "text"]
-    plain = docs.filter(~has).select(*[F.col(f"`{c}`") for c in columns], "text", F.lit(0).alias(counted))
-    changed = docs.filter(has).join(maps, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    changed = changed.select(*[F.col(f"`{c}`") for c in columns], replaced_text(F.col("text"), F.col("__known")).alias("text"), F.coalesce(F.size("__known"), F.lit(0)).alias(counted))
-    return plain.unionAll(changed)
+    """``docs`` with surrogates in ``text``, which comes after the other columns, and the number of distinct mentions replaced in the column ``counted``."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    looked = docs.select(whole, F.monotonically_increasing_id().alias("row"), mentions(F.col("text")).alias("raws"))
+    rows = saved(looked, "mentions")
+    some = F.coalesce(F.size("raws"), F.lit(0)) > 0
+    found = rows.filter(some).select("row", F.explode("raws").alias("raw"))
+    parts = mention_parts_table(found, key)
+    pairs = found.join(saved(_replacements(parts), "replacements"), "raw")
+    maps = pairs.groupBy(F.col("row").alias("at_row")).agg(F.map_from_entries(F.collect_list(F.struct("raw", "replacement"))).alias("known"))
+    kind = F.col("part.kind")
+    named = parts.filter(kind.rlike("^(?:family|given)")).select("raw", F.col("part.canonical").alias("name"), F.struct(~kind.startswith("family"), "surrogate").alias("s"))
+    per_row = found.join(named, "raw").groupBy("row", "name").agg(F.min("s").alias("s"))  # a name that is both counts as a family name
+    names = per_row.groupBy(F.col("row").alias("named_row")).agg(F.map_from_entries(F.collect_list(F.struct("name", "s.surrogate"))).alias("names"))
+    kept = lambda text: [*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c != "text"], text.alias("text")]
+    plain = rows.filter(~some).select(*kept(F.col("doc.text")), F.lit(0).alias(counted))
+    changed = rows.filter(some).join(maps, F.col("row") == F.col("at_row"), "left").join(names, F.col("row") == F.col("named_row"), "left")
+    text = replaced_text(F.col("doc.text"), F.col("known"), F.col("names"))
+    changed = changed.select("doc", text.alias("new"), F.coalesce(F.size("known"), F.lit(0)).alias("found"))  # a step of its own: further columns may be called like these
+    return plain.unionAll(changed.select(*kept(F.col("new")), F.col("found").alias(counted)))
