@@ -3,9 +3,10 @@
 Counting works on a timeline per key: each request adds one at its own time
 and takes it back when its window has run out, so a trailing count is a running
 sum, linear in the rows however many fall into a window. Keys are measured
-first. If one is too large for a task, timelines are cut into time buckets; sums
-of whole buckets are aggregated before the shuffle and carried in as a start
-value, which spreads the key over its buckets.
+first. If one is too large for a task, timelines are reduced to one row per instant,
+however many requests fall on it, sorted over the cluster and cut into stretches of
+an equal number of rows; sums of whole stretches are carried in as a start value. So
+a key is spread over its stretches, and a burst over as many of them as it needs.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from recordloom.functions.text import col, quoted
+from recordloom.session import fresh_folder
 
 MICROS = 1_000_000
 
-# Rows of one key that one task may sort; larger keys are cut into time buckets.
+# Rows of one key that one task may sort; the timelines of larger keys are cut.
 HOT_ROWS = 1_000_000
 
 
@@ -46,14 +48,61 @@ def micros(df: DataFrame, ts: str) -> Column:
     return F.unix_micros(col(ts).cast("timestamp"))
 
 
-def bucket_width(df: DataFrame, key: Column, at: Column, hot_rows: int) -> int | None:
-    """Microseconds per time bucket so that the densest of the keys with more
-    than ``hot_rows`` rows puts about a quarter of that into one bucket; None if
-    there is no such key. One pass over the key and time columns."""
-    keys = df.groupBy(key.alias("k")).agg(F.count("*").alias("n"), (F.max(at) - F.min(at)).alias("long"))
-    width = F.min(F.col("long") / F.col("n")) * (hot_rows / 4)
-    found = keys.where(F.col("n") > hot_rows).agg(width).first()[0]
-    return None if found is None else max(int(found), 1)
+def has_hot_key(df: DataFrame, key: Column, hot_rows: int) -> bool:
+    """Whether some key has more than ``hot_rows`` rows. One pass over the key column."""
+    return not df.groupBy(key.alias("k")).agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).isEmpty()
+
+
+# Rows of a timeline that a task sorts, and partitions at most; the files are cut by row after that.
+SORT_ROWS, SORT_PARTITIONS = 500_000, 20_000
+
+
+def cut_timeline(steps: DataFrame, hot_rows: int) -> DataFrame:
+    """Steps of keys (k, t, adds, ends) as one row per key and instant, in order of both, with ``part`` and ``cut``:
+    stretches that follow each other and hold ``hot_rows`` rows at most.
+
+    Equal instants are added up before the shuffle. Sampled ranges only spread the sorting; where
+    a stretch ends is counted in the sorted files, so neither bursts nor bad samples make a long one.
+    """
+    spark = steps.sparkSession
+    whole, ordered = fresh_folder(spark, "instants"), fresh_folder(spark, "timeline")
+    steps.groupBy("k", "t").agg(F.sum("adds").alias("adds"), F.sum("ends").alias("ends")).write.parquet(whole)
+    instants = spark.read.parquet(whole)
+    parts = min(SORT_PARTITIONS, instants.count() // SORT_ROWS + 1)
+    placed = instants.repartitionByRange(parts, "k", "t").sortWithinPartitions("k", "t").withColumn("part", F.spark_partition_id())
+    placed.write.option("maxRecordsPerFile", 0).parquet(ordered)
+    return spark.read.parquet(ordered).select("*", F.expr(f"_metadata.row_index div {max(hot_rows, 1)}L").alias("cut"))
+
+
+def _counts_by_cuts(steps: DataFrame, hot_rows: int, retry_after: bool) -> DataFrame:
+    """``k, t, inside`` and ``next_end`` for each instant of a request, see ``trailing_counts``."""
+    spark = steps.sparkSession
+    rows = cut_timeline(steps, hot_rows)
+    group = ["k", "part", "cut"]
+    within = Window.partitionBy(*group).orderBy("t")
+    earlier = F.coalesce(F.sum("adds").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ended = F.sum("ends").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    end = F.when(F.col("ends") > 0, F.col("t"))
+    local = [(earlier - ended).alias("local")]
+    if retry_after:
+        ahead = Window.partitionBy(*group).orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        local.append(F.min(end).over(ahead).alias("local_end"))
+    # One row per stretch: a key's rows divided by ``hot_rows``.
+    sums = rows.groupBy(*group).agg(F.sum(F.col("adds") - F.col("ends")).alias("net"), F.min(end).alias("end"))
+    before = Window.partitionBy("k").orderBy("part", "cut").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("k").orderBy(F.col("part").desc(), F.col("cut").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(
+        F.col("k").alias("ck"), F.col("part").alias("cp"), F.col("cut").alias("cc"),
+        F.coalesce(F.sum("net").over(before), F.lit(0)).alias("before"), F.min("end").over(later).alias("later_end"),
+    )
+    same = F.col("k").eqNullSafe(F.col("ck")) & (F.col("part") == F.col("cp")) & (F.col("cut") == F.col("cc"))
+    joined = rows.select(*group, "t", "adds", *local).where("adds > 0").join(carried, same)
+    out = [F.col("k").alias("ik"), F.col("t").alias("it"), (F.col("local") + F.col("before")).alias("inside")]
+    if retry_after:
+        out.append(F.coalesce("local_end", "later_end").alias("next_end"))
+    folder = fresh_folder(spark, "trailing")
+    joined.select(*out).write.parquet(folder)  # the join to the requests can then split instants with many of them
+    return spark.read.parquet(folder)
 
 
 def trailing_counts(
@@ -73,48 +122,39 @@ def trailing_counts(
     """
     span = seconds * MICROS
     at, who = micros(df, ts), (col(key) if key else F.lit("all"))
-    width = bucket_width(df, who, at, hot_rows)
+    hot = has_hot_key(df, who, hot_rows)
 
     def timeline(row: Column) -> DataFrame:
         """Two rows per request: where it starts to count and where it ends."""
         base = df.select(who.alias("k"), at.alias("at"), row.alias("row"))
         start = F.struct(F.col("at").alias("t"), F.lit(1).alias("adds"), F.lit(0).alias("ends"), F.col("row").alias("r"))
         stop = F.struct((F.col("at") + span).alias("t"), F.lit(0).alias("adds"), F.lit(1).alias("ends"), F.lit(None).alias("r"))
-        both = base.select("k", F.inline(F.array(start, stop))).toDF("k", "t", "adds", "ends", "r")
-        return both.withColumn("b", F.expr(f"t div {width}L") if width else F.lit(0))
-
-    steps = timeline(F.struct(*[col(c) for c in df.columns]))
-    group = ["k", "b"] if width else ["k"]
-    upto = Window.partitionBy(*group).orderBy("t")
-    earlier = F.sum("adds").over(upto.rangeBetween(Window.unboundedPreceding, -1))
-    ended = F.sum("ends").over(upto.rangeBetween(Window.unboundedPreceding, 0))
-    local = [(F.coalesce(earlier, F.lit(0)) - F.coalesce(ended, F.lit(0))).alias("inside")]
-    if retry_after:
-        # Looking back in falling order: a frame that looks ahead would start over for every row.
-        ahead = Window.partitionBy(*group).orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, -1)
-        local.append(F.min(F.when(F.col("ends") == 1, F.col("t"))).over(ahead).alias("next_end"))
-    rows = steps.select("k", "b", "t", "r", "adds", *local).where("adds = 1")
-
-    n, oldest_ends = F.col("inside"), F.col("next_end")
-    if width:
-        sums = timeline(F.lit(None)).groupBy("k", "b").agg(
-            F.sum(F.col("adds") - F.col("ends")).alias("net"), F.min(F.when(F.col("ends") == 1, F.col("t"))).alias("end")
-        )
-        before = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-        later = Window.partitionBy("k").orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        carried = [F.col("k").alias("ck"), F.col("b").alias("cb"), F.coalesce(F.sum("net").over(before), F.lit(0)).alias("before")]
+        return base.select("k", F.inline(F.array(start, stop))).toDF("k", "t", "adds", "ends", "r")
+
+    whole = F.struct(*[col(c) for c in df.columns])
+    if hot:
+        counts = _counts_by_cuts(timeline(F.lit(None)).where("t IS NOT NULL").drop("r"), hot_rows, retry_after)
+        requests = df.select(who.alias("k"), at.alias("t"), whole.alias("r"))
+        rows = requests.join(counts, F.col("k").eqNullSafe(F.col("ik")) & (F.col("t") == F.col("it")), "left")
+    else:
+        steps = timeline(whole)
+        upto = Window.partitionBy("k").orderBy("t")
+        earlier = F.sum("adds").over(upto.rangeBetween(Window.unboundedPreceding, -1))
+        ended = F.sum("ends").over(upto.rangeBetween(Window.unboundedPreceding, 0))
+        local = [(F.coalesce(earlier, F.lit(0)) - F.coalesce(ended, F.lit(0))).alias("inside")]
         if retry_after:
-            carried.append(F.min("end").over(later).alias("later_end"))
-        same = F.col("k").eqNullSafe(F.col("ck")) & F.col("b").eqNullSafe(F.col("cb"))
-        rows = rows.join(sums.select(*carried), same)
-        n, oldest_ends = n + F.col("before"), F.coalesce("next_end", "later_end")
-    n = F.when(F.col("t").isNotNull(), n)
+            # Looking back in falling order: a frame that looks ahead would start over for every row.
+            ahead = Window.partitionBy("k").orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, -1)
+            local.append(F.min(F.when(F.col("ends") == 1, F.col("t"))).over(ahead).alias("next_end"))
+        rows = steps.select("k", "t", "r", "adds", *local).where("adds = 1")
+
+    n = F.when(F.col("t").isNotNull(), F.col("inside"))
     out = [F.col("r." + quoted(c)).alias(c) for c in df.columns] + [n.alias("trailing_count")]
     if limit is not None:
         out.append((n >= limit).alias("over_limit"))
     if retry_after:
         over = n >= (limit if limit is not None else 1)
-        out.append(F.when(over & (n > 0), F.timestamp_micros(oldest_ends + 1000)).alias("retry_at"))
+        out.append(F.when(over & (n > 0), F.timestamp_micros(F.col("next_end") + 1000)).alias("retry_at"))
     return rows.select(*out)
 
 

@@ -950,6 +950,24 @@ def retry_after_hot_keys(spark, sf):
     return out.select("event_id", "trailing_count", "over_limit", F.unix_micros("retry_at").alias("retry_us"))
 
 
+@case(
+    """WITH b AS (SELECT event_id, event_type, CASE WHEN event_id % 10 = 0 THEN ts ELSE
+        make_timestamp(epoch_us(TIMESTAMP '2024-01-15 12:00:00') + epoch_us(ts) % 3600000000 // 250000 * 250000) END AS moment FROM events),
+    e AS (SELECT event_id, count(*) OVER w AS n, min(moment) OVER w AS oldest FROM b
+      WINDOW w AS (PARTITION BY event_type ORDER BY moment RANGE BETWEEN INTERVAL 599999999 MICROSECONDS PRECEDING AND INTERVAL 1 MICROSECONDS PRECEDING))
+    SELECT event_id, n AS trailing_count, n >= 20 AS over_limit, CASE WHEN n >= 20 THEN epoch_us(oldest) + 600000000 + 1000 END AS retry_us FROM e"""
+)
+def trailing_count_burst(spark, sf):
+    """Nine tenths of all requests in one hour, at quarters of seconds; no stretch of a timeline exceeds 500 rows."""
+    events = table(spark, sf, "events")
+    us = traffic.micros(events, "ts")
+    noon = F.unix_micros(F.lit("2024-01-15 12:00:00").cast("timestamp"))
+    burst = F.timestamp_micros(noon + F.floor(us % 3_600_000_000 / 250_000).cast("long") * 250_000)
+    rows = events.select("event_id", "event_type", F.when(F.col("event_id") % 10 == 0, F.timestamp_micros(us)).otherwise(burst).alias("at"))
+    out = traffic.trailing_counts(rows, "event_type", "at", 600, limit=20, retry_after=True, hot_rows=500)
+    return out.select("event_id", "trailing_count", "over_limit", F.unix_micros("retry_at").alias("retry_us"))
+
+
 @case(
     f"""WITH r AS (SELECT event_id, ts, CASE event_id % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'HEAD' ELSE 'POST' END AS method,
       CASE WHEN event_type = 'click' THEN '/x/status' ELSE '/x/' || event_type END AS path,

@@ -94,6 +94,7 @@ def test_scalars(spark):
 
 
 START = dt.datetime(2024, 1, 1)
+DAY_MICROS = 86_400_000_000
 
 
 def request_log(spark, seed, n, step_ms):
@@ -130,6 +131,21 @@ def test_trailing_counts_by_brute_force(spark, hot_rows):
     assert any(r["over_limit"] for r in got.values())
 
 
+def test_no_stretch_of_a_burst_is_too_long(spark, monkeypatch):
+    """Nine tenths of a hot key in one hour, many of them in the same instant."""
+    rng = random.Random(8)
+    rows = [("hot", rng.choice([5, rng.randrange(3_600_000_000)]) if i % 10 else rng.randrange(30 * DAY_MICROS)) for i in range(40_000)]
+    rows += [(None, rng.randrange(DAY_MICROS)) for _ in range(500)]
+    monkeypatch.setattr(traffic, "SORT_ROWS", 3_000)
+    steps = spark.createDataFrame(rows, "k string, t long").withColumns({"adds": F.lit(1), "ends": F.lit(0)})
+    cut = traffic.cut_timeline(steps, 1000)
+    sizes = cut.groupBy("part", "cut").agg(F.count("*").alias("n"), F.min(F.struct("k", "t")).alias("a"), F.max(F.struct("k", "t")).alias("b")).orderBy("part", "cut").collect()
+    assert max(s["n"] for s in sizes) <= 1000 and sum(s["n"] for s in sizes) == len(set(rows)) and len(sizes) < 60
+    order = lambda x: (x["k"] is not None, x["k"] or "", x["t"])
+    assert all(order(x["b"]) < order(y["a"]) for x, y in zip(sizes, sizes[1:]))
+    assert cut.agg(F.sum("adds")).first()[0] == len(rows)
+
+
 def test_session_zone_does_not_matter(spark):
     rows, df = request_log(spark, 5, 50, 900)
     utc = traffic.trailing_counts(df, "key", "ts", 60).orderBy("id").collect()
