@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from recordloom.functions.text import quoted
 from recordloom.session import fresh_folder
 
 
@@ -29,6 +30,25 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def plain_names(docs: DataFrame, *kept: str) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """``docs`` with all columns but ``kept`` called c0, c1, ..., which no operator uses, and the pairs of
+    names for ``own_names``. So further columns may have any name."""
+    names = [(c if c in kept else f"c{i}", c) for i, c in enumerate(docs.columns)]
+    return docs.select(*[F.col(quoted(c)).alias(n) for n, c in names]), names
+
+
+def own_names(docs: DataFrame, names: list[tuple[str, str]], *more: str) -> DataFrame:
+    """The columns of ``plain_names`` under their own names, and ``more`` columns behind them."""
+    return docs.select(*[F.col(n).alias(c) for n, c in names], *more)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, behind as many underscores as it takes to be none of ``columns``."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
 def crc32_unsigned(column):
     """CRC-32 of a string's UTF-8 bytes."""
     return F.crc32(F.encode(column, "UTF-8"))

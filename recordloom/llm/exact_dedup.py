@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from recordloom.llm.common import saved, text_or_empty
+from recordloom.llm.common import own_names, plain_names, saved, text_or_empty
 from recordloom.llm.perfect_hash import PerfectHash, as_words
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
@@ -115,7 +115,8 @@ def verdicts(history: DataFrame, batch: DataFrame) -> DataFrame:
 def exact_dedup(history: DataFrame, batch: DataFrame) -> DataFrame:
     """One row per row of both: doc_id, keep_id, group_size, kept, text_sha256. Both need doc_id and text."""
     old, new = saved(digest_rows(history), "history-rows"), saved(digest_rows(batch), "batch-rows")
-    return old.unionAll(new).join(verdicts(old, new), "digest").select(
+    found = saved(verdicts(old, new), "verdicts")  # no aggregate above it: the join can split a hot digest
+    return old.unionAll(new).join(found, "digest").select(
         "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
     )
@@ -124,11 +125,10 @@ def exact_dedup(history: DataFrame, batch: DataFrame) -> DataFrame:
 def drop_repeats(history: DataFrame, batch: DataFrame) -> DataFrame:
     """The rows of both that stay: of equal texts one row with the smallest doc_id."""
     old, new = saved(digest_rows(history), "history-rows"), saved(digest_rows(batch), "batch-rows")
-    winners = verdicts(old, new).select(F.col("digest").alias("__digest"), "keep_id", "twins")
-    docs = history.unionByName(batch)
-    on = (F.col("__text_digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    winners = saved(verdicts(old, new), "verdicts").select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep_id"), F.col("twins").alias("__twins"))
+    docs, names = plain_names(history.unionByName(batch), "doc_id", "text")
+    on = (F.col("__text_digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__keep_id"))
     found = docs.withColumn("__text_digest", text_digest(text_or_empty())).join(winners, on)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    single = found.filter("twins = 1").select(*columns)
-    twins = found.filter("twins > 1").dropDuplicates(["doc_id", "__text_digest"]).select(*columns)
-    return single.unionAll(twins)
+    single = found.filter("__twins = 1").select(*docs.columns)
+    twins = found.filter("__twins > 1").dropDuplicates(["doc_id", "__text_digest"]).select(*docs.columns)
+    return own_names(single.unionAll(twins), names)

@@ -7,8 +7,10 @@ bucket, and written. A record's place in the whole order is its bucket's first p
 plus its place there; shards are equal ranges of places, so that their row counts
 differ by one at most (law ``rows``) and a shard is a run of bucket files.
 
-An id that holds so many rows that its bucket would outgrow a task is dealt on over
-further buckets by row number.
+A bucket that has outgrown ``OVERFULL`` times the wanted bytes, as one id may have many
+rows or long ones, is dealt on over further buckets by a hash of id and text; rows that
+agree in both go to one after the other. Beyond ``MANY_TWINS`` such rows their number in
+the scan decides, and places depend on how the table is read.
 
 Defined cases: a null text counts as empty and has size 1; null ids form one key;
 rows that agree in all sort columns keep any order among themselves; an empty table
@@ -22,9 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from recordloom.llm.common import crc32_unsigned, saved, text_or_empty
+from recordloom.llm.common import crc32_unsigned, own_names, plain_names, saved, text_or_empty, unused
 
 BUCKET_BYTES = 32 * 2**20
+OVERFULL = 3  # times the wanted bytes from which a bucket is dealt on
+MOST_PARTITIONS = 20_000
+MANY_TWINS = 1_000_000  # rows alike in id and text that one task numbers
 BUCKET, PART, PLACE = "__bucket", "__part", "__place"
 
 
@@ -35,15 +40,30 @@ def record_size() -> Column:
 
 def scatter(docs: DataFrame, seed: int, bucket_bytes: int) -> DataFrame:
     """Adds the bucket, and the part of it where one id overfills it."""
-    rows, size = docs.agg(F.count(F.lit(1)), F.sum(record_size())).first()
-    buckets = max(1, -(-(size or 0) // bucket_bytes))
-    mean = max(1, rows // buckets)
+    size = docs.agg(F.sum(record_size())).first()[0] or 0
+    buckets = max(1, -(-size // bucket_bytes))
     dealt = docs.withColumn(BUCKET, F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(buckets)))
-    large = dealt.groupBy(BUCKET).count().filter(F.col("count") > 8 * mean + 1000).select(BUCKET, F.col("count").alias("__rows"))
+    held = dealt.groupBy(BUCKET).agg(F.sum(record_size()).alias("__bytes"))
+    large = saved(held.filter(F.col("__bytes") > OVERFULL * bucket_bytes), "large-buckets")
     if large.isEmpty():
-        return dealt.withColumn(PART, F.lit(0).cast("long"))
-    parts = F.ceil(F.coalesce("__rows", F.lit(1)) / F.lit(mean))
-    return dealt.join(large, BUCKET, "left").withColumn(PART, F.pmod(F.monotonically_increasing_id(), parts)).drop("__rows")
+        return dealt.withColumn(PART, F.lit(0).cast("long")).repartition(_partitions(buckets), BUCKET, PART)
+    numbered = dealt.withColumns({"__row": F.monotonically_increasing_id(), "__same": F.xxhash64(F.lit(seed + 1), F.col("doc_id"), text_or_empty())})
+    placed = numbered.join(large, BUCKET, "left")
+    deep = placed.filter(F.col("__bytes").isNotNull())
+    many = saved(deep.groupBy("__same").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > MANY_TWINS).select("__same", F.lit(True).alias("__many")), "many-twins")
+    deep = deep.join(many, "__same", "left")
+    twin = F.row_number().over(Window.partitionBy("__same").orderBy("__row")) - 1
+    few = deep.filter(F.col("__many").isNull()).withColumn("__twin", twin.cast("long"))
+    deep = few.unionByName(deep.filter(F.col("__many")).withColumn("__twin", F.col("__row")))
+    part = F.pmod(F.pmod(F.col("__same"), F.ceil(F.col("__bytes") / F.lit(bucket_bytes))) + F.col("__twin"), F.ceil(F.col("__bytes") / F.lit(bucket_bytes)))
+    columns = [*docs.columns, BUCKET]
+    plain = placed.filter(F.col("__bytes").isNull()).select(*columns, F.lit(0).cast("long").alias(PART))
+    return plain.unionAll(deep.select(*columns, part.cast("long").alias(PART))).repartition(_partitions(buckets), BUCKET, PART)
+
+
+def _partitions(buckets: int) -> int:
+    """So many that buckets seldom meet in a task by chance."""
+    return min(MOST_PARTITIONS, 2 * buckets)
 
 
 def shuffled_buckets(docs: DataFrame, seed: int = 0, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -62,8 +82,10 @@ def shuffled_buckets(docs: DataFrame, seed: int = 0, bucket_bytes: int = BUCKET_
 
 
 def sharded(docs: DataFrame, shards: int, seed: int = 0, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """The records with ``__shard`` and ``__slot``, counted from 0 in each shard."""
-    written = shuffled_buckets(docs, seed, bucket_bytes)
+    """The records with ``__shard`` and ``__slot``, counted from 0 in each shard; with more underscores
+    where a column of theirs has such a name."""
+    plain, names = plain_names(docs, "doc_id", "text")
+    written = shuffled_buckets(plain, seed, bucket_bytes)
     counts = written.groupBy(BUCKET, PART).agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.orderBy(BUCKET, PART).rowsBetween(Window.unboundedPreceding, -1))
     starts = saved(counts.withColumn("__start", F.coalesce(before, F.lit(0))), "bucket-starts")  # one short row per bucket
@@ -74,7 +96,8 @@ def sharded(docs: DataFrame, shards: int, seed: int = 0, bucket_bytes: int = BUC
     shard = F.when(place < edge, F.floor(place / F.lit(small + 1))).otherwise(late).cast("int")
     start = F.col("__shard").cast("long") * small + F.least(F.col("__shard").cast("long"), F.lit(more))
     out = written.join(starts.drop("__n"), [BUCKET, PART]).withColumn("__shard", shard).withColumn("__slot", (place - start).cast("long"))
-    return out.drop(BUCKET, PART, PLACE, "__start")
+    shard_name, slot_name = unused("__shard", docs.columns), unused("__slot", docs.columns)
+    return own_names(out, names, F.col("__shard").alias(shard_name), F.col("__slot").alias(slot_name))
 
 
 def shard_rows(docs: DataFrame, shards: int, seed: int = 0, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:

@@ -1,17 +1,25 @@
 """Bin packing of one block of items by a grouping genetic algorithm, in numpy.
 
-A solution is an array with the bin of each item. Crossover injects whole well-filled
-bins of one parent into the other, removes the bins that hold the same items, and
-best-fits the displaced items back, longest first. Fewer bins are better; among as
-many, those with fuller bins (sum of squared fills).
+A solution is an array with the bin of each item. The first population best-fits the
+items in orders that are only roughly falling. Crossover injects whole well-filled bins of
+one parent into the other and removes the bins that hold the same items; displaced items
+then take the place of one or two items of a bin where that fills it better, and what is
+left is best-fitted, longest first. Fewer bins are better; among as many, those with
+fuller bins (sum of squared fills).
 """
 
 from __future__ import annotations
 
+from bisect import bisect
+
 import numpy as np
 
 POPULATION = 6
-CHILDREN = 24
+CHILDREN = 40
+SEED_NOISE = (0.15, 0.15)  # of the first seed, and what each further one has more
+LOOSE = 64  # displaced items that are tried in pairs at a time
+REFILLS = 3
+PAIRED = 5  # items of a bin that are tried in pairs
 INJECTED = 0.05
 DISSOLVED = 0.05
 WELL_FILLED = 0.995
@@ -51,12 +59,61 @@ def cost(bins: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[int, flo
     return len(fills), -float(((fills / capacity) ** 2).mean())
 
 
+def least_bins(lengths: np.ndarray, capacity: int) -> int:
+    """A number of bins that no packing can beat: the total length over the capacity, and the items longer than half of it."""
+    return max(-(-int(lengths.sum()) // capacity), int((2 * lengths > capacity).sum()))
+
+
 def _decreasing(lengths: np.ndarray, noise: float, drawn: np.random.Generator) -> np.ndarray:
     return np.argsort(-(lengths * (1 + noise * drawn.random(len(lengths)))), kind="stable")
 
 
+def refill(lengths: np.ndarray, members: list[list[int]], loose: list[int], capacity: int, drawn: np.random.Generator) -> list[int]:
+    """Puts displaced items in place of one or two items of a bin, never more than there are, where that
+    fills the bin better; gives the items that are displaced then."""
+    size = lengths.tolist()
+    loose = sorted(loose, key=size.__getitem__)
+    rest = []
+    if len(loose) > LOOSE:
+        chosen = set(drawn.choice(len(loose), LOOSE, replace=False).tolist())
+        rest = [x for i, x in enumerate(loose) if i not in chosen]
+        loose = [x for i, x in enumerate(loose) if i in chosen]
+
+    def sums():
+        held = np.array([size[x] for x in loose], np.int64)
+        a, b = np.triu_indices(len(loose), 1)
+        both = held[a] + held[b]
+        order = np.argsort(both, kind="stable")
+        return held.tolist(), both[order].tolist(), a[order], b[order]
+
+    if not loose:
+        return rest
+    held, both, a, b = sums()
+    for m in drawn.permutation(len(members)).tolist():
+        mine = members[m]
+        room = capacity - sum(size[x] for x in mine)
+        if not room or not mine:
+            continue
+        best = (0, None, None)
+        for i, x in enumerate(mine[:PAIRED]):
+            at = bisect(held, size[x] + room) - 1
+            if at >= 0 and held[at] - size[x] > best[0]:
+                best = (held[at] - size[x], (i,), (at,))
+            for j in range(i + 1, min(len(mine), PAIRED)):
+                out = size[x] + size[mine[j]]
+                at = bisect(both, out + room) - 1
+                if at >= 0 and both[at] - out > best[0]:
+                    best = (both[at] - out, (i, j), (int(a[at]), int(b[at])))
+        if best[1]:
+            gone, come = [mine[i] for i in best[1]], [loose[k] for k in best[2]]
+            members[m] = [x for x in mine if x not in gone] + come
+            loose = sorted([x for x in loose if x not in come] + gone, key=size.__getitem__)
+            held, both, a, b = sums()
+    return loose + rest
+
+
 def crossover(mine: np.ndarray, theirs: np.ndarray, lengths: np.ndarray, capacity: int, drawn: np.random.Generator) -> np.ndarray:
-    """A child of two parents, as described above; the emptiest bins are dissolved with the removed ones."""
+    """A child of two parents, as described above; the emptiest bins, and some others that are not full, are dissolved too."""
     fills = np.bincount(theirs, weights=lengths)
     injected = ((fills >= WELL_FILLED * capacity) & (drawn.random(len(fills)) < INJECTED))[theirs]
     own = np.bincount(mine, weights=lengths)
@@ -64,12 +121,23 @@ def crossover(mine: np.ndarray, theirs: np.ndarray, lengths: np.ndarray, capacit
     removed[mine[injected]] = True
     emptiest = max(1, int(DISSOLVED * len(own)))
     removed[np.argpartition(own, emptiest - 1)[:emptiest]] = True
+    open_ = np.flatnonzero(own < capacity)
+    removed[open_[drawn.random(len(open_)) < 2 * DISSOLVED]] = True
     displaced = removed[mine] & ~injected
     child = np.where(injected, theirs + len(own), mine)
     _, child[~displaced] = np.unique(child[~displaced], return_inverse=True)
     child[displaced] = -1
-    placed = np.bincount(child[~displaced], weights=lengths[~displaced]).astype(int).tolist()
-    loose = np.flatnonzero(displaced)
+    kept = np.flatnonzero(~displaced)
+    kept = kept[np.argsort(child[kept], kind="stable")]
+    members = [x.tolist() for x in np.split(kept, np.flatnonzero(np.diff(child[kept])) + 1)] if len(kept) else []
+    loose = np.flatnonzero(displaced).tolist()
+    for _ in range(REFILLS):
+        loose = refill(lengths, members, loose, capacity, drawn)
+    loose = np.array(loose, np.int64)
+    child[loose] = -1
+    for b, items in enumerate(members):
+        child[items] = b
+    placed = [int(lengths[items].sum()) for items in members]
     best_fit(lengths, loose[_decreasing(lengths[loose], NOISE, drawn)], child, placed, capacity)
     return child
 
@@ -77,17 +145,14 @@ def crossover(mine: np.ndarray, theirs: np.ndarray, lengths: np.ndarray, capacit
 def evolve(lengths: np.ndarray, capacity: int, population: list[np.ndarray], seed: list[int], children: int = CHILDREN) -> list[np.ndarray]:
     """One island's generations from ``population`` (may be empty); the result is sorted, the best solution first.
 
-    It ends early where the number of bins has reached the bound that no packing can
-    beat: the total length over the capacity, and the items longer than half of it.
+    It ends early where the number of bins has reached ``least_bins``.
     """
     drawn = np.random.default_rng(seed)
-    bound = max(-(-int(lengths.sum()) // capacity), int((2 * lengths > capacity).sum()))
+    bound = least_bins(lengths, capacity)
     while len(population) < POPULATION:
         bins, fills = np.full(len(lengths), -1, dtype=np.int32), []
-        best_fit(lengths, _decreasing(lengths, 0.03 * len(population), drawn), bins, fills, capacity)
+        best_fit(lengths, _decreasing(lengths, SEED_NOISE[0] + SEED_NOISE[1] * len(population), drawn), bins, fills, capacity)
         population = [*population, bins]
-        if len(fills) <= bound:
-            break
     scored = sorted(((cost(p, lengths, capacity), i, p) for i, p in enumerate(population)), key=lambda x: x[:2])
     for n in range(children):
         if scored[0][0][0] <= bound or len(scored) < 2:

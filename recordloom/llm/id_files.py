@@ -17,6 +17,7 @@ manifest; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -46,7 +47,13 @@ def _file_system(path: str):
     parsed = urlparse(path)
     if parsed.scheme in ("", "file"):
         return LocalFileSystem(), parsed.path
-    return FileSystem.from_uri(path)
+    return FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme that Hadoop gives it, so that every task means the same place by it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
 
 class _Writer:
@@ -103,25 +110,25 @@ class IdFile:
         return (None if i < self.nulls else self.low + self.names.select(i - self.nulls)), self._ids(*self.bounds(i))
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """All documents in order: doc_id, start in the file, ids. Reads pieces of bounded size; checks the CRC."""
-        ends = self.ends.all().astype(np.int64)
-        names = [None] * self.nulls + [self.low + int(x) for x in self.names.all()]
-        first = crc = 0
-        while first < self.n_docs:
-            start = int(ends[first - 1]) if first else 0
-            last = max(first + 1, int(np.searchsorted(ends, start + PIECE, side="right")))
-            ids = self._ids(start, int(ends[last - 1]))
-            crc = zlib.crc32(ids.astype(f"<u{self.width}").tobytes(), crc)
-            for i in range(first, last):
-                a = int(ends[i - 1]) if i else 0
-                yield names[i], a, ids[a - start : int(ends[i]) - start]
-            first = last
+        """All documents in order: doc_id, start in the file, ids. Boundaries and names come from ``select`` one by
+        one; ids are read in pieces of bounded size, or a document's if it is longer. Checks the CRC."""
+        start = held_from = crc = 0
+        ids = np.empty(0, "<u4")
+        for i in range(self.n_docs):
+            end = self.ends.select(i)
+            if end > held_from + len(ids):
+                ids, held_from = self._ids(start, min(self.n_ids, max(end, start + PIECE))), start
+            mine = ids[start - held_from : end - held_from]
+            crc = zlib.crc32(mine.astype(f"<u{self.width}").tobytes(), crc)
+            yield (None if i < self.nulls else self.low + self.names.select(i - self.nulls)), start, mine
+            start = end
         if crc != self.crc:
             raise ValueError("the ids of a file don't agree with its CRC")
 
 
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int, folder: str, tokens_per_file: int = TOKENS_PER_FILE, partitions: int | None = None) -> DataFrame:
     """Writes all documents in ascending doc_id order; gives the manifest: part, seq, path, n_docs, n_ids, start."""
+    folder = qualified(docs.sparkSession, folder)
 
     def write(batches):
         encoder, part, seq, writer = word_ids(tokenizer), TaskContext.get().partitionId(), 0, None

@@ -29,7 +29,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from recordloom.llm.common import saved, text_or_empty
+from recordloom.llm.common import own_names, plain_names, saved, text_or_empty
 
 BLOCK_TOKENS = 1_000_000
 STEPS = 16
@@ -118,6 +118,7 @@ def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = N
 def mixed_documents(docs: DataFrame, entropy: float | None = None, repeats: float | None = None, budget: float | None = None, seed: int = 0) -> DataFrame:
     """The documents themselves, each as often as it is drawn, with their own columns."""
     drawn = mix(docs.select("doc_id", "source", "text"), entropy, repeats, budget, seed)
-    times = drawn.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__drawn"))
-    found = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__drawn")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    times = saved(drawn.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__drawn")), "drawn")
+    plain, names = plain_names(docs, "doc_id")
+    found = plain.join(times, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return own_names(found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__drawn")))), names)

@@ -33,7 +33,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordloom.llm import prob_minhash as pm
-from recordloom.llm.common import saved, text_or_empty, worker_holds
+from recordloom.llm.common import saved, own_names, plain_names, text_or_empty, worker_holds
 from recordloom.llm.components import components
 
 SIMILARITY = 0.8
@@ -256,6 +256,7 @@ def _classified(docs: DataFrame) -> DataFrame:
     least = members.groupBy("component").agg(F.min("rep_id").alias("least_id"))
     linked = members.join(least, "component").select("key", "component", "least_id")
     named = nodes.select("key", "rep_id").join(linked, "key", "left").select("key", F.coalesce("least_id", "rep_id").alias("class_id"), F.coalesce("component", "key").alias("class_key"))
+    named = saved(named, "class-names")  # no join above it: the next one can split a key that many rows share
     found = worded.select("doc_id", "digest", "key").join(named, "key").select("doc_id", "digest", "class_id", "class_key")
     return found.unionAll(rows.filter("key is null").select("doc_id", "digest", F.col("doc_id").alias("class_id"), F.lit(None).cast("binary").alias("class_key")))
 
@@ -275,7 +276,8 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     if not found.filter("doc_id is null and class_id is null").isEmpty():
         kept = kept.unionAll(counted.filter("doc_id is null and class_id is not null").select("doc_id", "digest", F.lit(False)))
     kept = kept.withColumnsRenamed({"doc_id": "__id", "digest": "__kept"})
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.withColumn("__digest", text_digest())
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")))
-    return rows.filter("not __once").select(*columns).unionAll(rows.filter("__once").dropDuplicates(["doc_id", "__digest"]).select(*columns))
+    plain, names = plain_names(docs, "doc_id", "text")
+    rows = plain.withColumn("__digest", text_digest())
+    rows = rows.join(saved(kept, "kept"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")))
+    once = rows.filter("__once").dropDuplicates(["doc_id", "__digest"])
+    return own_names(rows.filter("not __once").select(*plain.columns).unionAll(once.select(*plain.columns)), names)

@@ -29,7 +29,8 @@ from recordloom.llm.word_ids import word_ids
 CAPACITY = 2048
 BLOCK_ITEMS = 4096
 ISLANDS = 2
-EPOCHS = 2
+EPOCHS = 4
+LEAST_PROGRESS = 0.1  # share of its pieces that a level must place for good, else it is the last
 WELL_FILLED = 0.99
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -73,13 +74,14 @@ def _islands(items: DataFrame, capacity: int, blocks: int, seed: int) -> DataFra
                     held = [np.frombuffer(row[c], "<i4").reshape(-1, len(lengths)) for c in ("population", "elite") if row[c]]
                     found = gga.evolve(lengths, capacity, [p for x in held for p in x], [seed, row["block"], row["island"], number])
                     bins, score = gga.cost(found[0], lengths, capacity)
+                    best = bins <= gga.least_bins(lengths, capacity)
                     packed = np.concatenate(found).astype("<i4").tobytes()
-                    out.append({"block": row["block"], "island": row["island"], "lengths": row["lengths"], "population": packed, "best": found[0].astype("<i4").tobytes(), "bins": bins, "score": score})
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("block", pa.int64()), ("island", pa.int32()), ("lengths", pa.binary()), ("population", pa.binary()), ("best", pa.binary()), ("bins", pa.int64()), ("score", pa.float64())]))
+                    out.append({"block": row["block"], "island": row["island"], "lengths": row["lengths"], "population": packed, "best": found[0].astype("<i4").tobytes(), "bins": bins, "score": score, "done": best})
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("block", pa.int64()), ("island", pa.int32()), ("lengths", pa.binary()), ("population", pa.binary()), ("best", pa.binary()), ("bins", pa.int64()), ("score", pa.float64()), ("done", pa.bool_())]))
 
         return run
 
-    schema = "block long, island int, lengths binary, population binary, best binary, bins long, score double"
+    schema = "block long, island int, lengths binary, population binary, best binary, bins long, score double, done boolean"
     blocked = items.withColumn("block", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(blocks)))
     gathered = blocked.select("block", "row", "length").groupBy("block").applyInArrow(gather, "block long, lengths binary")
     state = gathered.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
@@ -87,9 +89,11 @@ def _islands(items: DataFrame, capacity: int, blocks: int, seed: int) -> DataFra
     for number in range(EPOCHS):
         dealt = state.repartition(min(4096, ISLANDS * blocks), "block", "island")
         state = saved(dealt.mapInArrow(epoch(number), schema), "islands")
+        if state.filter("not done").isEmpty():
+            break
         if number + 1 < EPOCHS:
             elites = state.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), F.col("best").alias("elite"))
-            state = state.drop("best", "bins", "score").join(elites, ["block", "island"])
+            state = state.drop("best", "bins", "score", "done").join(elites, ["block", "island"])
     return state.groupBy("block").agg(F.min_by("best", F.struct("bins", "score", "island")).alias("best"))
 
 
@@ -131,7 +135,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, seed: int = 0) -> DataFrame
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in open_.schema) + ", sequence_id long, offset long, released boolean"
         placed = saved(blocked.groupBy("block").cogroup(best.groupBy("block")).applyInArrow(_placer(level, last, capacity), fields), "placed")
         before, left = left, placed.filter("released").count()
-        if left > before // 2:  # lengths that hardly fit together: packing them again would not help
+        if left > (1 - LEAST_PROGRESS) * before:  # lengths that hardly fit together: packing them again would not help
             left = 0
             placed = placed.withColumn("released", F.lit(False))
         done.append(placed.filter("not released").drop("released"))

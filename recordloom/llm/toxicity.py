@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from recordloom.llm.common import BoundedTable, saved, text_or_empty, worker_holds
+from recordloom.llm.common import BoundedTable, own_names, plain_names, saved, text_or_empty
 
 SAMPLE_ROWS = 20_000
 MODEL_WORDS = 50_000
@@ -243,4 +243,5 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
-    return scored(docs, fit(docs, labels)).filter(F.col("__score") < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain, names = plain_names(docs, "text")
+    return own_names(scored(plain, fit(docs, labels)).filter(F.col("__score") < THRESHOLD), names)
