@@ -41,13 +41,21 @@ def resolve_names(names: DataFrame, aliases: DataFrame, datasets: DataFrame, nam
     ``valid`` is false for names that are neither; ``dataset_id`` is null where
     no dataset exists.
     """
-    known = aliases.select(F.col("alias"), F.col("dataset_id").alias("target"))
+    known = aliases.select(F.col("alias").alias("__alias"), F.col("dataset_id").alias("target"))
     ids = datasets.select(F.col("id").alias("dataset_id"), *[c for c in datasets.columns if c != "id"])
-    looked_up = names.join(known, names[name] == known["alias"], "left")
+    keyed = names.withColumn("__name", _spread(F.col(name)))
+    looked_up = keyed.join(known, F.col("__name") == F.col("__alias"), "left")
     wanted = F.coalesce(F.col("target"), F.when(is_uuid(F.col(name)), F.col(name)))
-    typed = looked_up.select(*names.columns, wanted.alias("wanted"))
-    joined = typed.join(ids, F.col("wanted") == F.col("dataset_id"), "left")
-    return joined.withColumn("valid", F.col("wanted").isNotNull()).drop("wanted")
+    typed = looked_up.select(*[keyed[c] for c in names.columns], wanted.alias("wanted")).withColumn("__wanted", _spread(F.col("wanted")))
+    joined = typed.join(ids, F.col("__wanted") == F.col("dataset_id"), "left")
+    return joined.withColumn("valid", F.col("wanted").isNotNull()).drop("wanted", "__wanted")
+
+
+def _spread(key: Column) -> Column:
+    """A join key in which rows without one, which match nothing, do not meet in one partition. No alias and no id
+    holds U+0000."""
+    nothing = F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))
+    return F.when(key.isNotNull(), key).otherwise(nothing)
 
 
 def available_aliases(candidates: DataFrame, aliases: DataFrame, datasets: DataFrame, name: str = "alias") -> DataFrame:

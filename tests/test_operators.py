@@ -65,6 +65,30 @@ def test_profiles_and_sets(spark):
         append_records(df, df.drop("q"))
 
 
+def test_names_that_are_null_do_not_meet_in_one_task(spark):
+    """Half of the names are null and a quarter means nothing; their rows are spread over the partitions of the join."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    ids_ = [f"00000000-0000-0000-0000-{i:012d}" for i in range(5)]
+    rows = [(i, None if i % 2 else f"a{i % 5}" if i % 4 else "no such name" if i % 8 else ids_[i % 5]) for i in range(4000)]
+    names = spark.createDataFrame(rows, "i int, name string")
+    aliases = spark.createDataFrame([(ids_[i], f"a{i}") for i in range(3)], "dataset_id string, alias string")
+    datasets = spark.createDataFrame([(x, 3) for x in ids_[:4]], "id string, status int")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = registry.resolve_names(names, aliases, datasets)
+        got = {r["i"]: (r["dataset_id"], r["valid"]) for r in out.collect()}
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for i, name in rows:
+        wanted = {f"a{k}": ids_[k] for k in range(3)}.get(name, name if name in ids_ else None)
+        assert got[i] == (wanted if wanted in ids_[:4] else None, wanted is not None)
+    assert len(got) == 4000 and len(sizes) == 8 and max(sizes) < 1600
+
+
 def test_json_records(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "", 'q"')], f"{ROWNR} long, p string, `x y` string")
     coded = to_json_records(df)
