@@ -31,13 +31,20 @@ def dataset_named(catalog: Catalog, name: str) -> str | None:
         return dataset_id
 
 
-def ingest_batch(catalog: Catalog, files: DataFrame, batch: str, loads_at_once: int = 5, refused_at: str | None = None) -> None:
-    """Load the files of one micro-batch (``path``), each as a load of its own.
+def _as_is(path: str) -> str:
+    """A path that is not read as a glob."""
+    return "".join("\\" + ch if ch in "\\[]{}*?" else ch for ch in path)
+
 
-    Files of one dataset follow each other in path order; different datasets
-    load at the same time. A batch that runs again after a failure skips the
-    files it has already published. Files of a folder whose name cannot be an alias
-    are not loaded and don't hold up the others; ``refused_at`` gets a table of them.
+def ingest_batch(catalog: Catalog, files: DataFrame, batch: str, loads_at_once: int = 5, refused_at: str | None = None) -> None:
+    """Load the files of one micro-batch (``path``), those of a dataset as one load.
+
+    So the jobs and log entries of a batch follow its datasets, not its files. If
+    that load is rejected, the files are loaded one by one in path order, and a broken
+    one harms only itself. Different datasets load at the same time. A batch that
+    runs again after a failure skips what it has already published. Files of a folder
+    whose name cannot be an alias are not loaded and don't hold up the others;
+    ``refused_at`` gets a table of them.
     """
     per_dataset: dict[str, list[str]] = defaultdict(list)
     for row in files.select("path").collect():  # at most maxFilesPerTrigger short rows
@@ -47,11 +54,17 @@ def ingest_batch(catalog: Catalog, files: DataFrame, batch: str, loads_at_once:
         dataset_id = dataset_named(catalog, name)
         if dataset_id is None:
             return [(name, path) for path in per_dataset[name]]
+        done = {r["source"] for r in catalog.log("loads", dataset_id).where(F.col("source").startswith(f"{batch}:")).select("source").collect()}
+        whole = f"{batch}:*"
+        if whole in done:
+            return []
         catalog.set_status(dataset_id, registry.ACCEPTED)
-        for path in sorted(per_dataset[name]):
-            source = f"{batch}:{path}"
-            if not catalog.loaded_from(source, dataset_id):
-                load_csv(catalog, dataset_id, path, "append", source=source)
+        paths = [p for p in sorted(per_dataset[name]) if f"{batch}:{p}" not in done]
+        together = [_as_is(p) for p in paths]
+        if len(paths) > 1 and not done and load_csv(catalog, dataset_id, together, "append", source=whole) == registry.AVAILABLE:
+            return []
+        for path in paths:
+            load_csv(catalog, dataset_id, _as_is(path), "append", source=f"{batch}:{path}")
         return []
 
     with ThreadPoolExecutor(max_workers=loads_at_once) as pool:

@@ -36,6 +36,23 @@ def test_replayed_batch_loads_nothing_twice(spark, catalog, write_file):
     assert stored(catalog, catalog.resolve("pairs")) == [("1", "2")]
 
 
+def test_files_of_a_batch_are_one_load_per_dataset(spark, catalog, write_file):
+    """Twelve files of two datasets: one load where all are sound; a broken file harms only itself."""
+    good = [write_file(f"a,b\n{i},x\n" if i % 2 == 0 else f"b;a\ny;{i}\n", f"many/good/{i}.csv") for i in range(6)]
+    mixed = [write_file(f"a\n{i}\n" if i != 2 else "a\n1,2,3\n", f"many/mixed/f[{i}].csv") for i in range(6)]
+    files = spark.createDataFrame([(f"file:{p}",) for p in good + mixed], "path string")
+    for _ in range(2):
+        drop_folder.ingest_batch(catalog, files, "batch-7")
+    sound, partly = catalog.resolve("good"), catalog.resolve("mixed")
+    assert [r[0] for r in stored(catalog, sound)] == [str(i) for i in range(6)]
+    assert [r[0] for r in stored(catalog, partly)] == ["0", "1", "3", "4", "5"]
+    entries = lambda d: len(catalog.log("loads", d).inputFiles())
+    assert entries(sound) == 1 and entries(partly) == 5 and catalog.status(sound) == registry.AVAILABLE
+    later = spark.createDataFrame([(f"file:{write_file('a,b' + chr(10) + '9,z' + chr(10), 'many/good/9.csv')}",)], "path string")
+    drop_folder.ingest_batch(catalog, later, "batch-8")
+    assert [r[0] for r in stored(catalog, sound)] == [*map(str, range(6)), "9"]
+
+
 def test_streamed_admission_equals_batch(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     rows = [(i, f"k{i % 3}", start + dt.timedelta(milliseconds=137 * i * (1 + i % 2))) for i in range(400)]
