@@ -28,11 +28,11 @@ LOGS = {
     "status": "dataset_id string, seq long, status int",
     "aliases": "dataset_id string, seq long, aliases array<string>",
     "loads": "dataset_id string, seq long, mode string, path string, labels array<string>, "
-    "n_rows long, next_rownr long, long_values array<int>, source string",
+    "n_rows long, next_rownr long, long_values array<int>, source string, fingerprint string",
 }
 
 
-_LOAD_FIELDS = ("mode", "path", "labels", "n_rows", "next_rownr", "long_values", "source")
+_LOAD_FIELDS = ("mode", "path", "labels", "n_rows", "next_rownr", "long_values", "source", "fingerprint")
 
 
 class Catalog:

@@ -16,12 +16,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from recordloom.operators import paging, predicates
+from recordloom.operators import fingerprint, paging, predicates
 from recordloom.operators.predicates import RESERVED_KEYS
 from recordloom.plans.catalog import Catalog
 from recordloom.plans.order_directory import OrderDirectory
 from recordloom.plans.row_directory import RowDirectory
 from recordloom.plans.trigram_index import TrigramIndex
+from recordloom.sources.csv_records import scan_csv
 from recordloom.sources.records import ROWNR, labels_of, record_schema
 
 MANY_ROWS = 100_000
@@ -161,3 +162,23 @@ def query(catalog: Catalog, name: str, request: Mapping[str, str] | None = None,
 def row_count(catalog: Catalog, name: str) -> int:
     """Rows of a dataset, from its log: no record is read."""
     return sum(s["n_rows"] for s in catalog.segments(catalog.resolve(name)))
+
+
+def table_fingerprint(catalog: Catalog, name: str) -> str:
+    """The fingerprint of a dataset, from its log; loads older than fingerprints are read."""
+    segments = catalog.segments(catalog.resolve(name))
+    return fingerprint.added(s["fingerprint"] or fingerprint.of_table(_records(catalog, s)) for s in segments)
+
+
+def same_rows(catalog: Catalog, one: str, other: str) -> bool:
+    """Whether two datasets hold the same rows equally often, in any order of rows and columns; no record is read."""
+    return table_fingerprint(catalog, one) == table_fingerprint(catalog, other)
+
+
+def loaded_already(catalog: Catalog, name: str, path: str | list[str]) -> bool:
+    """Whether one load of a dataset holds exactly the rows of these files: one pass over the files, none over the data."""
+    wanted = fingerprint.of_table(scan_csv(catalog.spark, path))
+    loads: dict[str, list[str]] = {}
+    for s in catalog.segments(catalog.resolve(name)):
+        loads.setdefault(s["path"].rsplit("/", 2)[0], []).append(s["fingerprint"] or fingerprint.of_table(_records(catalog, s)))
+    return wanted in {fingerprint.added(parts) for parts in loads.values()}

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recordloom.errors import LoadRejected, RecordError
-from recordloom.operators import registry
+from recordloom.operators import fingerprint, registry
 from recordloom.operators.sets import same_labels
 from recordloom.plans import indexed
 from recordloom.plans.catalog import Catalog
@@ -198,6 +198,7 @@ def _load(
             "next_rownr": next_rownr,
             "long_values": [f[f"len_{j}"] or 0 for j in range(len(labels))],
             "source": source,
+            "fingerprint": fingerprint.from_sums(f["rows"], f),
         }
         for i, f in enumerate(facts)
     ]

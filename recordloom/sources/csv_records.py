@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from recordloom.errors import LoadRejected
+from recordloom.operators import fingerprint
 from recordloom.session import fresh_folder
 from recordloom.sources.csv_text import cells, decoded, ends_open, undecodable
 from recordloom.sources.records import ROWNR
@@ -322,6 +323,7 @@ def parse(
         F.count_if(data & (F.size("cells") > n)).alias("overlong"),
         F.max(F.when(data, F.col(ROWNR))).alias("max_rownr"),
     ]
+    metrics += fingerprint.sums({label: F.get("cells", F.lit(i)) for i, label in enumerate(group.labels)}, data)
     place = {label: i for i, label in enumerate(group.labels)}
     # Lengths matter beyond LONGEST_LOOKUP only, so short lines are not measured.
     measured = data & (F.octet_length("value") > LONGEST_LOOKUP)

@@ -899,6 +899,31 @@ def alias_list(spark, sf):
     return registry.aliases_of(aliases(spark, sf), str(_md5_uuid("Supplier#000000004")))
 
 
+@case(
+    """SELECT 'file loaded twice' AS question, TRUE AS same UNION ALL SELECT 'columns in another order', TRUE
+    UNION ALL SELECT 'one row more', FALSE UNION ALL SELECT 'loaded already', TRUE
+    UNION ALL SELECT 'rows', count(*) = 2 * (SELECT count(*) FROM part) FROM (SELECT * FROM part UNION ALL SELECT * FROM part)"""
+)
+def table_fingerprints(spark, sf):
+    """Stored tables compared by what their loads have noted; repeated rows count."""
+    rows = part(spark, sf)
+    catalog, path = _catalog(spark), _csv(spark, rows)
+    first, second, third = (load.create_from_csv(catalog, path)[0] for _ in range(3))
+    turned = _csv(spark, rows.select(ROWNR, *reversed(PART)).repartition(3))
+    fourth, _ = load.create_from_csv(catalog, turned)
+    load.load_csv(catalog, third, path)
+    load.load_csv(catalog, second, _csv(spark, rows.orderBy(ROWNR).limit(1)))
+    fifth, _ = load.create_from_csv(catalog, path)
+    answers = [
+        ("file loaded twice", indexed.same_rows(catalog, first, fifth)),
+        ("columns in another order", indexed.same_rows(catalog, first, fourth)),
+        ("one row more", indexed.same_rows(catalog, first, second)),
+        ("loaded already", indexed.loaded_already(catalog, third, path)),
+        ("rows", int(indexed.table_fingerprint(catalog, third).split(":")[0]) == indexed.row_count(catalog, third)),
+    ]
+    return spark.createDataFrame(answers, "question string, same boolean")
+
+
 # -- request rates -------------------------------------------------------------
 
 DAY = 86_400

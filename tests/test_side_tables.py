@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from recordloom.errors import LoadRejected
 from recordloom.functions import grams, patterns
-from recordloom.operators import paging, predicates
+from recordloom.operators import fingerprint, paging, predicates
 from recordloom.plans import indexed, interleaved
 from recordloom.plans.load import create_from_csv, load_csv
 from recordloom.plans.order_directory import OrderDirectory
@@ -302,3 +302,31 @@ def test_columns_named_like_the_total(spark, catalog, write_file, names):
 def test_reserved_name_is_refused(spark, write_file):
     with pytest.raises(LoadRejected):
         scan_csv(spark, write_file("__rownr,a\n1,2\n"))
+
+
+# -- fingerprints ------------------------------------------------------------------------------
+
+
+def test_fingerprints_of_tables(spark):
+    schema = f"{ROWNR} long, a string, b string"
+    rows = [(1, "x", "y"), (2, "x", "y"), (3, None, "x"), (4, "", "x"), (5, "x", None)]
+    table = lambda r: fingerprint.of_table(spark.createDataFrame(r, schema))
+    whole = table(rows)
+    assert whole == table(rows[::-1]) == fingerprint.of_table(spark.createDataFrame(rows, schema).select("b", ROWNR, "a").repartition(3))
+    assert whole == fingerprint.added([table(rows[:2]), table(rows[2:])]) and whole.startswith("5:")
+    for other in (rows[1:], [*rows, rows[0]], [(1, "y", "x"), *rows[1:]], [*rows[:2], (3, "", "x"), (4, "", "x"), rows[4]], [*rows[:2], (3, "x", None), *rows[3:]]):
+        assert table(other) != whole
+    assert table([]) == fingerprint.added([]) and table([(1, None, "b")]) != table([(1, "b", None)])
+
+
+def test_datasets_are_compared_without_reading_them(spark, catalog, write_file, monkeypatch):
+    path = write_file("a,b\n1,x\n1,x\n2\n")
+    first, _ = create_from_csv(catalog, path)
+    other, _ = create_from_csv(catalog, write_file("B;A\nx;1\n;2\nx;1\n"))
+    again, _ = create_from_csv(catalog, [path, write_file("b,a\nx,1\n")])
+    monkeypatch.setattr(indexed, "_records", None)
+    assert indexed.same_rows(catalog, first, first) and not indexed.same_rows(catalog, first, other)  # absent is not empty
+    assert not indexed.same_rows(catalog, first, again)
+    assert indexed.loaded_already(catalog, first, path) and not indexed.loaded_already(catalog, again, path)
+    load_csv(catalog, other, path)
+    assert indexed.loaded_already(catalog, other, path) and not indexed.loaded_already(catalog, other, write_file("a,b\n1,x\n"))
