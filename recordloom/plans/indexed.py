@@ -25,7 +25,7 @@ from recordloom.plans.trigram_index import TrigramIndex
 from recordloom.sources.csv_records import scan_csv
 from recordloom.sources.records import ROWNR, labels_of, record_schema
 
-MANY_ROWS = 100_000
+MANY_ROWS = 1_000_000
 
 
 def _named(*names: str) -> str:
