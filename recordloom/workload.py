@@ -650,6 +650,36 @@ def ingest_lineitem(spark, sf):
     return _loaded(spark, _csv(spark, as_records(table(spark, sf, "lineitem"), columns)))
 
 
+def _as_text(df: DataFrame, number: Column) -> DataFrame:
+    """All columns of a table as records: doubles with two decimals, times to the second."""
+    kinds = {"double": lambda c: F.col(c).cast("decimal(18,2)"), "timestamp_ntz": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")}
+    return df.select(number.alias(ROWNR), *[kinds.get(kind, F.col)(c).cast("string").alias(c) for c, kind in df.dtypes])
+
+
+def _whole_sql(table_name: str, whole: list[str], doubles: list[str], times: list[str]) -> str:
+    cells = [f"CAST({c} AS VARCHAR) AS {c}" for c in whole] + [f"CAST(CAST({c} AS DECIMAL(18,2)) AS VARCHAR) AS {c}" for c in doubles]
+    return f"SELECT {', '.join([*cells, *[f'strftime({c}, $$%Y-%m-%d %H:%M:%S$$) AS {c}' for c in times]])} FROM {table_name}"
+
+
+@case(
+    _whole_sql("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"],
+               ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_shipdate"])
+)
+def ingest_lineitem_whole(spark, sf):
+    """All columns of the largest table through a file and back."""
+    return _loaded(spark, _csv(spark, _as_text(table(spark, sf, "lineitem"), F.monotonically_increasing_id())))
+
+
+@case(
+    _whole_sql("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], ["o_totalprice"], ["o_orderdate"])
+    + " WHERE regexp_matches(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), '^[1-4].*[05]$') AND strftime(o_orderdate, $$%Y-%m$$) = '1995-03'"
+)
+def orders_whole_query(spark, sf):
+    """Patterns on amounts and dates of whole records."""
+    rows = _as_text(table(spark, sf, "orders"), F.col("o_orderkey"))
+    return predicates.matching(rows, {"o_totalprice": "^[1-4].*[05]$", "o_orderdate": "^1995-03-"}).drop(ROWNR)
+
+
 @case(f"SELECT {CUSTOMER_SQL} FROM customer")
 def ingest_semicolon(spark, sf):
     return _loaded(spark, _csv(spark, customer(spark, sf), sep=";"))
