@@ -59,23 +59,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # Bytes that the word table of a Python worker may take; an entry counts with what a dict needs for it.
-TABLE_BYTES = 16 << 20
+TABLE_BYTES = 128 << 20
 ENTRY_BYTES = 120
+LONGEST_WORD = 40  # longer ones are not kept
 
 
 class BoundedTable(dict):
-    """Values by word, made as words come, in at most ``TABLE_BYTES``: a full table starts anew."""
+    """Values by word, made as words come, in at most ``TABLE_BYTES``.
+
+    Two generations take half of that each: when the new one is full it becomes the old
+    one, and words of the old one that come again move on.
+    """
 
     def __init__(self):
         super().__init__()
-        self.free = TABLE_BYTES
-
-    def keep(self, word, value) -> None:
-        self.free -= ENTRY_BYTES + sys.getsizeof(word) + sys.getsizeof(value)
-        if self.free < 0:
-            self.clear()
-            self.free = TABLE_BYTES
-        self[word] = value
+        self.old, self.free = {}, TABLE_BYTES // 2
+
+    def make(self, word):
+        raise NotImplementedError
+
+    def __missing__(self, word):
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
+        if len(word) <= LONGEST_WORD:
+            self.free -= ENTRY_BYTES + sys.getsizeof(word) + sys.getsizeof(value)
+            if self.free < 0:
+                self.old, self.free = self.copy(), TABLE_BYTES // 2
+                self.clear()
+            self[word] = value
+        return value
 
 
 def worker_holds(name: str, make: Callable[[], object]):

@@ -97,12 +97,10 @@ class _Counts(BoundedTable):
         super().__init__()
         self.automaton = automaton
 
-    def __missing__(self, chunk: str) -> int:
+    def make(self, chunk: str) -> int:
         found = [self.automaton.count(w) for w in WORD.findall(chunk)]
         value = (sum(n if n >= 0 else 1 for n in found), len(found), sum(n < 0 for n in found))
         packed = value[0] | value[1] << 64 | value[2] << 128
-        if len(chunk) <= 40:
-            self.keep(chunk, packed)
         return packed
 
 

@@ -27,11 +27,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class _WordHashes(BoundedTable):
-    def __missing__(self, word: str) -> int:
-        value = xxhash.xxh3_64_intdigest(word.encode())
-        if len(word) <= 40:
-            self.keep(word, value)
-        return value
+    def make(self, word: str) -> int:
+        return xxhash.xxh3_64_intdigest(word.encode())
 
 
 def new_word_hashes() -> dict:

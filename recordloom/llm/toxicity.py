@@ -105,11 +105,8 @@ class WordScores(BoundedTable):
         super().__init__()
         self.scores = scores
 
-    def __missing__(self, word: str) -> float:
-        best = max((self.scores.get(f, 0.0) for f in features(word)), key=abs) - DRIFT
-        if len(word) <= 40:
-            self.keep(word, best)
-        return best
+    def make(self, word: str) -> float:
+        return max((self.scores.get(f, 0.0) for f in features(word)), key=abs) - DRIFT
 
 
 def word_scores(text: str, scores: WordScores) -> np.ndarray:

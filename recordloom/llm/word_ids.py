@@ -43,17 +43,13 @@ class _Kept(BoundedTable):
         self.compute = compute
         self.ends = {mark: compute(mark) for mark in ".,"}
 
-    def __missing__(self, chunk: str) -> bytes:
+    def make(self, chunk: str) -> bytes:
         if chunk.isalpha():
-            value = self.compute(chunk)
-        elif chunk[:-1].isalpha() and chunk[-1] in ".,":
-            value = self[chunk[:-1]] + self.ends[chunk[-1]]
-        else:
-            words = _WORDS.findall(chunk)
-            value = b"".join([self[w] for w in words]) if len(words) > 1 else self.compute(chunk)
-        if len(chunk) <= 24:
-            self.keep(chunk, value)
-        return value
+            return self.compute(chunk)
+        if chunk[:-1].isalpha() and chunk[-1] in ".,":
+            return self[chunk[:-1]] + self.ends[chunk[-1]]
+        words = _WORDS.findall(chunk)
+        return b"".join([self[w] for w in words]) if len(words) > 1 else self.compute(chunk)
 
 
 class WordIds:
