@@ -16,7 +16,8 @@ import numpy as np
 
 POPULATION = 6
 CHILDREN = 40
-SEED_NOISE = (0.15, 0.15)  # of the first seed, and what each further one has more
+PATIENCE = 8  # children in a row that don't save a bin, after which an epoch ends
+SEED_NOISE = (0.01, 0.02)  # of the first seed, and what each further one has more
 LOOSE = 64  # displaced items that are tried in pairs at a time
 REFILLS = 3
 PAIRED = 5  # items of a bin that are tried in pairs
@@ -145,7 +146,7 @@ def crossover(mine: np.ndarray, theirs: np.ndarray, lengths: np.ndarray, capacit
 def evolve(lengths: np.ndarray, capacity: int, population: list[np.ndarray], seed: list[int], children: int = CHILDREN) -> list[np.ndarray]:
     """One island's generations from ``population`` (may be empty); the result is sorted, the best solution first.
 
-    It ends early where the number of bins has reached ``least_bins``.
+    It ends early where the number of bins has reached ``least_bins``, or stays for PATIENCE children.
     """
     drawn = np.random.default_rng(seed)
     bound = least_bins(lengths, capacity)
@@ -154,11 +155,13 @@ def evolve(lengths: np.ndarray, capacity: int, population: list[np.ndarray], see
         best_fit(lengths, _decreasing(lengths, SEED_NOISE[0] + SEED_NOISE[1] * len(population), drawn), bins, fills, capacity)
         population = [*population, bins]
     scored = sorted(((cost(p, lengths, capacity), i, p) for i, p in enumerate(population)), key=lambda x: x[:2])
+    fewest, since = scored[0][0][0], 0
     for n in range(children):
-        if scored[0][0][0] <= bound or len(scored) < 2:
+        if scored[0][0][0] <= bound or len(scored) < 2 or since >= PATIENCE:
             break
         a, b = (int(x) for x in np.sort(drawn.choice(len(scored), 2, replace=False)))
         child = crossover(scored[a][2], scored[b][2], lengths, capacity, drawn).astype(np.int32)
         scored.append((cost(child, lengths, capacity), POPULATION + n, child))
         scored = sorted(scored, key=lambda x: x[:2])[:POPULATION]
+        fewest, since = (scored[0][0][0], 0) if scored[0][0][0] < fewest else (fewest, since + 1)
     return [p for _, _, p in scored]
