@@ -205,6 +205,21 @@ def test_charset_and_separator_can_be_named(catalog, write_file):
     assert stored(catalog, dataset_id) == [("é;1", None)]
 
 
+@pytest.mark.parametrize("names", [("0.csv", "1.csv"), ("1.csv", "0.csv")])
+def test_header_alone_takes_the_separator_of_its_like(catalog, write_file, names):
+    """What Spark writes for an empty first partition: a file without rows, which tells no separator."""
+    folder = write_file("a;b\n", f"parts/{names[0]}").rpartition("/")[0]
+    write_file("a;b\n1;2\n", f"parts/{names[1]}")
+    dataset_id, status = create_from_csv(catalog, folder)
+    assert status == registry.AVAILABLE and stored(catalog, dataset_id) == [("1", "2")]
+
+
+@pytest.mark.parametrize("text, columns", [("a;b\n", ["a;b"]), ("a;b", ["a;b"]), ("a,b\n", ["a", "b"]), ("a;b\n\n", ["a;b"])])
+def test_header_alone_without_others(catalog, write_file, text, columns):
+    dataset_id, status = create_from_csv(catalog, write_file(text))
+    assert status == registry.AVAILABLE and catalog.records(dataset_id).columns == [ROWNR, *columns]
+
+
 def test_row_numbers_of_many_small_blocks(spark, tmp_path):
     """Several blocks of short lines in one scan partition still have numbers of their own, in file order."""
     for i in range(3):
