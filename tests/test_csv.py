@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from conftest import stored
+from recordloom import workload
 from recordloom.operators import registry
 from recordloom.plans.export import write_csv, write_json_array
 from recordloom.plans import load
@@ -236,6 +237,25 @@ def test_row_numbers_of_many_small_blocks(spark, tmp_path):
     assert rows.sort_values(ROWNR)["a"].tolist() == [str(i) for i in range(3) for _ in range(60_000)]
 
 
+def test_small_blocks_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """More rows are dealt over more files and scan partitions, and their lines still lie behind many small blocks."""
+    monkeypatch.setattr(workload, "FILE_ROWS", 20_000, raising=False)
+    monkeypatch.setattr(workload, "SCAN_BYTES", 70_000, raising=False)
+    spark.range(0, 120_000, 1, 4).select(F.col("id").alias("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    seen = []
+
+    def create(catalog, folder):
+        text = csv_records.lines(spark, sniff.file_groups(spark, folder)[0])
+        counts = text.agg(F.count_distinct("base"), F.count_distinct("base", "block"), F.count_if(csv_records._crowded())).first()
+        seen.append((text.rdd.getNumPartitions(), *counts))
+        return create_from_csv(catalog, folder)
+
+    monkeypatch.setattr(load, "create_from_csv", create)
+    assert workload.rownr_unique(spark, str(tmp_path)).collect() == [(120_000, 120_000, True)]
+    ((partitions, files, blocks, crowded),) = seen
+    assert partitions >= 10 and files == 6 and blocks >= 20 * partitions and crowded > 60_000
+
+
 def test_many_paths_are_read_as_several_scans(spark, tmp_path, monkeypatch):
     for i in range(5):
         (tmp_path / f"{i}.csv").write_text(f"a\n{i}\n")
