@@ -11,6 +11,7 @@ fuller bins (sum of squared fills).
 from __future__ import annotations
 
 from bisect import bisect
+from functools import lru_cache
 
 import numpy as np
 
@@ -69,6 +70,11 @@ def _decreasing(lengths: np.ndarray, noise: float, drawn: np.random.Generator) -
     return np.argsort(-(lengths * (1 + noise * drawn.random(len(lengths)))), kind="stable")
 
 
+@lru_cache(LOOSE + 1)
+def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 def refill(lengths: np.ndarray, members: list[list[int]], loose: list[int], capacity: int, drawn: np.random.Generator) -> list[int]:
     """Puts displaced items in place of one or two items of a bin, never more than there are, where that
     fills the bin better; gives the items that are displaced then."""
@@ -82,7 +88,7 @@ def refill(lengths: np.ndarray, members: list[list[int]], loose: list[int], capa
 
     def sums():
         held = np.array([size[x] for x in loose], np.int64)
-        a, b = np.triu_indices(len(loose), 1)
+        a, b = _pairs(len(loose))
         both = held[a] + held[b]
         order = np.argsort(both, kind="stable")
         return held.tolist(), both[order].tolist(), a[order], b[order]
@@ -92,15 +98,19 @@ def refill(lengths: np.ndarray, members: list[list[int]], loose: list[int], capa
     held, both, a, b = sums()
     for m in drawn.permutation(len(members)).tolist():
         mine = members[m]
-        room = capacity - sum(size[x] for x in mine)
+        room = capacity - sum(map(size.__getitem__, mine))
         if not room or not mine:
             continue
         best = (0, None, None)
         for i, x in enumerate(mine[:PAIRED]):
+            if best[0] == room:  # full: no later choice is better
+                break
             at = bisect(held, size[x] + room) - 1
             if at >= 0 and held[at] - size[x] > best[0]:
                 best = (held[at] - size[x], (i,), (at,))
             for j in range(i + 1, min(len(mine), PAIRED)):
+                if best[0] == room:
+                    break
                 out = size[x] + size[mine[j]]
                 at = bisect(both, out + room) - 1
                 if at >= 0 and both[at] - out > best[0]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from recordloom.llm import grouping_genetic as gga
-from recordloom.llm.common import saved, text_or_empty
+from recordloom.llm.common import saved, text_or_empty, worker_holds
 from recordloom.llm.word_ids import word_ids
 
 CAPACITY = 2048
@@ -67,6 +67,7 @@ def _islands(items: DataFrame, capacity: int, blocks: int, seed: int) -> DataFra
 
     def epoch(number: int):
         def run(batches):
+            worker_holds("islands", dict)  # the words of the encoder, done by now, give their memory back
             for batch in batches:
                 out = []
                 for row in batch.to_pylist():

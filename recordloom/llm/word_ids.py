@@ -43,13 +43,17 @@ class _Kept(BoundedTable):
         self.compute = compute
         self.ends = {mark: compute(mark) for mark in ".,"}
 
+    def part(self, word: str) -> bytes:
+        """Ids of a word within a chunk; it is not kept, as its chunk is."""
+        return self.get(word) or self.old.get(word) or self.compute(word)
+
     def make(self, chunk: str) -> bytes:
         if chunk.isalpha():
             return self.compute(chunk)
-        if chunk[:-1].isalpha() and chunk[-1] in ".,":
-            return self[chunk[:-1]] + self.ends[chunk[-1]]
+        if chunk[-1] in ".," and chunk[:-1].isalpha():
+            return self.part(chunk[:-1]) + self.ends[chunk[-1]]
         words = _WORDS.findall(chunk)
-        return b"".join([self[w] for w in words]) if len(words) > 1 else self.compute(chunk)
+        return b"".join(map(self.part, words)) if len(words) > 1 else self.compute(chunk)
 
 
 class WordIds:
@@ -77,14 +81,13 @@ class WordIds:
         self.kept = _Kept(self._word)
 
     def _word(self, word: str) -> bytes:
-        symbols = word.encode().decode("latin1").translate(self.symbols)
+        symbols = word if word.isascii() else word.encode().decode("latin1").translate(self.symbols)
         return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
 
     def _plain(self, text: str) -> bool:
         return (
             self.by_word
-            and (text.isascii() or not _UNUSUAL.search(text))
-            and not _CONTROL.search(text)
+            and not _UNUSUAL.search(text)
             and not (self.special and self.special.search(text))
         )
 
@@ -95,9 +98,6 @@ class WordIds:
         return np.array(ids, dtype="<u4").tobytes()
 
 
-_CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
-
-
 def word_ids(path: str) -> WordIds:
     """The encoder of this Python process for a tokenizer file: loaded once, its words kept from task to task."""
     return worker_holds(f"word ids {path}", lambda: WordIds(path))

@@ -16,6 +16,20 @@ from recordloom.llm.perfect_hash import PerfectHash, as_words
 from recordloom.llm.word_ids import WordIds
 
 
+def test_chunks_of_new_words_are_kept_once():
+    encoder = WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    text = "qzxv, Wjkpy. mnbvc*** ärglqq, plain"
+    before = len(encoder.kept)
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(encoder.kept) - before == len(text.split())
+
+
+@pytest.mark.parametrize("control", ["\x00", "\x08", "\x0e", "\x1f", "\x7f", "a\x1cb", "\x85", "\xa0"])
+def test_texts_with_control_characters_go_through_the_library(control):
+    encoder = WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    assert not encoder._plain(f"abc {control} def") and encoder._plain("abc\t\x0b\x0c\r\n def")
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000])
 def test_perfect_hash(n):
     digests = [hashlib.sha256(str(i).encode()).digest() for i in range(n)]
