@@ -75,9 +75,9 @@ def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(n, 1)
 
 
-def refill(lengths: np.ndarray, members: list[list[int]], loose: list[int], capacity: int, drawn: np.random.Generator) -> list[int]:
+def refill(lengths: np.ndarray, members: list[list[int]], fills: np.ndarray, loose: list[int], capacity: int, drawn: np.random.Generator) -> list[int]:
     """Puts displaced items in place of one or two items of a bin, never more than there are, where that
-    fills the bin better; gives the items that are displaced then."""
+    fills the bin better; gives the items that are displaced then. ``fills`` belongs to ``members``; both are changed."""
     size = lengths.tolist()
     loose = sorted(loose, key=size.__getitem__)
     rest = []
@@ -85,22 +85,22 @@ def refill(lengths: np.ndarray, members: list[list[int]], loose: list[int], capa
         chosen = set(drawn.choice(len(loose), LOOSE, replace=False).tolist())
         rest = [x for i, x in enumerate(loose) if i not in chosen]
         loose = [x for i, x in enumerate(loose) if i in chosen]
+    small = np.uint16 if 2 * capacity < 2**16 else np.int64  # 16-bit numbers are sorted by their digits
 
     def sums():
-        held = np.array([size[x] for x in loose], np.int64)
+        held = np.array([size[x] for x in loose], small)
         a, b = _pairs(len(loose))
         both = held[a] + held[b]
         order = np.argsort(both, kind="stable")
-        return held.tolist(), both[order].tolist(), a[order], b[order]
+        return held.tolist(), both[order].tolist(), order
 
     if not loose:
         return rest
-    held, both, a, b = sums()
-    for m in drawn.permutation(len(members)).tolist():
+    held, both, order = sums()
+    visited = drawn.permutation(len(members))
+    visited = visited[fills[visited] < capacity]
+    for m, room in zip(visited.tolist(), (capacity - fills[visited]).tolist()):
         mine = members[m]
-        room = capacity - sum(map(size.__getitem__, mine))
-        if not room or not mine:
-            continue
         best = (0, None, None)
         for i, x in enumerate(mine[:PAIRED]):
             if best[0] == room:  # full: no later choice is better
@@ -114,12 +114,13 @@ def refill(lengths: np.ndarray, members: list[list[int]], loose: list[int], capa
                 out = size[x] + size[mine[j]]
                 at = bisect(both, out + room) - 1
                 if at >= 0 and both[at] - out > best[0]:
-                    best = (both[at] - out, (i, j), (int(a[at]), int(b[at])))
+                    best = (both[at] - out, (i, j), tuple(int(p[order[at]]) for p in _pairs(len(loose))))
         if best[1]:
             gone, come = [mine[i] for i in best[1]], [loose[k] for k in best[2]]
             members[m] = [x for x in mine if x not in gone] + come
+            fills[m] += best[0]
             loose = sorted([x for x in loose if x not in come] + gone, key=size.__getitem__)
-            held, both, a, b = sums()
+            held, both, order = sums()
     return loose + rest
 
 
@@ -135,21 +136,19 @@ def crossover(mine: np.ndarray, theirs: np.ndarray, lengths: np.ndarray, capacit
     open_ = np.flatnonzero(own < capacity)
     removed[open_[drawn.random(len(open_)) < 2 * DISSOLVED]] = True
     displaced = removed[mine] & ~injected
-    child = np.where(injected, theirs + len(own), mine)
-    _, child[~displaced] = np.unique(child[~displaced], return_inverse=True)
-    child[displaced] = -1
     kept = np.flatnonzero(~displaced)
-    kept = kept[np.argsort(child[kept], kind="stable")]
-    members = [x.tolist() for x in np.split(kept, np.flatnonzero(np.diff(child[kept])) + 1)] if len(kept) else []
+    bins = np.where(injected, theirs + len(own), mine)[kept]
+    order = np.argsort(bins, kind="stable")
+    flat, starts = kept[order].tolist(), [0, *(np.flatnonzero(np.diff(bins[order])) + 1).tolist(), len(kept)]
+    members = [flat[a:b] for a, b in zip(starts, starts[1:])] if len(kept) else []
+    placed = np.add.reduceat(lengths[kept[order]], starts[:-1]).astype(np.int64) if len(kept) else np.zeros(0, np.int64)
     loose = np.flatnonzero(displaced).tolist()
     for _ in range(REFILLS):
-        loose = refill(lengths, members, loose, capacity, drawn)
+        loose = refill(lengths, members, placed, loose, capacity, drawn)
     loose = np.array(loose, np.int64)
-    child[loose] = -1
-    for b, items in enumerate(members):
-        child[items] = b
-    placed = [int(lengths[items].sum()) for items in members]
-    best_fit(lengths, loose[_decreasing(lengths[loose], NOISE, drawn)], child, placed, capacity)
+    child = np.full(len(lengths), -1, dtype=mine.dtype)
+    child[[x for items in members for x in items]] = np.repeat(np.arange(len(members)), [len(items) for items in members])
+    best_fit(lengths, loose[_decreasing(lengths[loose], NOISE, drawn)], child, placed.tolist(), capacity)
     return child
 
 

@@ -43,8 +43,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                ids = encoder.encode(text.as_py()) + end
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode_all(batch["text"])):
+                ids += end
                 for i in range(0, len(ids), 4 * capacity):
                     piece = ids[i : i + 4 * capacity]
                     rows.append((doc_id, i // (4 * capacity), i // 4, len(piece) // 4, zlib.crc32(piece)))

@@ -3,14 +3,16 @@
 import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
 from recordloom.llm import grouping_genetic as gga
-from recordloom.llm import longest_match, near_dedup, prob_minhash, toxicity, vector_dedup
+from recordloom.llm import longest_match, near_dedup, prob_minhash, toxicity, vector_dedup, word_ids
 from recordloom.llm.elias_fano import EliasFano
 from recordloom.llm.perfect_hash import PerfectHash, as_words
 from recordloom.llm.word_ids import WordIds
@@ -24,6 +26,34 @@ def test_chunks_of_new_words_are_kept_once():
     assert len(encoder.kept) - before == len(text.split())
 
 
+def library_ids(encoder, texts):
+    return [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def all_ids(encoder, texts):
+    return [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(pa.array(texts, pa.string()))]
+
+
+def test_batches_ask_for_each_word_once(monkeypatch):
+    encoder = WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    asked = Counter()
+    monkeypatch.setattr(encoder.arrow_kept, "compute", lambda word: asked.update([word]) or encoder._word(word))
+    texts = ["Qzxv, wjkpy. mnbvc*** don't", "", " qzxv  MNBVC wjkpy,\n42 ", "中 qzxv", "qzxv<|endoftext|>", "wjkpy."]
+    assert all_ids(encoder, texts) == all_ids(encoder, texts) == library_ids(encoder, texts) and all_ids(encoder, []) == []
+    assert asked == Counter(["", "qzxv", ",", "wjkpy", ".", "mnbvc", "***", "don", "'t", "4", "2"])
+
+
+def test_batches_in_portions_and_full_tables(monkeypatch):
+    encoder, drawn = WordIds(public_tokenizers.path("word_bpe_49k.json")), random.Random(3)
+    texts = ["".join(drawn.choice("abcÉŸſßª9²'s.,-  \t") for _ in range(drawn.choice([0, 3, 200, 3000]))) for _ in range(120)] + ["x" * 5000, ""]
+    monkeypatch.setattr(word_ids, "PORTION_BYTES", 4000)
+    for table in (0, 3000, 10**6):
+        monkeypatch.setattr(word_ids, "ARROW_TABLE_BYTES", table)
+        assert all_ids(encoder, texts) == library_ids(encoder, texts)
+        assert encoder.arrow_kept.words.nbytes + encoder.arrow_kept.ids.nbytes <= table
+    assert len(encoder.arrow_kept.words) > 1000 and all_ids(encoder, ["abc new", "9"]) == library_ids(encoder, ["abc new", "9"])
+
+
 @pytest.mark.parametrize("control", ["\x00", "\x08", "\x0e", "\x1f", "\x7f", "a\x1cb", "\x85", "\xa0"])
 def test_texts_with_control_characters_go_through_the_library(control):
     encoder = WordIds(public_tokenizers.path("word_bpe_49k.json"))
@@ -74,6 +104,12 @@ def test_ids_are_those_of_the_library(encoder, text):
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(max_codepoint=0x180), st.sampled_from("'sdtſŸ \n\x0b")), max_size=30), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_ids_of_batches_are_those_of_the_library(encoder, texts):
+    assert all_ids(encoder, texts) == library_ids(encoder, texts)
+
+
 @given(st.lists(st.integers(1, 64), min_size=1, max_size=80), st.integers(0, 5))
 @settings(max_examples=60, deadline=None)
 def test_packings_hold_every_item(lengths, seed):
