@@ -135,9 +135,9 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, folder: str, tokens_
         width = 2 if max(encoder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 2**16 else 4
         done = []
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode_all(batch["text"])):
                 writer = writer or _Writer(folder, width)
-                writer.add(doc_id, np.append(np.frombuffer(encoder.encode(text.as_py()), "<u4"), np.uint32(end_id)))
+                writer.add(doc_id, np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)))
                 if writer.n >= tokens_per_file:
                     done.append(writer.close(part, seq))
                     writer, seq = None, seq + 1
