@@ -34,8 +34,8 @@ _DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\s{_LETTERS}{_DIGITS}]+")
 _UNUSUAL = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-įı-ſ]")
 
-PORTION_BYTES = 16 << 20  # texts that are encoded together, or one longer text
-ARROW_TABLE_BYTES = 48 << 20
+PORTION_BYTES = 4 << 20  # texts that are encoded together, or one longer text
+ARROW_TABLE_BYTES = 16 << 20
 LOOKED_THROUGH = 20  # known words for each word of a portion, up to which they are searched
 
 
